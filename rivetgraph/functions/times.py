@@ -42,9 +42,9 @@ def since(text: Column, as_of: Column) -> Column:
     return F.when(n != "", F.timestamp_micros(F.unix_micros(as_of) - shift * 1_000_000))
 
 
-def plus_seconds(ts: Column, secs: Column | int | float) -> Column:
+def plus_seconds(ts: Column, secs: Column | int) -> Column:
     secs = secs if isinstance(secs, Column) else F.lit(secs)
-    return F.timestamp_micros(F.unix_micros(ts) + (secs * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(ts) + secs.cast("bigint") * 1_000_000)
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

@@ -328,3 +328,13 @@ def labelled(roots: DataFrame, attr: Column, name: Column) -> DataFrame:
     return roots.withColumn("label", F.coalesce(attr, name))
 
 
+
+
+def jobs_of(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """JN-16: every job that references one of the steps."""
+    return members.join(steps.select("drv_hash").distinct(), "drv_hash").select("drv_hash", "job_id").distinct()
+
+
+def sharing(members: DataFrame) -> DataFrame:
+    """JN-16: in how many jobs each step is."""
+    return members.groupBy("drv_hash").agg(F.count_distinct("job_id").alias("jobs"))

@@ -81,6 +81,28 @@ class Tables:
         width = self.raw("part").agg(F.floor(F.count(F.lit(1)) / 5)).scalar()
         return layered_edges(self.layers, width, 2, lambda layer, i, _: i * 5 + layer, F.col("i"))
 
+    @cached_property
+    def latches(self) -> DataFrame:
+        """part as step state: size says what became of the step."""
+        key, size = F.col("p_partkey"), F.col("p_size")
+        return self.raw("part").select(
+            key.alias("drv_hash"),
+            F.concat(F.lit("step-"), key.cast("string")).alias("drv_name"),
+            ((size > 40) | (size < 6)).alias("finished"),
+            (size < 6).alias("previous_failure"),
+            size.between(20, 30).alias("runnable"),
+            (size != 17).alias("created"),
+            (size % 4).alias("tries"),
+            F.lit(2).alias("max_tries"),
+            F.round(F.col("p_retailprice") * 1000).cast("bigint").alias("next_attempt_at"),
+            plus_seconds(F.lit("2024-01-01").cast("timestamp"), size * 1000 + key % 97).alias("ended_at"),
+            F.substring("p_brand", 7, 2).cast("bigint").alias("brand"),
+        )
+
+    @cached_property
+    def active_claims(self) -> DataFrame:
+        return self.attempts.where(F.col("open") & F.col("success"))
+
     @cached_property
     def roots(self) -> DataFrame:
         key = F.col("p_partkey")
@@ -116,6 +138,7 @@ class Tables:
             .when((flag == "A") & (line == "O"), "disk_full")
             .alias("error_category"),
             F.when(flag == "R", 1).when(flag == "A", 137).alias("exit_code"),
+            (line == "O").alias("open"),
         )
 
     @cached_property
@@ -229,7 +252,7 @@ SELECT md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CASE WHEN l_returnflag = 'R' THEN 'build_failure'
             WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'transient'
             WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'disk_full' END AS error_category,
-       CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 137 END AS exit_code
+       CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 137 END AS exit_code, l_linestatus = 'O' AS open
 FROM lineitem"""
 
 _ALL_FAILURES = """
@@ -264,6 +287,14 @@ FROM part, (VALUES (0), (1)) AS t(k) WHERE p_partkey % 5 > 0""",
 SELECT p_partkey AS drv_hash,
        CASE WHEN p_partkey % 7 <> 0 THEN 'packages.' || p_brand || '.' || p_partkey END AS attr
 FROM part WHERE p_partkey % 5 = 4""",
+    "latches": """
+SELECT p_partkey AS drv_hash, 'step-' || p_partkey AS drv_name, p_size > 40 OR p_size < 6 AS finished, p_size < 6 AS previous_failure,
+       p_size BETWEEN 20 AND 30 AS runnable, p_size <> 17 AS created, p_size % 4 AS tries, 2 AS max_tries,
+       CAST(round(p_retailprice * 1000) AS BIGINT) AS next_attempt_at,
+       TIMESTAMP '2024-01-01' + to_seconds(p_size * 1000 + p_partkey % 97) AS ended_at,
+       CAST(substr(p_brand, 7, 2) AS BIGINT) AS brand
+FROM part""",
+    "active_claims": "SELECT * FROM attempts WHERE open AND success",
     "attempts": _ATTEMPTS.format(
         node="l_partkey", worker="CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE 'w' || l_suppkey END"
     ),
@@ -306,6 +337,8 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
                     order.append(name)
 
     need(sql)
-    if not order:
-        return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n].strip()})" for n in order) + "\n" + sql
+    head = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
+    own_with = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+    if own_with:
+        return "WITH RECURSIVE " + (head + ",\n" if head else "") + sql[own_with.end():]
+    return f"WITH RECURSIVE {head}\n{sql}" if head else sql

@@ -85,7 +85,8 @@ def _parse_batches(batches):
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
             error_class, context, row = _read(bytes(content))
-            rows.append({"path": path, "error_class": error_class, "error_context": context} | row)
+            known = {"path": path, "error_class": error_class, "error_context": context}
+            rows.append(dict.fromkeys(schemas.DERIVATION_COLUMNS) | known | row)
         yield pd.DataFrame(rows, columns=list(schemas.DERIVATION_COLUMNS))
 
 
