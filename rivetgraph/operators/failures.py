@@ -99,13 +99,14 @@ def terminal_snapshots(
     eval_errors: DataFrame | None = None,
     *,
     cap: int = P.MAX_FAILURES_IN_RESULT,
+    tails: int = P.MAX_LOG_TAILS_IN_RESULT,
 ) -> DataFrame:
     """AG-13: (job_id, result JSON). Suspicion looks at all failures, the list is capped.
 
     ``jobs``: job_id, status, sealed, eval_error; ``eval_errors``: job_id, attr, error,
     place (already capped).
     """
-    lists = failure_arrays(capped_failures(failures, order, cap=cap))
+    lists = failure_arrays(capped_failures(failures, order, cap=cap, tails=tails))
     suspects = suspected_workers(failures)
     count_struct = F.struct(*[F.coalesce(c, zero()).alias(c) for c in ("total", "pending", "building", "done", "failed")])
     out = (

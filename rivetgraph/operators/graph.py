@@ -1,6 +1,6 @@
 """Operators on the dependency graph: ``edges(src, dst)``, src depends on dst.
 
-Walks run as rounds of joins. Every round is written to the checkpoint folder, so the
+Walks run as rounds of joins. Every round is written to the shared folder, so the
 plan stays short and a lost executor costs no more than the round at hand. A walk
 ends when a round adds nothing; visited rows are never joined twice.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rivetgraph import params as P
 from rivetgraph.operators.blocks import top_per_key
-from rivetgraph.session import cut
+from rivetgraph.session import cut, cut_counted
 
 COMPACT_EVERY = 16
 
@@ -46,9 +46,10 @@ def walk(
         keys = [c for c in cols if c in within.columns]
         return df.join(within.select(*keys), keys, "left_semi")
 
-    frontier = cut(allowed(start.select(*cols).distinct()))
+    hops = cut(hops.distinct())
+    frontier, found = cut_counted(allowed(start.select(*cols).distinct()))
     rounds = [frontier]
-    while not frontier.isEmpty():
+    while found:
         leaving = frontier if expand is None else frontier.join(expand.select(node), node, "left_semi")
         reached = (
             leaving.join(hops, F.col(node) == F.col("frm"))
@@ -56,7 +57,7 @@ def walk(
             .distinct()
         )
         fresh = allowed(reached).join(_union(rounds), cols, "left_anti")
-        frontier = cut(fresh)
+        frontier, found = cut_counted(fresh)
         rounds.append(frontier)
         if len(rounds) > COMPACT_EVERY:
             rounds = [cut(_union(rounds))]
@@ -122,15 +123,12 @@ def first_submitter(emitted: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _peel(edges: DataFrame, tags: Sequence[str]) -> DataFrame:
     """Remove edges whose source has no incoming edge left, until none is."""
-    left = cut(edges.select(*tags, "src", "dst").distinct())
-    before = left.count()
-    while before:
+    left, now = cut_counted(edges.select(*tags, "src", "dst").distinct())
+    before = now + 1
+    while 0 < now < before:
         entered = left.select(*tags, F.col("dst").alias("src")).distinct()
-        left = cut(left.join(entered, [*tags, "src"], "left_semi"))
-        now = left.count()
-        if now == before:
-            break
         before = now
+        left, now = cut_counted(left.join(entered, [*tags, "src"], "left_semi"))
     return left
 
 
@@ -201,8 +199,8 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     wave = 0
     while True:
         blocked = remaining_edges.select(F.col("src").alias("node")).distinct()
-        level = cut(remaining.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave)))
-        if level.isEmpty():
+        level, found = cut_counted(remaining.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave)))
+        if not found:
             break
         levels.append(level)
         done = level.select("node")
@@ -232,30 +230,40 @@ def propagate_failures(
         to_dependents(edges).join(stop.select(F.col("node").alias("to")), "to", "left_anti").distinct()
     )
     label = F.struct(F.col("failed_at").alias("at"), F.col("node").alias("origin"))
-    frontier = cut(failed.select("node", label.alias("label")).groupBy("node").agg(F.min("label").alias("label")))
-    best = None
+    frontier = failed.groupBy("node").agg(F.min(label).alias("label"))
+    offers = _offers(frontier, open_edges)
+    rounds: list[DataFrame] = []
     while True:
-        offers = (
-            frontier.join(open_edges, F.col("node") == F.col("frm"))
-            .groupBy(F.col("to").alias("node"))
-            .agg(F.min("label").alias("label"))
-        )
-        if best is None:
-            frontier = cut(offers)
-            best = frontier
-        else:
-            known = best.withColumnRenamed("label", "known")
-            frontier = cut(
+        if rounds:
+            known = best_labels(rounds).withColumnRenamed("label", "known")
+            offers = (
                 offers.join(known, "node", "left")
                 .where(F.col("known").isNull() | (F.col("label") < F.col("known")))
                 .select("node", "label")
             )
-            if frontier.isEmpty():
-                break
-            best = cut(best.unionByName(frontier).groupBy("node").agg(F.min("label").alias("label")))
+        frontier, improved = cut_counted(offers)
+        rounds.append(frontier)
+        if not improved:
+            break
+        if len(rounds) > COMPACT_EVERY:
+            rounds = [cut(best_labels(rounds))]
+        offers = _offers(frontier, open_edges)
+    best = best_labels(rounds)
     return best.select("node", F.col("label.origin").alias("origin"), F.col("label.at").alias("origin_at"))
 
 
+def _offers(frontier: DataFrame, hops: DataFrame) -> DataFrame:
+    return (
+        frontier.join(hops, F.col("node") == F.col("frm"))
+        .groupBy(F.col("to").alias("node"))
+        .agg(F.min("label").alias("label"))
+    )
+
+
+def best_labels(rounds: Sequence[DataFrame]) -> DataFrame:
+    return _union(rounds).groupBy("node").agg(F.min("label").alias("label"))
+
+
 def propagated_rows(propagated: DataFrame, members: DataFrame) -> DataFrame:
     """GR-08: one failure record per job that owns the node."""
     return propagated.join(members, propagated["node"] == members["drv_hash"]).select(

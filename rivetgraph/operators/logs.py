@@ -113,18 +113,19 @@ def _resolve_names(job: pd.DataFrame) -> pd.DataFrame:
     return job.assign(file_name=pd.Series(names))
 
 
-def export_failure_logs(named: DataFrame, path: str) -> None:
-    """SNK-05: one text row per failure under job_id=/file_name= folders.
+def export_failure_logs(named: DataFrame, path: str, *, as_files: bool = False) -> None:
+    """SNK-05: logs under the names of ``export_names``.
 
-    Rows spread over the writers by (job, file), so one broken job does not end in one task.
+    A table of (job_id, file_name, content), since a file each would mean millions of
+    tiny objects. ``as_files`` writes them as text under job_id=/file_name= folders; that
+    suits the few hundred failures of one run.
     """
-    (
-        named.select("job_id", "file_name", F.col("content").alias("value"))
-        .repartition("job_id", "file_name")
-        .write.partitionBy("job_id", "file_name")
-        .mode("overwrite")
-        .text(path)
-    )
+    rows = named.select("job_id", "file_name", "content")
+    if not as_files:
+        rows.write.mode("overwrite").parquet(path)
+        return
+    text = rows.withColumnRenamed("content", "value").repartition("job_id", "file_name")
+    text.write.partitionBy("job_id", "file_name").mode("overwrite").text(path)
 
 
 def prune_to_ceiling(logs: DataFrame, *, max_bytes: int = P.LOG_STORE_CEILING_BYTES, columns: list[str] | None = None) -> DataFrame:

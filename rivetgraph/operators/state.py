@@ -141,7 +141,10 @@ def free_slots(jobs: DataFrame, active_claims: DataFrame) -> DataFrame:
     return (
         jobs.join(active, "job_id", "left")
         .withColumn("active", F.coalesce("active", zero()))
-        .withColumn("free_slots", F.greatest(zero(), F.col("max_workers") - F.col("active")))
+        .withColumn(
+            "free_slots",
+            F.when(F.col("max_workers").isNotNull(), F.greatest(zero(), F.col("max_workers") - F.col("active"))),
+        )
         .withColumn("at_cap", F.coalesce(F.col("active") >= F.col("max_workers"), F.lit(False)))
     )
 

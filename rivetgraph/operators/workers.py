@@ -127,10 +127,9 @@ def quarantine_with_resets(
         .select("worker_id", F.col("__us").alias("us"), "since")
     )
     cool_tile = lambda c: F.floor(c / F.lit(cool))
-    hot = candidates.groupBy("worker_id", cool_tile(F.col("us")).alias("tile")).agg(
-        F.min("us").alias("first"),
-        F.max("us").alias("last"),
-        F.array_sort(F.collect_set(F.struct("since", "us"))).alias("cands"),
+    candidates = candidates.withColumn("tile", cool_tile(F.col("us")))
+    hot = candidates.groupBy("worker_id", "tile").agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.max("since").alias("since")
     )
     # checks matter only where no candidate is within a cooldown before them
     asked = named_failures(claim_checks).select("worker_id", _micros("ts").alias("q"))
@@ -151,45 +150,49 @@ def quarantine_with_resets(
     # one row per tile: the free check of a tile always precedes its candidates
     tiles = hot.join(free, ["worker_id", "tile"], "full_outer")
     by_time = Window.partitionBy("worker_id").orderBy("tile")
+    numbered = tiles.withColumn(
+        "burst", F.sum(F.when(F.col("free_at").isNotNull(), 1).otherwise(0)).over(by_time)
+    )
     bursts = (
-        tiles.withColumn("burst", F.sum(F.when(F.col("free_at").isNotNull(), 1).otherwise(0)).over(by_time))
-        .groupBy("worker_id", "burst")
-        .agg(
-            F.min("free_at").alias("opened_by"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.flatten(F.array_sort(F.collect_list("cands"))).alias("cands"),
-        )
-        .withColumn("cleared_at", F.lead("opened_by").over(Window.partitionBy("worker_id").orderBy("burst")))
-        .where(F.col("first").isNotNull())
+        numbered.groupBy("worker_id", "burst")
+        .agg(F.min("free_at").alias("opened_by"), F.max("last").alias("last"), F.max("since").alias("since"))
+        .withColumn("cleared", F.lead("opened_by").over(Window.partitionBy("worker_id").orderBy("burst")))
+        .where(F.col("last").isNotNull())
+    )
+    listed = bursts.groupBy("worker_id").agg(
+        F.array_sort(F.collect_list(F.struct("burst", "last", "since", "cleared"))).alias("bursts")
     )
-    step = F.struct("burst", "cands", "last", "cleared_at")
-    listed = bursts.groupBy("worker_id").agg(F.array_sort(F.collect_list(step)).alias("bursts"))
 
     def fold(acc: Column, b: Column) -> Column:
-        usable = F.filter(b["cands"], lambda c: c["since"] > acc["reset"])
-        tripped = F.size(usable) > 0
+        held = b["since"] > acc["reset"]
         row = F.struct(
-            F.array_min(F.transform(usable, lambda c: c["us"])).alias("trip"),
-            (b["last"] + cool).alias("release"),
-            b["cleared_at"].alias("cleared"),
+            b["burst"].alias("burst"), acc["reset"].alias("reset"), (b["last"] + cool).alias("release"), b["cleared"].alias("cleared")
         )
         return F.struct(
-            F.when(tripped, F.coalesce(b["cleared_at"], acc["reset"])).otherwise(acc["reset"]).alias("reset"),
-            F.when(tripped, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+            F.when(held, F.coalesce(b["cleared"], acc["reset"])).otherwise(acc["reset"]).alias("reset"),
+            F.when(held, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
         )
 
     start = F.struct(
         F.lit(-(2**62)).cast("bigint").alias("reset"),
-        F.array().cast("array<struct<trip:bigint,release:bigint,cleared:bigint>>").alias("out"),
+        F.array().cast("array<struct<burst:bigint,reset:bigint,release:bigint,cleared:bigint>>").alias("out"),
+    )
+    held = listed.select("worker_id", F.inline(F.aggregate("bursts", start, fold)["out"]))
+    # the trip is the first candidate of the burst that the last reset did not defuse
+    trip = (
+        held.join(numbered.select("worker_id", "burst", "tile"), ["worker_id", "burst"])
+        .join(candidates, ["worker_id", "tile"])
+        .where(F.col("since") > F.col("reset"))
+        .groupBy("worker_id", "burst")
+        .agg(F.min("us").alias("trip"))
     )
-    folded = listed.select("worker_id", F.explode(F.aggregate("bursts", start, fold)["out"]).alias("o"))
+    folded = held.join(trip, ["worker_id", "burst"])
     stamp = lambda c: F.timestamp_micros(F.col(c))
     return folded.select(
         "worker_id",
-        stamp("o.trip").alias("trip_ts"),
-        stamp("o.release").alias("release_at"),
-        stamp("o.cleared").alias("cleared_at"),
+        stamp("trip").alias("trip_ts"),
+        stamp("release").alias("release_at"),
+        stamp("cleared").alias("cleared_at"),
     )
 
 

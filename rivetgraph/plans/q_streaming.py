@@ -1 +1,175 @@
-"""Pending."""
+"""ST-01 … ST-11: streams over the given tables, drained and compared with batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rivetgraph.plans.q_sources import event_text
+from rivetgraph.plans.registry import query
+from rivetgraph.plans.views import Tables
+from rivetgraph.streaming import jobs as sj, stateful
+from rivetgraph.streaming.runner import VersionedTable, drain, drain_updates, file_stream
+
+DAY = 86_400
+
+
+class Streams(Tables):
+    """The same views, with every given table read as a stream."""
+
+    def raw(self, name: str):
+        path = f"{self.dir}/{name}.parquet"
+        return file_stream(self.spark, path, self.spark.read.parquet(path).schema)
+
+
+def live(t: Tables) -> Streams:
+    return Streams(t.spark, t.dir)
+
+
+@query(
+    "st_01_event_router",
+    "SELECT kind, seq, duration_ms FROM ev WHERE seq % 50 <> 0 AND NOT (seq % 50 = 1 AND kind LIKE 'drv_%')",
+)
+def _(t):
+    return sj.routed(event_text(live(t))).select("kind", "seq", "duration_ms")
+
+
+@query(
+    "st_02_progress_ticks",
+    """SELECT job_id, time_bucket(INTERVAL 1 HOUR, ts) AS tick, count(*) FILTER (kind = 'drv_started') AS started, count(*) FILTER (kind = 'drv_completed') AS completed,
+              count(*) FILTER (kind = 'drv_failed') AS failed FROM ev GROUP BY ALL""",
+)
+def _(t):
+    return drain_updates(sj.progress_ticks(live(t).ev, every_secs=3600), ["job_id", "tick"])
+
+
+@query("st_03_missed_events", "SELECT job_id, max(seq) AS last_seq, max(seq) - min(seq) + 1 - count(*) AS missed FROM ev GROUP BY ALL")
+def _(t):
+    return drain_updates(sj.missed_events(live(t).ev), ["job_id"])
+
+
+@query(
+    "st_03_sequence_gaps",
+    """SELECT job_id, seq, missed FROM (SELECT job_id, seq, seq - lag(seq) OVER (PARTITION BY job_id ORDER BY seq) - 1 AS missed FROM ev) WHERE missed > 0""",
+)
+def _(t):
+    return sj.sequence_gaps(t.ev)
+
+
+@query(
+    "st_04_run_fold",
+    """WITH done AS (SELECT job_id, min(seq) AS ended_seq FROM ev WHERE kind = 'job_done' GROUP BY ALL),
+            live AS (SELECT ev.*, d.ended_seq FROM ev LEFT JOIN done d USING (job_id) WHERE d.ended_seq IS NULL OR seq <= d.ended_seq)
+       SELECT job_id, any_value(ended_seq) AS ended_seq, 'status ' || any_value(ended_seq) AS status, count(*) FILTER (kind = 'drv_failed' AND seq % 3 = 0) AS retries,
+              count(*) FILTER (kind = 'drv_failed' AND seq % 3 > 0 AND seq % 5 > 0) AS own_failures, max(seq) FILTER (kind = 'progress') AS progress_seq,
+              max_by(duration_ms, seq) FILTER (kind = 'progress') AS progress FROM live GROUP BY job_id""",
+)
+def _(t):
+    stream = live(t)
+    events = stream.ev.select(
+        "job_id",
+        "seq",
+        "kind",
+        (F.col("seq") % 3 == 0).alias("will_retry"),
+        F.when(F.col("seq") % 5 == 0, "propagated_failure").otherwise("transient").alias("error_category"),
+        F.concat(F.lit("status "), F.col("seq").cast("string")).alias("status"),
+        F.col("duration_ms").alias("progress"),
+    )
+    return VersionedTable(t.spark).keep(events, sj.fold_runs)
+
+
+@query(
+    "st_05_streaming_quarantine",
+    """SELECT worker_id, epoch_us(ts) AS trip_us, epoch_us(ts) + 86400000000 AS release_us FROM (
+         SELECT worker_id, ts, count(*) OVER (PARTITION BY worker_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW) AS n FROM ev WHERE kind = 'drv_failed') WHERE n >= 5""",
+)
+def _(t):
+    # failures only: without claim checks nothing resets, as in the SQL
+    events = live(t).ev.where(F.col("kind") == "drv_failed").select("worker_id", "ts", F.lit(True).alias("is_failure"))
+    return drain(stateful.quarantine_stream(events, threshold=5, window_secs=3 * DAY, cooldown_secs=DAY))
+
+
+@query(
+    "st_06_lease_expiry",
+    """WITH marks AS (SELECT max(epoch_us(started_at)) AS a, max(epoch_us(ended_at)) FILTER (NOT open) AS b FROM attempts)
+       SELECT claim_id, epoch_us(started_at) + 30000000 AS expired_us FROM attempts, marks
+       WHERE CASE WHEN open THEN epoch_us(started_at) + 30000000 < greatest(a, b) ELSE duration_ms >= 30000 END""",
+)
+def _(t):
+    attempts = live(t).attempts.select(
+        "claim_id",
+        F.explode(
+            F.array(
+                F.struct(F.col("started_at").alias("ts"), F.lit("issue").alias("kind")),
+                F.struct(F.when(~F.col("open"), F.col("ended_at")).alias("ts"), F.lit("complete").alias("kind")),
+            )
+        ).alias("e"),
+    ).select("claim_id", "e.*")
+    return drain(stateful.lease_expiry(attempts.where(F.col("ts").isNotNull()), window_secs=30))
+
+
+@query(
+    "st_07_heartbeat_timeout",
+    """WITH b AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM ev),
+            s AS (SELECT job_id, ts, sum(opens) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM b),
+            e AS (SELECT job_id, n, max(ts) + INTERVAL 12 HOURS AS timed_out_at FROM s GROUP BY ALL)
+       SELECT job_id, min(timed_out_at) AS cancelled_at FROM e WHERE timed_out_at < (SELECT max(ts) FROM ev) GROUP BY ALL""",
+)
+def _(t):
+    sessions = drain(sj.heartbeat_sessions(live(t).ev, gap_secs=12 * 3600))
+    return sj.first_timeouts(sessions)
+
+
+@query("st_08_dedup_within_watermark", "SELECT DISTINCT worker_id, kind FROM ev")
+def _(t):
+    rows = sj.dedup_within(live(t).ev.select("worker_id", "kind", "ts"), ["worker_id", "kind"], late="400 days")
+    return drain(rows).select("worker_id", "kind")
+
+
+@query("st_08_dedup_exact", "SELECT worker_id, kind, min(seq) AS seq FROM ev GROUP BY ALL")
+def _(t):
+    stream = live(t)
+    return sj.dedup_exact(stream.ev.select("worker_id", "kind", "seq"), ["worker_id", "kind"], [F.col("seq")])
+
+
+@query(
+    "st_09_cache_enrichment",
+    """SELECT drv_hash, output_path, output_path IN (SELECT output_path FROM failed_outputs WHERE expires_at > TIMESTAMP '1995-01-01') AS cached_failed
+       FROM (SELECT drv_hash, regexp_replace(drv_path, '(\\.drv)+$', '') AS output_path FROM steps)""",
+)
+def _(t):
+    rows = sj.cache_enriched(live(t).steps.select("drv_hash", "drv_path"), t.failed_outputs, F.lit("1995-01-01").cast("timestamp"))
+    return drain(rows).select("drv_hash", "output_path", "cached_failed")
+
+
+@query(
+    "st_10_log_upsert_stream",
+    """SELECT claim_id, first(drv_hash ORDER BY up) AS drv_hash, first(attempt ORDER BY up) AS attempt,
+              last(original_size ORDER BY up) AS original_size, last(truncated ORDER BY up) AS truncated, last(stored_at ORDER BY up) AS stored_at
+       FROM (SELECT claim_id // 4 AS claim_id, drv_hash, attempt, original_size, truncated, stored_at, claim_id AS up FROM build_logs) GROUP BY ALL""",
+)
+def _(t):
+    uploads = live(t).build_logs.select(
+        F.floor(F.col("claim_id") / 4).alias("claim_id"),
+        "drv_hash",
+        "attempt",
+        "original_size",
+        "truncated",
+        "log_gz",
+        "stored_at",
+        F.col("claim_id").alias("upload_id"),
+    )
+    return sj.upserted_logs(uploads).drop("log_gz")
+
+
+@query(
+    "st_11_terminal_detection",
+    """SELECT job_id, count(*) FILTER (success) AS finished, count(*) FILTER (NOT success) AS failed FROM attempts WHERE job_id IN (SELECT job_id FROM jobs WHERE sealed) GROUP BY ALL""",
+)
+def _(t):
+    stream = live(t)
+    expected = t.attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("expected"))
+    seals = stream.jobs.where("sealed").select("job_id", F.lit("seal").alias("kind")).join(expected, "job_id")
+    ends = stream.attempts.select(
+        "job_id", F.when(F.col("success"), "finished").otherwise("failed").alias("kind"), F.lit(None).cast("bigint").alias("expected")
+    )
+    return drain(stateful.job_ends(seals.unionByName(ends)))

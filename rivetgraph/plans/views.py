@@ -328,13 +328,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the views it uses, in order of need."""
     known = CTES | (extra or {})
     order: list[str] = []
+    open_names: set[str] = set()
 
-    def need(text: str, own: str | None = None) -> None:
+    def need(text: str) -> None:
         for name in known:
-            if name != own and name not in order and re.search(rf"\b{name}\b", text):
-                need(known[name], name)
-                if name not in order:
-                    order.append(name)
+            if name not in open_names and re.search(rf"\b{name}\b", text):
+                open_names.add(name)
+                need(known[name])
+                order.append(name)
 
     need(sql)
     head = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
