@@ -17,8 +17,9 @@ class Streams(Tables):
     """The same views, with every given table read as a stream."""
 
     def raw(self, name: str):
-        path = f"{self.dir}/{name}.parquet"
-        return file_stream(self.spark, path, self.spark.read.parquet(path).schema)
+        schema = self.spark.read.parquet(f"{self.dir}/{name}.parquet").schema
+        # as a pattern, since a stream takes a plain path for a folder
+        return file_stream(self.spark, f"{self.dir}/{name}.parque[t]", schema)
 
 
 def live(t: Tables) -> Streams:
