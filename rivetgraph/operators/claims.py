@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rivetgraph import params as P
 from rivetgraph.functions.outcomes import is_terminal
 from rivetgraph.functions.times import plus_seconds, seconds_between
-from rivetgraph.operators.blocks import first_per_key, numbered
+from rivetgraph.operators.blocks import numbered
 
 
 def completion_validity(completions: DataFrame, claims: DataFrame) -> DataFrame:
@@ -16,16 +16,15 @@ def completion_validity(completions: DataFrame, claims: DataFrame) -> DataFrame:
     owner = claims.select("claim_id", F.col("job_id").alias("__job"), "drv_hash", "attempt", "worker_id")
     seen = completions.join(owner, "claim_id", "left")
     right = F.coalesce(F.col("__job") == F.col("job_id"), F.lit(False))
-    takers = first_per_key(
-        seen.where(right), ["claim_id"], [F.col("completed_at"), F.col("completion_id")]
-    ).select("completion_id", F.lit(True).alias("__taker"))
+    stamp = F.struct("completed_at", "completion_id")
+    takers = seen.where(right).groupBy("claim_id").agg(F.min(stamp).alias("__taker"))
     return (
-        seen.join(takers, "completion_id", "left")
+        seen.join(takers, "claim_id", "left")
         .withColumn(
             "validity",
             F.when(F.col("__job").isNull(), "ignored")
             .when(~right, "wrong_job")
-            .when(F.col("__taker"), "ok")
+            .when(stamp == F.col("__taker"), "ok")
             .otherwise("ignored"),
         )
         .drop("__job", "__taker")

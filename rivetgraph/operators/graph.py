@@ -8,19 +8,12 @@ ends when a round adds nothing; visited rows are never joined twice.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rivetgraph import params as P
 from rivetgraph.operators.blocks import top_per_key
-from rivetgraph.session import cut, cut_counted
-
-COMPACT_EVERY = 16
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+from rivetgraph.session import Rounds, cut, cut_counted
 
 
 def walk(
@@ -34,11 +27,14 @@ def walk(
 ) -> DataFrame:
     """All (tags, node) reachable from ``start`` over ``hops(frm, to)``.
 
+    Tags that are columns of ``hops`` too must match: each tag then has hops of its own.
+
     ``expand``: nodes the walk may leave again (others are visited but not left).
     ``within``: (subset of tags, node) pairs that may be entered; also applied to
     ``start``. Both are joins, so they may be as large as the graph.
     """
     cols = [*tags, node]
+    own = [c for c in tags if c in hops.columns]
 
     def allowed(df: DataFrame) -> DataFrame:
         if within is None:
@@ -47,21 +43,17 @@ def walk(
         return df.join(within.select(*keys), keys, "left_semi")
 
     hops = cut(hops.distinct())
-    frontier, found = cut_counted(allowed(start.select(*cols).distinct()))
-    rounds = [frontier]
+    rounds = Rounds(start.sparkSession)
+    frontier, found = rounds.add(allowed(start.select(*cols).distinct()))
     while found:
         leaving = frontier if expand is None else frontier.join(expand.select(node), node, "left_semi")
         reached = (
-            leaving.join(hops, F.col(node) == F.col("frm"))
+            leaving.join(hops.withColumnRenamed("frm", node), [*own, node])
             .select(*tags, F.col("to").alias(node))
             .distinct()
         )
-        fresh = allowed(reached).join(_union(rounds), cols, "left_anti")
-        frontier, found = cut_counted(fresh)
-        rounds.append(frontier)
-        if len(rounds) > COMPACT_EVERY:
-            rounds = [cut(_union(rounds))]
-    return _union(rounds)
+        frontier, found = rounds.add(allowed(reached).join(rounds.all(), cols, "left_anti"))
+    return rounds.all()
 
 
 def to_deps(edges: DataFrame) -> DataFrame:
@@ -139,7 +131,8 @@ def cycle_core(roots: DataFrame, edges: DataFrame, members: DataFrame | None = N
     ``roots``: tag, node; ``edges``: src, dst and optionally tag; ``members``: tag, node.
     """
     if tag in edges.columns:
-        reach = _tagged_reach(roots, edges, tag)
+        hops = edges.select(tag, F.col("src").alias("frm"), F.col("dst").alias("to"))
+        reach = walk(roots, hops, tags=[tag])
         own = edges.join(reach.withColumnRenamed("node", "src"), [tag, "src"], "left_semi")
     else:
         reach = walk(roots, to_deps(edges), tags=[tag], within=members)
@@ -152,14 +145,6 @@ def cycle_core(roots: DataFrame, edges: DataFrame, members: DataFrame | None = N
     return core.select(tag, F.col("src").alias("node")).union(core.select(tag, F.col("dst").alias("node"))).distinct()
 
 
-def _tagged_reach(roots: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
-    """Reachability where every tag has edges of its own: walk over (tag, node) pairs."""
-    pair = lambda node: F.struct(F.col(tag).alias("t"), F.col(node).alias("n"))
-    hops = edges.select(pair("src").alias("frm"), pair("dst").alias("to"))
-    seen = walk(roots.select(pair("node").alias("node")), hops)
-    return seen.select(F.col("node.t").alias(tag), F.col("node.n").alias("node"))
-
-
 def cycle_verdict(jobs: DataFrame, core: DataFrame, *, preview: int = P.CYCLE_PREVIEW) -> DataFrame:
     """Jobs with has_cycle, the number of nodes concerned and the smallest few of them."""
 
@@ -195,21 +180,16 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     input. Nodes on or above a cycle get no wave and are left out."""
     remaining_edges = cut(edges.select("src", "dst").distinct())
     remaining = cut(nodes.select("node").distinct())
-    levels: list[DataFrame] = []
-    wave = 0
-    while True:
+    levels = Rounds(nodes.sparkSession)
+    found = True
+    while found:
         blocked = remaining_edges.select(F.col("src").alias("node")).distinct()
-        level, found = cut_counted(remaining.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave)))
-        if not found:
-            break
-        levels.append(level)
+        level = remaining.join(blocked, "node", "left_anti").withColumn("wave", F.lit(levels.n))
+        level, found = levels.add(level)
         done = level.select("node")
         remaining = cut(remaining.join(done, "node", "left_anti"))
         remaining_edges = cut(remaining_edges.join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        wave += 1
-        if len(levels) > COMPACT_EVERY:
-            levels = [cut(_union(levels))]
-    return _union(levels) if levels else nodes.select("node", F.lit(0).alias("wave")).limit(0)
+    return levels.all()
 
 
 def propagate_failures(
@@ -232,23 +212,19 @@ def propagate_failures(
     label = F.struct(F.col("failed_at").alias("at"), F.col("node").alias("origin"))
     frontier = failed.groupBy("node").agg(F.min(label).alias("label"))
     offers = _offers(frontier, open_edges)
-    rounds: list[DataFrame] = []
-    while True:
-        if rounds:
-            known = best_labels(rounds).withColumnRenamed("label", "known")
+    rounds = Rounds(failed.sparkSession)
+    improved = True
+    while improved:
+        if rounds.n:
+            known = best_labels(rounds.all()).withColumnRenamed("label", "known")
             offers = (
                 offers.join(known, "node", "left")
                 .where(F.col("known").isNull() | (F.col("label") < F.col("known")))
                 .select("node", "label")
             )
-        frontier, improved = cut_counted(offers)
-        rounds.append(frontier)
-        if not improved:
-            break
-        if len(rounds) > COMPACT_EVERY:
-            rounds = [cut(best_labels(rounds))]
+        frontier, improved = rounds.add(offers)
         offers = _offers(frontier, open_edges)
-    best = best_labels(rounds)
+    best = best_labels(rounds.all())
     return best.select("node", F.col("label.origin").alias("origin"), F.col("label.at").alias("origin_at"))
 
 
@@ -260,8 +236,8 @@ def _offers(frontier: DataFrame, hops: DataFrame) -> DataFrame:
     )
 
 
-def best_labels(rounds: Sequence[DataFrame]) -> DataFrame:
-    return _union(rounds).groupBy("node").agg(F.min("label").alias("label"))
+def best_labels(offers: DataFrame) -> DataFrame:
+    return offers.groupBy("node").agg(F.min("label").alias("label"))
 
 
 def propagated_rows(propagated: DataFrame, members: DataFrame) -> DataFrame:

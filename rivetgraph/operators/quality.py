@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rivetgraph import params as P
 from rivetgraph.functions.outcomes import is_terminal
-from rivetgraph.operators.blocks import frozen_ranges
+from rivetgraph.operators.blocks import max_before
 
 
 def terminal_counts_add_up(jobs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -48,23 +48,12 @@ def started_before_input(edges: DataFrame, times: DataFrame) -> DataFrame:
 def overlapping_claims(claims: DataFrame) -> DataFrame:
     """DQ-05: claims that start while an earlier claim of the same step still runs.
 
-    ``claims``: drv_hash, claim_id, started_at, ended_at. A running maximum of the ends,
-    taken range by range, also catches an earlier claim longer than the previous one.
+    ``claims``: drv_hash, claim_id, started_at, ended_at. A running maximum of the ends
+    also catches an earlier claim longer than the previous one.
     """
     order = [F.col("started_at"), F.col("claim_id")]
-    rows = frozen_ranges(claims, ["drv_hash"], order)
-    before = Window.unboundedPreceding
-    inside = Window.partitionBy("drv_hash", "__range").orderBy(*order).rowsBetween(before, -1)
-    local = rows.withColumn("__here", F.max("ended_at").over(inside))
-    ends = rows.groupBy("drv_hash", "__range").agg(F.max("ended_at").alias("__max"))
-    across = Window.partitionBy("drv_hash").orderBy("__range").rowsBetween(before, -1)
-    earlier = ends.select("drv_hash", "__range", F.max("__max").over(across).alias("__earlier"))
-    return (
-        local.join(earlier, ["drv_hash", "__range"])
-        .withColumn("busy_until", F.greatest("__here", "__earlier"))
-        .where(F.col("busy_until") > F.col("started_at"))
-        .drop("__range", "__here", "__earlier")
-    )
+    busy = max_before(claims, order, F.col("ended_at"), keys=["drv_hash"], out="busy_until")
+    return busy.where(F.col("busy_until") > F.col("started_at"))
 
 
 def bad_job_rows(jobs: DataFrame) -> DataFrame:

@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rivetgraph import params as P
 from rivetgraph.operators import failures as fail
+from rivetgraph.operators.blocks import top_per_key
 from rivetgraph.plans.registry import plain_times
-from rivetgraph.plans.views import Tables, attempt_order
+from rivetgraph.plans.views import ATTEMPT_ORDER, Tables, attempt_order
+from rivetgraph.session import cut
 
 
 def report(t: Tables) -> DataFrame:
-    own = fail.first_failures(t._failures(t.retried), attempt_order())
-    capped = fail.capped_failures(own, attempt_order())
-    summary = capped.groupBy("job_id").agg(
-        F.count_if(F.col("error_category") != "propagated_failure").cast("int").alias("originating_failures_total"),
-        F.count_if(F.col("error_category") == "propagated_failure").cast("int").alias("propagated_failures"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("place") < 3, F.struct("place", "drv_name")))),
-                lambda r: r["drv_name"],
-            ),
-            ", ",
-        ).alias("originating_failures"),
-    )
     failed = t.jobs.where(F.col("status") == "failed").select("job_id", "external_ref", "status", "done_at")
+    # two reports read the same deduplicated failures, so they are computed once
+    own = cut(
+        fail.first_failures(t.all_failures(t.retried), attempt_order()).select(
+            "job_id", "drv_name", "error_category", "propagated_from", "worker_id", *ATTEMPT_ORDER
+        )
+    )
+    summary = own.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "job_id",
+        F.least("n", F.lit(P.MAX_FAILURES_IN_RESULT)).cast("int").alias("originating_failures_total"),
+        # what the stored list cuts off is marked by one record that counts as propagated
+        (F.col("n") > P.MAX_FAILURES_IN_RESULT).cast("int").alias("propagated_failures"),
+    )
+    named = (
+        top_per_key(own, ["job_id"], attempt_order(), 3, "place")
+        .groupBy("job_id")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "drv_name"))).alias("top"))
+        .select("job_id", F.array_join("top.drv_name", ", ").alias("originating_failures"))
+    )
     return (
         failed.join(summary, "job_id", "left")
+        .join(named, "job_id", "left")
         .join(fail.suspected_workers(own), "job_id", "left")
         .orderBy(F.col("done_at").desc(), "job_id")
     )

@@ -91,21 +91,17 @@ def _(t):
 
 @query(
     "st_06_lease_expiry",
-    """WITH marks AS (SELECT max(epoch_us(started_at)) AS a, max(epoch_us(ended_at)) FILTER (NOT open) AS b FROM attempts)
-       SELECT claim_id, epoch_us(started_at) + 30000000 AS expired_us FROM attempts, marks
-       WHERE CASE WHEN open THEN epoch_us(started_at) + 30000000 < greatest(a, b) ELSE duration_ms >= 30000 END""",
+    """WITH marks AS (SELECT greatest(max(started_at), max(ended_at) FILTER (NOT open)) AS seen FROM attempts)
+       SELECT claim_id, started_at + to_seconds(30) AS expired_at FROM attempts, marks
+       WHERE CASE WHEN open THEN started_at + to_seconds(30) <= seen ELSE duration_ms >= 30000 END""",
 )
 def _(t):
-    attempts = live(t).attempts.select(
-        "claim_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("started_at").alias("ts"), F.lit("issue").alias("kind")),
-                F.struct(F.when(~F.col("open"), F.col("ended_at")).alias("ts"), F.lit("complete").alias("kind")),
-            )
-        ).alias("e"),
-    ).select("claim_id", "e.*")
-    return drain(stateful.lease_expiry(attempts.where(F.col("ts").isNotNull()), window_secs=30))
+    both = F.array(
+        F.struct(F.col("started_at").alias("ts"), F.lit("issue").alias("kind")),
+        F.struct(F.when(~F.col("open"), F.col("ended_at")).alias("ts"), F.lit("complete").alias("kind")),
+    )
+    events = live(t).attempts.select("claim_id", F.inline(both)).where(F.col("ts").isNotNull())
+    return drain(sj.lease_sessions(events, window_secs=30))
 
 
 @query(
@@ -173,4 +169,4 @@ def _(t):
     ends = stream.attempts.select(
         "job_id", F.when(F.col("success"), "finished").otherwise("failed").alias("kind"), F.lit(None).cast("bigint").alias("expected")
     )
-    return drain(stateful.job_ends(seals.unionByName(ends)))
+    return drain_updates(sj.job_ends(seals.unionByName(ends)), ["job_id"], first=True)

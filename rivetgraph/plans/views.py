@@ -153,7 +153,7 @@ class Tables:
         named = F.concat(F.lit("w"), (F.col("l_suppkey") % 3).cast("string"))
         return self._attempts(F.col("l_partkey") % 20, named)
 
-    def _failures(self, attempts: DataFrame) -> DataFrame:
+    def all_failures(self, attempts: DataFrame) -> DataFrame:
         null = F.lit(None)
         return attempts.where(~F.col("success")).select(
             "job_id",
@@ -170,11 +170,11 @@ class Tables:
 
     @cached_property
     def failures(self) -> DataFrame:
-        return fail.first_failures(self._failures(self.attempts), attempt_order())
+        return fail.first_failures(self.all_failures(self.attempts), attempt_order())
 
     @cached_property
     def retried_failures(self) -> DataFrame:
-        return fail.first_failures(self._failures(self.retried), attempt_order())
+        return fail.first_failures(self.all_failures(self.retried), attempt_order())
 
     @cached_property
     def members(self) -> DataFrame:
@@ -185,7 +185,7 @@ class Tables:
     @cached_property
     def terminal_failures(self) -> DataFrame:
         """Build failures with the output they spoil."""
-        bad = self._failures(self.attempts).where(F.col("error_category") == "build_failure")
+        bad = self.all_failures(self.attempts).where(F.col("error_category") == "build_failure")
         named = self.steps.select("drv_hash", output_path(F.col("drv_path")).alias("output_path"))
         return bad.join(named, "drv_hash").select(
             "output_path",

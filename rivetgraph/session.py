@@ -61,6 +61,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder, read it back, and tell its row count.
 
@@ -69,12 +75,30 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     real size, so joins on a small result need no shuffle. The count comes with the
     write; no second pass.
     """
-    spark = df.sparkSession
-    path = table_path(spark, "cut")
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    return _write_counted(df, table_path(df.sparkSession, "cut"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
+
+
+class Rounds:
+    """A table in the shared folder that grows by one part per round of a loop."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = table_path(spark, "rounds")
+        self.schema = None
+        self.n = 0
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write one round; gives it back with its row count."""
+        self.schema = df.schema
+        part, found = _write_counted(df, f"{self.path}/round={self.n}")
+        self.n += 1
+        return part, found
+
+    def all(self) -> DataFrame:
+        """Everything written so far, as one scan."""
+        read = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true")
+        return read.parquet(self.path)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rivetgraph import params as P
 from rivetgraph.functions.paths import output_path
-from rivetgraph.operators.blocks import first_per_key, frozen_ranges
+from rivetgraph.operators.blocks import first_per_key, max_before
 from rivetgraph.operators.logs import upsert_logs
 from rivetgraph.sources.documents import job_events
 from rivetgraph.streaming.runner import VersionedTable, drain
@@ -45,18 +45,11 @@ def missed_events(events: DataFrame) -> DataFrame:
 def sequence_gaps(events: DataFrame) -> DataFrame:
     """ST-03, batch form: each gap (job_id, seq, missed), the event after it named by seq.
 
-    The order is cut into ranges, so one job may hold any share of the events.
+    The sequence ascends, so the number before is the largest one so far.
     """
-    rows = frozen_ranges(events.select("job_id", "seq"), ["job_id"], [F.col("seq")])
-    inside = Window.partitionBy("job_id", "__range").orderBy("seq")
-    local = rows.withColumn("__prev", F.lag("seq").over(inside))
-    ends = rows.groupBy("job_id", "__range").agg(F.max("seq").alias("__last"))
-    before = Window.partitionBy("job_id").orderBy("__range")
-    ends = ends.select("job_id", "__range", F.lag("__last").over(before).alias("__before"))
-    missed = F.col("seq") - F.coalesce("__prev", "__before") - 1
-    return (
-        local.join(ends, ["job_id", "__range"]).withColumn("missed", missed).where(F.col("missed") > 0)
-    ).select("job_id", "seq", "missed")
+    rows = max_before(events.select("job_id", "seq"), [F.col("seq")], F.col("seq"), keys=["job_id"], out="prev")
+    missed = F.col("seq") - F.col("prev") - 1
+    return rows.select("job_id", "seq", missed.alias("missed")).where(F.col("missed") > 0)
 
 
 RUN_COLUMNS = ("job_id", "ended_seq", "status", "retries", "own_failures", "progress_seq", "progress")
@@ -119,6 +112,50 @@ def heartbeat_sessions(beats: DataFrame, *, gap_secs: int = P.HEARTBEAT_TIMEOUT_
     )
 
 
+def lease_sessions(
+    events: DataFrame, *, window_secs: int = P.CLAIM_DEADLINE_SECS, late: str = "0 seconds"
+) -> DataFrame:
+    """ST-06: (claim_id, expired_at) for claims neither completed nor extended in time.
+
+    A lease is a session: issue and each extension keep it open for the window, and a
+    completion inside it closes it well. Batch or stream; in append mode an expiry
+    appears once the watermark has passed it. ``events``: claim_id, ts, kind in
+    issue / extend / complete. Sessions that touch are merged by Spark, while a lease is
+    over at the very deadline, so the gap is one microsecond short of it.
+    """
+    micros = window_secs * 1_000_000 - 1
+    gap = F.when(F.col("kind") == "complete", F.lit("1 microsecond")).otherwise(F.lit(f"{micros} microseconds"))
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("claim_id", F.session_window("ts", gap).alias("s"))
+        .agg(
+            F.bool_or(F.col("kind") == "issue").alias("__issued"),
+            F.bool_or(F.col("kind") == "complete").alias("__completed"),
+        )
+        .where(F.col("__issued") & ~F.col("__completed"))
+        .select("claim_id", F.timestamp_micros(F.unix_micros(F.col("s.end")) + 1).alias("expired_at"))
+    )
+
+
+def job_ends(events: DataFrame) -> DataFrame:
+    """ST-11: (job_id, finished, failed) once a job is sealed and all its steps are done.
+
+    ``events``: job_id, kind (``seal`` with the ``expected`` number of steps, ``finished``,
+    ``failed``). A plain aggregate in update mode, so a busy job is counted in part before
+    its rows meet; read it with ``drain_updates(first=True)`` to get each end once.
+    """
+    return (
+        events.groupBy("job_id")
+        .agg(
+            F.max("expected").alias("expected"),
+            F.count_if(F.col("kind") == "finished").alias("finished"),
+            F.count_if(F.col("kind") == "failed").alias("failed"),
+        )
+        .where(F.col("finished") + F.col("failed") >= F.col("expected"))
+        .drop("expected")
+    )
+
+
 def first_timeouts(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("job_id").agg(F.min("timed_out_at").alias("cancelled_at"))
 

@@ -34,8 +34,9 @@ def drain(stream: DataFrame, *, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_updates(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Update-mode result: every change is appended, the newest per key is read back."""
+def drain_updates(stream: DataFrame, keys: Sequence[str], *, first: bool = False) -> DataFrame:
+    """Update-mode result: every change is appended, the newest (or first) per key is read
+    back."""
     spark = stream.sparkSession
     path = table_path(spark, "stream-updates")
 
@@ -46,7 +47,8 @@ def drain_updates(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     _finish(stream.writeStream.outputMode("update").foreachBatch(add), spark)
     rest = [c for c in stream.columns if c not in keys]
     changes = spark.read.option("basePath", path).parquet(path)
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
+    pick = F.min_by if first else F.max_by
+    return changes.groupBy(*keys).agg(pick(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
 
 
 class VersionedTable:

@@ -1,4 +1,4 @@
-"""Keyed state that built-in aggregates cannot hold: quarantine, leases, job ends.
+"""Keyed state that built-in aggregates cannot hold: the live quarantine.
 
 Each handler sees one key's rows of one micro-batch as Arrow batches. Micro-batches are
 bounded by the source's rate options, and the state per key is small.
@@ -57,77 +57,3 @@ def quarantine_stream(
         "append",
         GroupStateTimeout.NoTimeout,
     )
-
-
-def lease_expiry(events: DataFrame, *, window_secs: int = P.CLAIM_DEADLINE_SECS, late: str = "0 seconds") -> DataFrame:
-    """ST-06: (claim_id, expired_us) for claims neither completed nor extended in time.
-
-    ``events``: claim_id, ts, kind in issue / extend / complete. An event-time timer
-    stands at the deadline; what arrives after it finds no claim.
-    """
-    width = window_secs * US
-
-    def handle(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        expired = None
-        if state.hasTimedOut:
-            expired = state.get[0]
-            state.remove()
-        else:
-            due = state.get[0] if state.exists else None
-            rows = pd.concat(list(batches)).sort_values(["us", "rank"])
-            for us, kind in zip(rows["us"], rows["kind"]):
-                if due is not None and us >= due:
-                    expired, due = due, None
-                    break
-                if kind == "issue":
-                    due = int(us) + width
-                elif due is not None:
-                    due = int(us) + width if kind == "extend" else None
-            if due is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((due,))
-                state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"claim_id": [key[0]] if expired else [], "expired_us": [expired] if expired else []})
-
-    rank = F.when(F.col("kind") == "issue", 0).when(F.col("kind") == "extend", 1).otherwise(2)
-    rows = events.withWatermark("ts", late).select("claim_id", "ts", "kind", F.unix_micros("ts").alias("us"), rank.alias("rank"))
-    return rows.groupBy("claim_id").applyInPandasWithState(
-        handle,
-        "claim_id STRING, expired_us BIGINT",
-        "due BIGINT",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def job_ends(events: DataFrame) -> DataFrame:
-    """ST-11: (job_id, finished, failed) once per job, when it is sealed and all its steps
-    are finished.
-
-    ``events``: job_id, kind (``seal`` with ``expected`` steps, ``finished``, ``failed``).
-    The counts commute, so the order inside a batch does not matter.
-    """
-
-    def handle(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        expected, finished, failed, told = state.get if state.exists else (None, 0, 0, False)
-        for rows in batches:
-            sealed = rows.loc[rows["kind"] == "seal", "expected"]
-            expected = int(sealed.iloc[0]) if len(sealed) else expected
-            finished += int((rows["kind"] == "finished").sum())
-            failed += int((rows["kind"] == "failed").sum())
-        now = not told and expected is not None and finished + failed >= expected
-        state.update((expected, finished, failed, told or now))
-        yield pd.DataFrame(
-            [(key[0], finished, failed)] if now else [], columns=["job_id", "finished", "failed"]
-        )
-
-    rows = events.select("job_id", "kind", "expected")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        handle,
-        "job_id BIGINT, finished BIGINT, failed BIGINT",
-        "expected BIGINT, finished BIGINT, failed BIGINT, told BOOLEAN",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
