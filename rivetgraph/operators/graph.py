@@ -42,7 +42,7 @@ def walk(
         keys = [c for c in cols if c in within.columns]
         return df.join(within.select(*keys), keys, "left_semi")
 
-    hops = cut(hops.distinct())
+    hops = cut(hops)
     rounds = Rounds(start.sparkSession)
     frontier, found = rounds.add(allowed(start.select(*cols).distinct()))
     while found:
@@ -113,14 +113,17 @@ def first_submitter(emitted: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _peel(edges: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Remove edges whose source has no incoming edge left, until none is."""
+def _trim(edges: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """Drop edges that start where nothing arrives or end where nothing leaves, until
+    all that are left lie on or between cycles."""
     left, now = cut_counted(edges.select(*tags, "src", "dst").distinct())
     before = now + 1
     while 0 < now < before:
         entered = left.select(*tags, F.col("dst").alias("src")).distinct()
+        left_again = left.select(*tags, F.col("src").alias("dst")).distinct()
+        kept = left.join(entered, [*tags, "src"], "left_semi").join(left_again, [*tags, "dst"], "left_semi")
         before = now
-        left, now = cut_counted(left.join(entered, [*tags, "src"], "left_semi"))
+        left, now = cut_counted(kept.select(*tags, "src", "dst"))
     return left
 
 
@@ -139,9 +142,7 @@ def cycle_core(roots: DataFrame, edges: DataFrame, members: DataFrame | None = N
         own = reach.withColumnRenamed("node", "src").join(edges, "src")
     if members is not None:
         own = own.join(members.select(tag, F.col("node").alias("dst")), [tag, "dst"], "left_semi")
-    forward = _peel(own.select(tag, "src", "dst"), [tag])
-    flipped = forward.select(tag, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    core = _peel(flipped, [tag])
+    core = _trim(own.select(tag, "src", "dst"), [tag])
     return core.select(tag, F.col("src").alias("node")).union(core.select(tag, F.col("dst").alias("node"))).distinct()
 
 
