@@ -45,7 +45,7 @@ def _read(data: bytes) -> tuple[str | None, str | None, dict]:
         return "NotUtf8", None, {}
     if not text.startswith("Derive("):
         return "MissingHeader", None, {}
-    if not text.endswith(")") or len(text) == len("Derive("):
+    if not text.endswith(")"):
         return "MissingFooter", None, {}
     body = TOKEN.sub(_to_json, text[len("Derive(") : -1])
     fields, at = {}, 0
