@@ -102,9 +102,10 @@ def lease_timeline(
     """WN-15: the deadline of each claim at ``as_of``.
 
     The window is the job's own if set. Each extension moves the deadline to its time
-    plus the window, at most to the hard deadline. One that arrives after the claim has
-    lapsed finds nothing to extend, and neither does any later one: with extensions in
-    order, the lease holds up to the first gap longer than the window.
+    plus the window, at most to the hard deadline. One that arrives at or after the
+    deadline finds nothing to extend, and neither does any later one. So a lease is the
+    session that the issue opens and extensions keep open. Spark merges sessions that
+    touch, hence the gap is one microsecond short of the window.
     """
     base = claims.join(jobs.select("job_id", "claim_deadline_secs"), "job_id", "left").withColumn(
         "window_secs", F.coalesce("claim_deadline_secs", F.lit(window_secs).cast("bigint"))
@@ -115,26 +116,24 @@ def lease_timeline(
         else plus_seconds(F.col("issued_at"), F.lit(lifetime_secs))
     )
     base = base.withColumn("hard_deadline", hard).drop("claim_deadline_secs")
-    # touches of a claim = its issue and its extensions; claims are leases of hours that
-    # are refreshed at a fixed rate, so a claim's own list of touches is short
-    touches = (
-        base.select("claim_id", F.col("issued_at").alias("at"))
-        .unionByName(extends.where(F.col("ts") <= as_of).select("claim_id", F.col("ts").alias("at")))
-        .groupBy("claim_id")
-        .agg(F.array_sort(F.collect_list(F.unix_micros("at"))).alias("touches"))
+    issues = base.select("claim_id", "window_secs", F.col("issued_at").alias("at"), F.lit(True).alias("issue"))
+    later = (
+        extends.where(F.col("ts") <= as_of)
+        .join(base.select("claim_id", "window_secs", "issued_at"), "claim_id")
+        .where(F.col("ts") > F.col("issued_at"))
+        .select("claim_id", "window_secs", F.col("ts").alias("at"), F.lit(False).alias("issue"))
     )
-    width = F.col("window_secs") * 1_000_000
-    limit = F.coalesce(F.unix_micros("hard_deadline"), F.lit(2**62))
-    deadline = F.aggregate(
-        F.slice("touches", 2, F.greatest(F.lit(0), F.size("touches") - 1)),
-        F.least(F.element_at("touches", 1) + width, F.lit(2**62)),
-        lambda due, at: F.when(at < due, F.least(at + width, limit)).otherwise(due),
-    )
-    return (
-        base.join(touches, "claim_id")
-        .withColumn("deadline", F.timestamp_micros(deadline))
-        .drop("touches")
+    gap = F.concat((F.col("window_secs") * 1_000_000 - 1).cast("string"), F.lit(" microseconds"))
+    held = (
+        issues.unionByName(later)
+        .groupBy("claim_id", F.session_window("at", gap).alias("s"))
+        .agg(F.bool_or("issue").alias("own"), F.count(F.lit(1)).alias("touches"))
+        .where("own")
+        .select("claim_id", "touches", F.timestamp_micros(F.unix_micros("s.end") + 1).alias("due"))
     )
+    # only an extension is held to the hard deadline
+    deadline = F.when(F.col("touches") > 1, F.least("due", "hard_deadline")).otherwise(F.col("due"))
+    return base.join(held, "claim_id").withColumn("deadline", deadline).drop("touches", "due")
 
 
 def expired_claims(leases: DataFrame, finished: DataFrame, as_of: Column) -> DataFrame:

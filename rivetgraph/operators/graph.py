@@ -254,8 +254,9 @@ def propagated_rows(propagated: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def used_by_attrs(failed: DataFrame, edges: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """GR-09: labels of the roots a failed step breaks, inside each job.
+def broken_labels(failed: DataFrame, edges: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """GR-09, one row per label: (job_id, drv_hash, label) of the roots a failed step
+    breaks, inside each job.
 
     ``failed``: job_id, drv_hash; ``members``: job_id, drv_hash; ``roots``: job_id,
     drv_hash, label (attr or name).
@@ -264,9 +265,16 @@ def used_by_attrs(failed: DataFrame, edges: DataFrame, members: DataFrame, roots
     own = members.select("job_id", F.col("drv_hash").alias("node"))
     reach = walk(start, to_dependents(edges), tags=["job_id", "failed"], within=own)
     hit = reach.join(roots.select("job_id", F.col("drv_hash").alias("node"), "label"), ["job_id", "node"])
-    labels = hit.select("job_id", "failed", "label").distinct()
-    return labels.groupBy("job_id", F.col("failed").alias("drv_hash")).agg(
-        F.array_sort(F.collect_list("label")).alias("used_by_attrs")
+    return hit.select("job_id", F.col("failed").alias("drv_hash"), "label").distinct()
+
+
+def used_by_attrs(failed: DataFrame, edges: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """GR-09 as the report shows it: the labels as one sorted array, at most as long as
+    the job has roots. ``broken_labels`` is the form for further joins."""
+    return (
+        broken_labels(failed, edges, members, roots)
+        .groupBy("job_id", "drv_hash")
+        .agg(F.array_sort(F.collect_list("label")).alias("used_by_attrs"))
     )
 
 

@@ -41,7 +41,9 @@ def stored_jobs(t):
     )
     counts = counts.withColumns({"pending": F.lit(0), "building": F.lit(0)})
     jobs = t.jobs.where(F.col("done_at").isNotNull()).withColumn("eval_error", F.lit(None).cast("string"))
-    snaps = fail.terminal_snapshots(jobs, counts, t.retried_failures, attempt_order(), cap=CAP, tails=2)
+    # list, overflow and suspicion each read the failures
+    own = session.cut(t.retried_failures)
+    snaps = fail.terminal_snapshots(jobs, counts, own, attempt_order(), cap=CAP, tails=2)
     return t.jobs.join(snaps, "job_id", "left")
 
 

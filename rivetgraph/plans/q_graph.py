@@ -200,14 +200,8 @@ UNION SELECT u.job_id, u.failed, e.src FROM up u JOIN edges e ON e.dst = u.node
 }
 
 
-@query(
-    "gr_09_used_by_attrs",
-    """SELECT u.job_id, u.failed AS drv_hash, list(DISTINCT coalesce(r.attr, s.drv_name) ORDER BY coalesce(r.attr, s.drv_name)) AS used_by_attrs
-       FROM up u JOIN latches l ON l.drv_hash = u.node AND l.brand = u.job_id JOIN roots r ON r.drv_hash = u.node JOIN steps s ON s.drv_hash = u.node
-       GROUP BY ALL""",
-    **BRANDS,
-)
-def _(t):
+def broken_inputs(t):
+    """Failed steps, edges, members and labelled roots; the parts of a brand are one job."""
     brand = F.col("brand").alias("job_id")
     roots = t.roots.join(t.steps.select("drv_hash", "drv_name"), "drv_hash").join(
         t.latches.select("drv_hash", brand), "drv_hash"
@@ -216,7 +210,28 @@ def _(t):
     start = roots.select("job_id", F.col("drv_hash").alias("node"))
     members = graph.walk(start, graph.to_deps(t.edges), tags=["job_id"]).withColumnRenamed("node", "drv_hash")
     failed = members.join(t.latches.where("previous_failure").select("drv_hash"), "drv_hash", "left_semi")
-    return graph.used_by_attrs(failed, t.edges, members, roots)
+    return failed, t.edges, members, roots
+
+
+@query(
+    "gr_09_used_by_attrs",
+    """SELECT u.job_id, u.failed AS drv_hash, list(DISTINCT coalesce(r.attr, s.drv_name) ORDER BY coalesce(r.attr, s.drv_name)) AS used_by_attrs
+       FROM up u JOIN latches l ON l.drv_hash = u.node AND l.brand = u.job_id JOIN roots r ON r.drv_hash = u.node JOIN steps s ON s.drv_hash = u.node
+       GROUP BY ALL""",
+    **BRANDS,
+)
+def _(t):
+    return graph.used_by_attrs(*broken_inputs(t))
+
+
+@query(
+    "gr_09_broken_labels",
+    """SELECT DISTINCT u.job_id, u.failed AS drv_hash, coalesce(r.attr, s.drv_name) AS label
+       FROM up u JOIN latches l ON l.drv_hash = u.node AND l.brand = u.job_id JOIN roots r ON r.drv_hash = u.node JOIN steps s ON s.drv_hash = u.node""",
+    **BRANDS,
+)
+def _(t):
+    return graph.broken_labels(*broken_inputs(t))
 
 
 @query("gr_10_fan_out", "SELECT dst AS drv_hash, count(*) AS dependents FROM edges GROUP BY ALL")

@@ -17,6 +17,9 @@ from rivetgraph.functions.times import plus_seconds
 from rivetgraph.operators import failures as fail
 from rivetgraph.operators.graph import layered_edges
 
+# bytes of Parquet between which a given table is spread over the cores
+SPREAD_FROM, SPREAD_TO = 4 << 20, 128 << 20
+
 ATTEMPT_ORDER = ("ended_at", "claim_id")
 
 
@@ -30,7 +33,14 @@ class Tables:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table. One of a few megabytes is a single row group, which one task
+        would have to read and process alone, so it is spread; a larger one has row
+        groups for many tasks and is taken as it is."""
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if SPREAD_FROM < size < SPREAD_TO:
+            return table.repartition(self.spark.sparkContext.defaultParallelism)
+        return table
 
     @cached_property
     def jobs(self) -> DataFrame:
