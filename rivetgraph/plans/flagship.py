@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rivetgraph import params as P
 from rivetgraph.operators import failures as fail
 from rivetgraph.operators.blocks import top_per_key
-from rivetgraph.plans.registry import plain_times
+from rivetgraph.plans.registry import plain_columns
 from rivetgraph.plans.views import ATTEMPT_ORDER, Tables, attempt_order
 from rivetgraph.session import cut
 
@@ -41,4 +41,4 @@ def report(t: Tables) -> DataFrame:
 
 
 def failed_jobs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_times(report(Tables(spark, sf_dir)))
+    return plain_columns(report(Tables(spark, sf_dir)))

@@ -49,7 +49,7 @@ def stored_jobs(t):
 
 SUMMARY = """
 SELECT j.job_id, j.external_ref, j.status, j.done_at,
-       coalesce(list(c.drv_name ORDER BY c.place) FILTER (c.error_category <> 'propagated_failure')[1:3], []) AS originating_failures,
+       coalesce(array_to_string((list(c.drv_name ORDER BY c.place) FILTER (c.error_category <> 'propagated_failure'))[1:3], '|'), '') AS originating_failures,
        CAST(count(*) FILTER (c.error_category <> 'propagated_failure') AS INTEGER) AS originating_failures_total,
        CAST(count(*) FILTER (c.error_category = 'propagated_failure') AS INTEGER) AS propagated_failures
 FROM jobs j LEFT JOIN capped c ON c.job_id = j.job_id AND j.done_at IS NOT NULL GROUP BY j.job_id, j.external_ref, j.status, j.done_at"""

@@ -103,7 +103,7 @@ def _(t):
 @query(
     "gr_04_cycle_verdict",
     """SELECT j.job_id, count(c.node) > 0 AS has_cycle, count(c.node) AS core_nodes,
-              CASE WHEN count(c.node) > 0 THEN list(c.node ORDER BY c.node)[1:5] END AS preview
+              CASE WHEN count(c.node) > 0 THEN array_to_string(list(c.node ORDER BY c.node)[1:5], '|') END AS preview
        FROM jobs j LEFT JOIN core c USING (job_id) GROUP BY ALL""",
     **CYCLIC,
 )
@@ -215,7 +215,7 @@ def broken_inputs(t):
 
 @query(
     "gr_09_used_by_attrs",
-    """SELECT u.job_id, u.failed AS drv_hash, list(DISTINCT coalesce(r.attr, s.drv_name) ORDER BY coalesce(r.attr, s.drv_name)) AS used_by_attrs
+    """SELECT u.job_id, u.failed AS drv_hash, array_to_string(list(DISTINCT coalesce(r.attr, s.drv_name) ORDER BY coalesce(r.attr, s.drv_name)), '|') AS used_by_attrs
        FROM up u JOIN latches l ON l.drv_hash = u.node AND l.brand = u.job_id JOIN roots r ON r.drv_hash = u.node JOIN steps s ON s.drv_hash = u.node
        GROUP BY ALL""",
     **BRANDS,

@@ -13,10 +13,15 @@ from rivetgraph.plans.registry import query
 def hist_sql(rows: str, value: str, family: str, labels: str = "") -> str:
     bounds = ", ".join(f"(CAST({float(b)!r} AS DOUBLE))" for b in P.BUCKETS[family])
     key = f"{labels}, " if labels else ""
-    return f"""SELECT {key}le, count(*) FILTER (le IS NULL OR {value} <= le) AS cumulative, CAST(sum({value}) AS DOUBLE) AS total_sum, count(*) AS total_count
+    return f"""SELECT {key}le, count(*) FILTER (le IS NULL OR {value} <= le) AS cumulative, round(CAST(sum({value}) AS DOUBLE), 4) AS total_sum, count(*) AS total_count
 FROM {rows}, (SELECT * FROM (VALUES {bounds}, (NULL)) AS b(le)) GROUP BY ALL"""
 
 
+def hist(*args):
+    """Sums of doubles depend on their order in the last digits."""
+    return metrics.histogram(*args).withColumn("total_sum", F.round("total_sum", 4))
+
+
 @query(
     "ag_19_labelled_counters",
     """SELECT 'builds' AS family, CASE WHEN success THEN 'success' WHEN error_category = 'build_failure' THEN 'failure' ELSE 'flaky_retry' END AS label, count(*) AS value FROM attempts GROUP BY ALL
@@ -33,7 +38,7 @@ def _(t):
 
 @query("ag_20_build_duration_histogram", hist_sql("attempts", "(duration_ms / 1000.0)", "build_duration_seconds", "success"))
 def _(t):
-    return metrics.histogram(
+    return hist(
         t.attempts, F.col("duration_ms") / 1000, P.BUCKETS["build_duration_seconds"], ["success"]
     )
 
@@ -41,7 +46,7 @@ def _(t):
 @query("ag_20_ingest_batch_histogram", hist_sql("(SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)", "n", "ingest_batch_drvs"))
 def _(t):
     sizes = t.raw("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return metrics.histogram(sizes, F.col("n"), P.BUCKETS["ingest_batch_drvs"])
+    return hist(sizes, F.col("n"), P.BUCKETS["ingest_batch_drvs"])
 
 
 @query(
@@ -50,7 +55,7 @@ def _(t):
 )
 def _(t):
     sizes = t.build_logs.groupBy("job_id").agg(F.sum("original_size").alias("n"))
-    return metrics.histogram(sizes, F.col("n"), P.BUCKETS["log_bytes_per_job"])
+    return hist(sizes, F.col("n"), P.BUCKETS["log_bytes_per_job"])
 
 
 @query(
@@ -58,14 +63,14 @@ def _(t):
     hist_sql("(SELECT job_id, count(*) AS n FROM members GROUP BY ALL)", "n", "drvs_per_job"),
 )
 def _(t):
-    return metrics.histogram(
+    return hist(
         t.members.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")), F.col("n"), P.BUCKETS["drvs_per_job"]
     )
 
 
 @query("ag_20_claim_age_histogram", hist_sql("attempts", "(duration_ms * 60 / 1000.0)", "claim_age_seconds"))
 def _(t):
-    return metrics.histogram(t.attempts, F.col("duration_ms") * 60 / 1000, P.BUCKETS["claim_age_seconds"])
+    return hist(t.attempts, F.col("duration_ms") * 60 / 1000, P.BUCKETS["claim_age_seconds"])
 
 
 @query(
@@ -74,7 +79,7 @@ def _(t):
 )
 def _(t):
     v = (F.round(F.col("value") * 100).cast("bigint") % 7000).cast("double") / 100
-    return metrics.histogram(t.raw("events"), v, P.BUCKETS["dispatch_wait_seconds"], ["event_type"])
+    return hist(t.raw("events"), v, P.BUCKETS["dispatch_wait_seconds"], ["event_type"])
 
 
 @query(
@@ -83,7 +88,7 @@ def _(t):
 )
 def _(t):
     v = (F.col("event_id") % 12000).cast("double") / 1000
-    return metrics.histogram(t.raw("events"), v, P.BUCKETS["request_duration_seconds"])
+    return hist(t.raw("events"), v, P.BUCKETS["request_duration_seconds"])
 
 
 @query(
@@ -94,7 +99,7 @@ def _(t):
     rows = t.raw("events").select(
         F.col("event_type").alias("phase"), ((F.col("event_id") % 1000).cast("double") / 100000).alias("v")
     )
-    return metrics.histogram(rows, F.col("v"), P.BUCKETS["ingest_phase_seconds"], ["phase"])
+    return hist(rows, F.col("v"), P.BUCKETS["ingest_phase_seconds"], ["phase"])
 
 
 def summary_sql(rows: str, value: str, labels: str) -> str:
@@ -140,8 +145,8 @@ def _(t):
     hist=hist_sql("attempts", "(duration_ms / 1000.0)", "build_duration_seconds", "success"),
 )
 def _(t):
-    hist = metrics.histogram(t.attempts, F.col("duration_ms") / 1000, P.BUCKETS["build_duration_seconds"], ["success"])
-    return metrics.bucket_quantile(hist, 0.95, ["success"])
+    buckets = metrics.histogram(t.attempts, F.col("duration_ms") / 1000, P.BUCKETS["build_duration_seconds"], ["success"])
+    return metrics.bucket_quantile(buckets, 0.95, ["success"])
 
 
 @query(

@@ -86,8 +86,8 @@ def _(t):
 
 @query(
     "prj_04_comma_list",
-    """SELECT p_partkey, list_filter(list_transform(string_split(p_name || ' , ' || p_type || ',,' || p_brand, ','),
-              lambda x: trim(x)), lambda x: x <> '') AS items FROM part""",
+    """SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' , ' || p_type || ',,' || p_brand, ','),
+              lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part""",
 )
 def _(t):
     text = F.concat("p_name", F.lit(" , "), "p_type", F.lit(",,"), "p_brand")

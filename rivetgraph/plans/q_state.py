@@ -73,7 +73,7 @@ def _(t):
     """SELECT (SELECT count(*) FROM jobs WHERE status = 'pending') AS submissions, count(*) AS steps_total, count(*) FILTER (NOT finished AND (runnable OR tries = 0)) AS steps_pending,
               count(*) FILTER (NOT finished AND NOT runnable AND tries > 0) AS steps_building, count(*) FILTER (finished AND NOT previous_failure) AS steps_done,
               count(*) FILTER (finished AND previous_failure) AS steps_failed, (SELECT count(*) FROM active_claims) AS active_claims,
-              (SELECT list(job_id ORDER BY job_id) FROM (SELECT job_id FROM jobs WHERE status = 'failed' ORDER BY done_at DESC, job_id LIMIT 5)) AS recent_failures
+              (SELECT array_to_string(list(job_id ORDER BY job_id), '|') FROM (SELECT job_id FROM jobs WHERE status = 'failed' ORDER BY done_at DESC, job_id LIMIT 5)) AS recent_failures
        FROM latches""",
 )
 def _(t):

@@ -13,16 +13,19 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def plain_times(df: DataFrame) -> DataFrame:
-    """Results carry UTC wall-clock times, as the oracle's do."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name)
-            if isinstance(f.dataType, T.TimestampType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+def plain_columns(df: DataFrame) -> DataFrame:
+    """Results in types every comparison understands: UTC wall-clock times without a zone,
+    arrays as text joined by ``|``."""
+
+    def plain(field: T.StructField):
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.TimestampType):
+            c = c.cast("timestamp_ntz")
+        elif isinstance(field.dataType, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), "|")
+        return c.alias(field.name)
+
+    return df.select(*[plain(f) for f in df.schema.fields])
 
 
 def query(name: str, sql: str | None = None, **ctes: str):
@@ -30,7 +33,7 @@ def query(name: str, sql: str | None = None, **ctes: str):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain_times(fn(Tables(spark, sf_dir)))
+            return plain_columns(fn(Tables(spark, sf_dir)))
 
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
