@@ -39,7 +39,7 @@ class Tables:
         table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         if SPREAD_FROM < size < SPREAD_TO:
-            return table.repartition(self.spark.sparkContext.defaultParallelism)
+            return table.repartition(self.spark.sparkContext.defaultParallelism, table.columns[0])
         return table
 
     @cached_property
