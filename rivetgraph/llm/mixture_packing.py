@@ -50,10 +50,14 @@ def running_start(
     if not levels:
         return here
     totals = df.groupBy(*scope).agg(F.sum(value).alias("__sum"))
-    before = running_start(totals, "__sum", "__before", keys, levels[:-1], [levels[-1]]).drop("__sum")
-    same = [here[c].eqNullSafe(before[c]) for c in scope]
-    joined = here.join(before, same, "inner").select(*[here[c] for c in here.columns], before["__before"])
-    return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__before")
+    carried = f"__before{len(levels)}"
+    before = running_start(totals, "__sum", carried, keys, levels[:-1], [levels[-1]])
+    before = before.select(*[F.col(c).alias(f"__{c}") for c in scope], carried)
+    same = F.lit(True)
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = here.join(before, same)
+    return joined.select(*df.columns, (F.col(out) + F.col(carried)).alias(out))
 
 
 def encoder(path: str):

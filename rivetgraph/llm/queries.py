@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivetgraph.llm import divergence_rules, mixture_packing, ngram_join, repeated_passages, secrets, toxicity
+from rivetgraph.llm import (
+    divergence_rules,
+    language_evidence,
+    mixture_packing,
+    ngram_join,
+    piece_viterbi,
+    repeated_passages,
+    secrets,
+    surrogates,
+    toxicity,
+    vector_graph,
+)
 from rivetgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +45,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_language_evidence")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_evidence.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op3_divergence_rules", divergence_rules.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op4_vector_graph")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_piece_viterbi")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.encode_report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op6_mixture_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -57,3 +83,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.repeat_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
