@@ -27,18 +27,21 @@ MIN_LANG_WORDS = 2000
 MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.55
 
-SPACES = "\t\n\x0b\x0c\r"
+SPACES = r"[\x20\x09-\x0D]+"
 CLASSES = ("space", "letter", "wide", "digit", "point", "symbol")
 
 
 def words_col(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none of a null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def letters_in(words: str) -> Column:
+    return F.char_length(F.array_join(words, ""))
 
 
 def _count(text: str, pattern: str) -> Column:
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def class_counts(text: str, word_chars: Column) -> list[Column]:
@@ -46,18 +49,18 @@ def class_counts(text: str, word_chars: Column) -> list[Column]:
     size = F.char_length(text)
     space = size - word_chars
     wide = F.octet_length(text) - size
-    digit = _count(text, "[0-9]+")
-    point = _count(text, "[.,;:!?'\"()-]+")
-    symbol = _count(text, r"[#*$%&|<>@=+/\\_~^\[\]{}`]+")
+    digit = _count(text, "[0-9]")
+    point = _count(text, "[.,;:!?'\"()-]")
+    symbol = _count(text, r"[#*$%&|<>@=+/\\_~^\[\]{}`]")
     wide = F.least(wide, size - space - digit - point - symbol)
     return [space, size - space - wide - digit - point - symbol, wide, digit, point, symbol]
 
 
-def sorted_windows(words: str, n_words: str) -> Column:
-    """(hash, place) of the text's three-word windows, sorted; none of fewer words."""
+def sorted_windows(hashes: str, n_words: str) -> Column:
+    """(hash, place) of the three-word windows over word hashes, sorted; none of fewer words."""
     windows = F.transform(
         F.sequence(F.lit(0), F.greatest(F.col(n_words) - 3, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
+        lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")),
     )
     return F.when(F.col(n_words) >= 3, F.sort_array(windows))
 
@@ -103,13 +106,13 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, words, the base measures and ``classes`` of every document."""
     text = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     split = text.withColumn("words", words_col(F.col("text"))).withColumn("n_words", F.size("words"))
-    chars = split.withColumn(
-        "word_chars", F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))
+    chars = split.withColumns(
+        {"word_chars": letters_in("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w))}
     )
     lined = chars.withColumns(
         {
             "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "srt": sorted_windows("words", "n_words"),
+            "srt": sorted_windows("hashes", "n_words"),
         }
     )
     return lined.select(
@@ -118,7 +121,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "words",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.col("word_chars").cast("bigint").alias("word_chars"),
-        _count("text", "[#*$%&|<>]+").cast("bigint").alias("n_symbols"),
+        _count("text", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words("srt").cast("bigint").alias("n_repeat_words"),
         F.array(*class_counts("text", F.col("word_chars"))).alias("classes"),
@@ -130,7 +133,8 @@ def language_references(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFram
     """Per lang: top (its most common words), word_ref (their counts, then the rest),
     class_ref (character classes), lang_words. One small row per language."""
     text = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    chars = text.withColumn("word_chars", F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")))
+    text = text.withColumn("words", words_col(F.col("text")))
+    chars = text.withColumn("word_chars", letters_in("words"))
     counts = class_counts("text", F.col("word_chars"))
     classes = (
         chars.select("lang", *[c.cast("bigint").alias(n) for c, n in zip(counts, CLASSES)])
@@ -138,7 +142,7 @@ def language_references(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFram
         .agg(*[F.sum(n).alias(n) for n in CLASSES])
         .select("lang", F.array(*CLASSES).alias("class_ref"))
     )
-    words = text.select("lang", F.explode(words_col(F.col("text"))).alias("w")).groupBy("lang", "w").count()
+    words = text.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").count()
     total = words.groupBy("lang").agg(F.sum("count").alias("lang_words"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
     best = words.withColumn("r", rank).where(F.col("r") <= top_words)
