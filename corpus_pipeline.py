@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivetgraph.llm import mixture_packing, ngram_join, repeated_passages, secrets, toxicity
 from rivetgraph.llm.common import table
-from rivetgraph.llm.queries import tokenizer_file
+from rivetgraph.llm.queries import byte_bpe
 from rivetgraph.session import cut
 
 
@@ -32,7 +32,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, sources mixed in proportion."""
-    return mixture_packing.pack_report(docs, tokenizer_file("byte_bpe_50k.json"))
+    return mixture_packing.pack_report(docs, *byte_bpe())
 
 
 STAGES = [

@@ -30,6 +30,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_bpe() -> tuple[str, str]:
+    """The byte-level vocabulary's file, and the same as ranks."""
+    return tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -67,7 +72,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_mixture_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture_packing.pack_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return mixture_packing.pack_report(table(spark, sf_dir, "documents"), *byte_bpe())
 
 
 @query("op7_secret_scan")
