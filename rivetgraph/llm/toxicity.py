@@ -38,9 +38,8 @@ STRIDE = 8
 TRAIN_DOCS = 1500
 SHORT = 6  # letters of the windows that find a stem in a longer word
 TOXIC_LANDMARKS = 40
-PLAIN_LANDMARKS = 8
 SENTENCE_WORDS = 40
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 CANDIDATES = 600
 MIN_ODDS = 4  # a toxic landmark is found in so many toxic texts for one other, in a sample of both
 EDGES = ".,;:!?'\"()[]{}<>*%&$#|-_"
@@ -140,8 +139,10 @@ class Landmarks:
                 hit = np.flatnonzero(self.used[code])
                 if len(hit):
                     acc[hit] += np.float32(DECAY ** (k - i + 1)) * self.table[code[hit]]
-        norm = np.sqrt(self_kernel(c))
-        return (acc / np.maximum(norm, 1e-12)[:, None].astype(np.float32)) ** POWER
+        near = np.flatnonzero(acc.any(axis=1))
+        norm = np.sqrt(self_kernel(c[near])).astype(np.float32)
+        acc[near] = (acc[near] / np.maximum(norm, 1e-12)[:, None]) ** POWER
+        return acc
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -256,32 +257,29 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     # copies count once
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").distinct()
     def strings(c: dict) -> dict:
-        out: dict = {"toxic": [], "s": [], "whole": []}
+        out: dict = {"toxic": [], "s": []}
         for v, t in zip(c["toxic"], c["text"]):
             words = {w for s in sentences(t) for x in s if (w := x.strip(EDGES)).isalpha()}
             for x in words.union(*map(beginnings, words)):
                 out["toxic"].append(v)
                 out["s"].append(x)
-                out["whole"].append(x in words)
         return out
 
-    counts = mapped(texts, strings, "toxic int, s string, whole boolean").groupBy("s").agg(
-        F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"), F.max("whole").alias("whole")
+    counts = mapped(texts, strings, "toxic int, s string").groupBy("s").agg(
+        F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")
     )
     counts = counts.where(F.char_length("s").between(4, SPAN))
     odds = F.col("p") * F.log((F.col("p") + 0.5) / (F.col("n") + 0.5))
     toxic_texts = texts.where("toxic = 1").count()
     telling = (F.col("p") >= MIN_SHARE * toxic_texts) & (F.col("p") >= MIN_ODDS * F.col("n"))
     ranked = counts.where(telling).orderBy(odds.desc(), F.char_length("s").desc(), "s")
-    toxic = diverse([r.s for r in ranked.limit(CANDIDATES).collect()], TOXIC_LANDMARKS)
-    common = counts.where(F.col("whole") & ~F.col("s").isin(toxic)).orderBy(F.desc(F.col("p") + F.col("n")), "s")
-    marks = toxic + [r.s for r in common.limit(PLAIN_LANDMARKS).collect()]
+    marks = diverse([r.s for r in ranked.limit(CANDIDATES).collect()], TOXIC_LANDMARKS)
     if not marks:
         return 0.0
 
     def sampled(c: dict) -> dict:
         feats = Features(Landmarks(marks)).of([sentences(t) for t in c["text"]])
-        keep = [x[np.argsort(-x[:, : len(toxic)].max(axis=1), kind="stable")[:8]] for x in feats]
+        keep = [x[np.argsort(-x.max(axis=1), kind="stable")[:8]] for x in feats]
         return {"toxic": c["toxic"], "x": [x.ravel().astype(float).tolist() for x in keep]}
 
     rows = mapped(texts, sampled, "toxic int, x array<double>").collect()  # bounded: eight sentences a document
