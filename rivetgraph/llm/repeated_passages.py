@@ -12,6 +12,9 @@
 * An anchor with many suffixes is sorted in salted parts; the earliest suffixes of the parts'
   runs meet in a second sort.
 
+A match is extended against the neighbour and the run's earliest occurrence; where a third one
+happens to go on a word further, that word is not marked.
+
 Extension looks as far as the next minimiser can be, so marks of one passage join up.
 
 Order of occurrences: doc_id (null first), then the text's hash, then place. Defined cases:
