@@ -39,7 +39,7 @@ TRAIN_DOCS = 1500
 SHORT = 6  # letters of the windows that find a stem in a longer word
 TOXIC_LANDMARKS = 40
 SENTENCE_WORDS = 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CANDIDATES = 600
 MIN_ODDS = 4  # a toxic landmark is found in so many toxic texts for one other, in a sample of both
 EDGES = ".,;:!?'\"()[]{}<>*%&$#|-_"
@@ -162,18 +162,27 @@ class Features:
 
     def __init__(self, marks: Landmarks) -> None:
         self.marks, self.index = marks, {}
-        self.table = np.zeros((0, len(marks.strings)), np.float32)
+        self.table = np.zeros((CACHE_WORDS, len(marks.strings)), np.float32)
 
     def of(self, texts: list[list[list[str]]]) -> list[np.ndarray]:
+        """Features of each text's sentences; a text without any is a sentence without match."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), 100):
+            out += self._of(texts[i : i + 100])
+        return out
+
+    def _of(self, texts: list[list[list[str]]]) -> list[np.ndarray]:
         new = list({w for t in texts for s in t for w in s if w not in self.index})
-        if len(self.index) + len(new) > CACHE_WORDS:
+        if len(self.index) + len(new) > len(self.table):
             self.index = {}
             new = list({w for t in texts for s in t for w in s})
-            self.table = self.table[:0]
-        if new:
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), self.table.shape[1]), np.float32)
+        for i in range(0, len(new), 5000):
+            words = new[i : i + 5000]
             base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new))))
-            self.table = np.concatenate([self.table, self.marks.similarity(new)])
+            self.index.update(zip(words, range(base, base + len(words))))
+            self.table[base : base + len(words)] = self.marks.similarity(words)
         out = []
         for t in texts:
             if not t:
