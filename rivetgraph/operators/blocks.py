@@ -29,12 +29,17 @@ GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str | None = None
 ) -> DataFrame:
-    """The first ``k`` rows of every key. ``order`` must be total."""
+    """The first ``k`` rows of every key. ``order`` must be total.
+
+    Up to Spark's own limit every map task forwards ``k`` rows of a key at the most; beyond
+    it the rows are numbered in ranges.
+    """
     limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
-    if k >= limit:
-        raise ValueError(f"k={k} needs {GROUP_LIMIT_CONF} above it to keep the per-task limit")
     rn = rank_col or "__rn"
-    ranked = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if k < limit:
+        ranked = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        ranked = numbered(df, order, keys=keys, out=rn)
     kept = ranked.where(F.col(rn) <= k)
     return kept if rank_col else kept.drop(rn)
 

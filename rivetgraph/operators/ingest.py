@@ -118,11 +118,13 @@ def placeholders(inputs: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def membership(job_drvs: DataFrame, edges: DataFrame) -> DataFrame:
-    """JN-04: a job owns the steps it sent and the direct inputs of those."""
-    own = job_drvs.select("job_id", "drv_hash")
-    deps = own.join(edges, F.col("drv_hash") == F.col("src")).select("job_id", F.col("dst").alias("drv_hash"))
-    return own.union(deps).distinct()
+def membership(job_drvs: DataFrame, inputs: DataFrame, finished: DataFrame | None = None) -> DataFrame:
+    """JN-04: a job owns the steps it sent and the good inputs it named for them itself
+    (``inputs``: rows of :func:`exploded_inputs`), except those already ``finished``."""
+    deps = inputs.where(F.col("edge_error").isNull()).select("job_id", F.col("dst").alias("drv_hash"))
+    if finished is not None:
+        deps = deps.join(finished.select("drv_hash").distinct(), "drv_hash", "left_anti").select("job_id", "drv_hash")
+    return job_drvs.select("job_id", "drv_hash").union(deps).distinct()
 
 
 def late_batches(batches: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rivetgraph import params as P
 from rivetgraph.operators import failures as fail
 from rivetgraph.operators.blocks import top_per_key
 from rivetgraph.plans.registry import plain_columns
@@ -22,9 +21,9 @@ def report(t: Tables) -> DataFrame:
     )
     summary = own.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).select(
         "job_id",
-        F.least("n", F.lit(P.MAX_FAILURES_IN_RESULT)).cast("int").alias("originating_failures_total"),
-        # what the stored list cuts off is marked by one record that counts as propagated
-        (F.col("n") > P.MAX_FAILURES_IN_RESULT).cast("int").alias("propagated_failures"),
+        F.col("n").cast("int").alias("originating_failures_total"),
+        # all of these broke by themselves
+        F.lit(0).alias("propagated_failures"),
     )
     named = (
         top_per_key(own, ["job_id"], attempt_order(), 3, "place")

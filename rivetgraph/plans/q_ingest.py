@@ -127,7 +127,7 @@ def _(t):
 )
 def _(t):
     rows = good_rows(t)
-    return ingest.membership(rows, ingest.wire_edges(ingest.exploded_inputs(rows)))
+    return ingest.membership(rows, ingest.exploded_inputs(rows))
 
 
 @query(

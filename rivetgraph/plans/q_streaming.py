@@ -40,7 +40,7 @@ def _(t):
               count(*) FILTER (kind = 'drv_failed') AS failed FROM ev GROUP BY ALL""",
 )
 def _(t):
-    return drain_updates(sj.progress_ticks(live(t).ev, every_secs=3600), ["job_id", "tick"])
+    return drain_updates(sj.progress_ticks(live(t).ev, every_secs=3600, late="1 minute"), ["job_id", "tick"])
 
 
 @query("st_03_missed_events", "SELECT job_id, max(seq) AS last_seq, max(seq) - min(seq) + 1 - count(*) AS missed FROM ev GROUP BY ALL")
@@ -101,7 +101,7 @@ def _(t):
         F.struct(F.when(~F.col("open"), F.col("ended_at")).alias("ts"), F.lit("complete").alias("kind")),
     )
     events = live(t).attempts.select("claim_id", F.inline(both)).where(F.col("ts").isNotNull())
-    return drain(sj.lease_sessions(events, window_secs=30))
+    return drain(sj.lease_sessions(events, window_secs=30, late="0 seconds"))
 
 
 @query(
@@ -112,7 +112,7 @@ def _(t):
        SELECT job_id, min(timed_out_at) AS cancelled_at FROM e WHERE timed_out_at < (SELECT max(ts) FROM ev) GROUP BY ALL""",
 )
 def _(t):
-    sessions = drain(sj.heartbeat_sessions(live(t).ev, gap_secs=12 * 3600))
+    sessions = drain(sj.heartbeat_sessions(live(t).ev, gap_secs=12 * 3600, late="0 seconds"))
     return sj.first_timeouts(sessions)
 
 

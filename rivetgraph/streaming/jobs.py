@@ -19,7 +19,7 @@ def routed(lines: DataFrame) -> DataFrame:
     return drain(job_events(lines), partition_by=["kind"])
 
 
-def progress_ticks(events: DataFrame, *, every_secs: int = P.PROGRESS_TICK_SECS, late: str = "1 minute") -> DataFrame:
+def progress_ticks(events: DataFrame, *, every_secs: int = P.PROGRESS_TICK_SECS, late: str) -> DataFrame:
     """ST-02: flow counts per job and tick (job_id, kind, ts, …). Batch or stream."""
     kind = F.col("kind")
     return (
@@ -101,7 +101,7 @@ def fold_runs(state: DataFrame | None, events: DataFrame) -> DataFrame:
     )
 
 
-def heartbeat_sessions(beats: DataFrame, *, gap_secs: int = P.HEARTBEAT_TIMEOUT_SECS, late: str = "0 seconds") -> DataFrame:
+def heartbeat_sessions(beats: DataFrame, *, gap_secs: int = P.HEARTBEAT_TIMEOUT_SECS, late: str) -> DataFrame:
     """ST-07: sessions of each job's heartbeats; in append mode one appears once it has
     been silent for the gap. The first one is what cancels the job."""
     return (
@@ -113,7 +113,7 @@ def heartbeat_sessions(beats: DataFrame, *, gap_secs: int = P.HEARTBEAT_TIMEOUT_
 
 
 def lease_sessions(
-    events: DataFrame, *, window_secs: int = P.CLAIM_DEADLINE_SECS, late: str = "0 seconds"
+    events: DataFrame, *, window_secs: int = P.CLAIM_DEADLINE_SECS, late: str
 ) -> DataFrame:
     """ST-06: (claim_id, expired_at) for claims neither completed nor extended in time.
 

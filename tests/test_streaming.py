@@ -75,10 +75,10 @@ def test_lease_sessions(batches, make):
         ("open", at(350), "issue"), ("silent", at(10), "issue"),
     ]
     want = [("edge", at(100)), ("lapsed", at(190)), ("silent", at(110))]
-    assert rows_of(sj.lease_sessions(make(rows, ddl), window_secs=100).where(F.col("claim_id") != "open")) == want
+    assert rows_of(sj.lease_sessions(make(rows, ddl), window_secs=100, late="0 seconds").where(F.col("claim_id") != "open")) == want
     by_time = sorted(rows, key=lambda r: r[1])
     parts = [by_time[:5], by_time[5:9], by_time[9:], [("late", at(400), "issue")]]
-    assert rows_of(drain(sj.lease_sessions(batches(parts, ddl), window_secs=100))) == want
+    assert rows_of(drain(sj.lease_sessions(batches(parts, ddl), window_secs=100, late="0 seconds"))) == want
 
 
 def test_quarantine_stream_equals_the_step_by_step_rule(batches):
@@ -121,7 +121,7 @@ def test_log_upsert_over_batches(batches):
 def test_sessions_and_first_timeout(batches):
     ddl = "job_id string, ts timestamp"
     parts = [[("a", at(0)), ("a", at(20))], [("a", at(100)), ("b", at(100))], [("b", at(125))], [("z", at(500))]]
-    got = drain(sj.heartbeat_sessions(batches(parts, ddl), gap_secs=30))
+    got = drain(sj.heartbeat_sessions(batches(parts, ddl), gap_secs=30, late="0 seconds"))
     assert rows_of(got, "job_id", "timed_out_at") == [("a", at(50)), ("a", at(130)), ("b", at(155))]
     assert rows_of(sj.first_timeouts(got)) == [("a", at(50)), ("b", at(155))]
 

@@ -52,7 +52,7 @@ def test_ingest_batch_end_to_end(make):
     assert rows_of(ingest.wire_edges(wanted, make([("h-b.drv",)], "drv_hash string")), "dst") == [("h-new-1.0.drv",)]
     # b came late but in full, so only the step nobody described is a placeholder
     assert rows_of(ingest.placeholders(wanted, reg)) == [("h-new-1.0.drv", "/s/h-new-1.0.drv", "new-1.0", "arm")]
-    assert rows_of(ingest.membership(good, edges)) == [
+    assert rows_of(ingest.membership(good, wanted)) == [
         ("j", "h-a.drv"), ("j", "h-b.drv"), ("j", "h-c.drv"), ("j", "h-new-1.0.drv"), ("k", "h-b.drv"),
     ]
     marked = checked.join(ingest.mark_new(good).select("batch_id", "pos", "is_new"), ["batch_id", "pos"], "left")
@@ -290,3 +290,11 @@ def test_overlapping_claims_sees_long_earlier_ones(make):
     c = make([("d", "a", at(0), at(100)), ("d", "b", at(10), at(20)), ("d", "c", at(30), at(40)), ("e", "x", at(0), at(5)), ("e", "y", at(5), at(9))],
              "drv_hash string, claim_id string, started_at timestamp, ended_at timestamp")
     assert rows_of(quality.overlapping_claims(c), "claim_id") == [("b",), ("c",)]
+
+
+def test_membership_takes_a_jobs_own_inputs_only(make):
+    ddl = "job_id string, drv_hash string"
+    inputs = make([("a", "x", "y", None), ("b", "x", "z", None), ("b", "x", "w", "bad_path")], "job_id string, src string, dst string, edge_error string")
+    sent = make([("a", "x"), ("b", "x")], ddl)
+    assert rows_of(ingest.membership(sent, inputs)) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "z")]
+    assert rows_of(ingest.membership(sent, inputs, make([("z",)], "drv_hash string"))) == [("a", "x"), ("a", "y"), ("b", "x")]
