@@ -28,6 +28,9 @@ MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.55
 
 SPACES = r"[\x20\x09-\x0D]+"
+DIGITS = "0-9"
+POINTS = r"""\-.,;:!?'"()"""
+SYMBOLS = r"#*$%&|<>@=+/\\_~\^\[\]{}`"
 CLASSES = ("space", "letter", "wide", "digit", "point", "symbol")
 
 
@@ -44,25 +47,33 @@ def _count(text: str, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def class_counts(text: str, word_chars: Column) -> list[Column]:
+def marks_in(text: str) -> Column:
+    """The text's digits, points and symbols: all that the counts by class look at."""
+    return F.regexp_replace(text, f"[^{DIGITS}{POINTS}{SYMBOLS}]+", "")
+
+
+def class_counts(text: str, word_chars: Column, marks: str) -> list[Column]:
     """Characters of each class; ``wide`` are those beyond ASCII, ``letter`` is the rest."""
     size = F.char_length(text)
     space = size - word_chars
     wide = F.octet_length(text) - size
-    digit = _count(text, "[0-9]")
-    point = _count(text, "[.,;:!?'\"()-]")
-    symbol = _count(text, r"[#*$%&|<>@=+/\\_~^\[\]{}`]")
+    digit = _count(marks, f"[{DIGITS}]")
+    point = _count(marks, f"[{POINTS}]")
+    symbol = F.char_length(marks) - digit - point
     wide = F.least(wide, size - space - digit - point - symbol)
     return [space, size - space - wide - digit - point - symbol, wide, digit, point, symbol]
 
 
-def sorted_windows(hashes: str, n_words: str) -> Column:
-    """(hash, place) of the three-word windows over word hashes, sorted; none of fewer words."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col(n_words) - 3, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")),
-    )
-    return F.when(F.col(n_words) >= 3, F.sort_array(windows))
+def windows(words: str, n_words: str) -> Column:
+    """Hashes of the three-word windows by place; none of fewer words."""
+    at = F.when(F.col(n_words) >= 3, F.sequence(F.lit(0), F.col(n_words) - 3))
+    at = F.coalesce(at, F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)))
+
+
+def sorted_windows(hashes: str) -> Column:
+    """(hash, place) of the windows, sorted."""
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def repeated_words(srt: str) -> Column:
@@ -102,47 +113,46 @@ def js_distance(p: str, p_total: str, q: str, q_total: str) -> Column:
     return F.sqrt(F.greatest(both, F.lit(0.0)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words, the base measures and ``classes`` of every document."""
+def measured(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, the base measures, ``classes`` and, given each language's common
+    words, ``hist`` (their counts, then the rest) of every document."""
     text = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     split = text.withColumn("words", words_col(F.col("text"))).withColumn("n_words", F.size("words"))
     chars = split.withColumns(
-        {"word_chars": letters_in("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w))}
-    )
-    lined = chars.withColumns(
         {
+            "word_chars": letters_in("words"),
+            "windows": windows("words", "n_words"),
+            "marks": marks_in("text"),
             "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "srt": sorted_windows("hashes", "n_words"),
         }
     )
+    # windows are sorted with their places only where one occurs twice
+    again = F.size(F.array_distinct("windows")) < F.size("windows")
+    lined = chars.withColumn("srt", F.when(again, sorted_windows("windows")))
+    hist = []
+    if words is not None:
+        lined = _with_words(lined, words)
+        lined = lined.withColumn("common", F.filter("words", lambda w: F.array_contains("top", w)))
+        seen = F.transform("top", lambda w: F.size("common") - F.size(F.array_remove("common", w)))
+        hist = [F.concat(seen, F.array((F.col("n_words") - F.size("common")).cast("int"))).alias("hist")]
     return lined.select(
         "doc_id",
         "lang",
-        "words",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.col("word_chars").cast("bigint").alias("word_chars"),
-        _count("text", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
+        _count("marks", "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        repeated_words("srt").cast("bigint").alias("n_repeat_words"),
-        F.array(*class_counts("text", F.col("word_chars"))).alias("classes"),
+        F.when(F.col("srt").isNull(), F.lit(0)).otherwise(repeated_words("srt")).cast("bigint").alias("n_repeat_words"),
+        F.array(*class_counts("text", F.col("word_chars"), "marks")).alias("classes"),
         F.char_length("text").alias("n_chars"),
+        *hist,
     )
 
 
-def language_references(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
-    """Per lang: top (its most common words), word_ref (their counts, then the rest),
-    class_ref (character classes), lang_words. One small row per language."""
-    text = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    text = text.withColumn("words", words_col(F.col("text")))
-    chars = text.withColumn("word_chars", letters_in("words"))
-    counts = class_counts("text", F.col("word_chars"))
-    classes = (
-        chars.select("lang", *[c.cast("bigint").alias(n) for c, n in zip(counts, CLASSES)])
-        .groupBy("lang")
-        .agg(*[F.sum(n).alias(n) for n in CLASSES])
-        .select("lang", F.array(*CLASSES).alias("class_ref"))
-    )
-    words = text.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").count()
+def word_references(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
+    """Per lang: top (its most common words), word_ref (their counts, then the rest) and
+    lang_words. One small row per language that has a word."""
+    words = docs.select("lang", F.explode(words_col(F.col("text"))).alias("w")).groupBy("lang", "w").count()
     total = words.groupBy("lang").agg(F.sum("count").alias("lang_words"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
     best = words.withColumn("r", rank).where(F.col("r") <= top_words)
@@ -151,23 +161,35 @@ def language_references(docs: DataFrame, top_words: int = TOP_WORDS) -> DataFram
         tops["lang"], F.col("t.w").alias("top"), F.col("t.count").alias("n"), "lang_words"
     )
     rest = F.col("lang_words") - F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return joined.join(classes, joined["lang"].eqNullSafe(classes["lang"])).select(
-        joined["lang"], "top", F.concat("n", F.array(rest)).alias("word_ref"), "class_ref", "lang_words"
-    )
+    return joined.select("lang", "top", F.concat("n", F.array(rest)).alias("word_ref"), "lang_words")
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """One row per document with the base measures, both distances and the verdict."""
-    refs = cut(language_references(docs) if refs is None else refs)
-    r = refs.withColumnRenamed("lang", "ref_lang").withColumn(
-        "class_total", F.aggregate("class_ref", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    )
-    # one row per language: broadcast while they are few, else an ordinary join
+def class_references(rows: DataFrame) -> DataFrame:
+    """Measured rows → per lang: class_ref, the characters of each class."""
+    sums = rows.groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(n) for i, n in enumerate(CLASSES)])
+    return sums.select("lang", F.array(*CLASSES).alias("class_ref"))
+
+
+def _by_lang(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds a language's columns; one row per language: broadcast while they are few, else
+    an ordinary join."""
+    r = refs.withColumnRenamed("lang", "ref_lang")
     r = F.broadcast(r) if refs.count() <= MAX_BROADCAST_LANGS else r
-    rows = measured(docs).join(r, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    rows = rows.withColumn("common", F.filter("words", lambda w: F.array_contains("top", w)))
-    seen = F.transform("top", lambda w: F.size("common") - F.size(F.array_remove("common", w)))
-    rows = rows.withColumn("hist", F.concat(seen, F.array((F.col("n_words") - F.size("common")).cast("int"))))
+    return rows.join(r, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
+
+
+def _with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    return _by_lang(rows, words.select("lang", "top"))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per document with the base measures, both distances and the verdict."""
+    words = cut(word_references(docs))
+    rows = cut(measured(docs, words))
+    classes = cut(class_references(rows))
+    rows = _by_lang(_by_lang(rows, classes), words)
+    total = F.aggregate("class_ref", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    rows = rows.withColumn("class_total", total)
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = (F.col("n_words") >= MIN_WORDS) & (F.coalesce("lang_words", F.lit(0)) >= MIN_LANG_WORDS)
     char_js = F.when(judged, F.round(js_distance("classes", "n_chars", "class_ref", "class_total"), 4))
