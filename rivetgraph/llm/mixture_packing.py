@@ -22,11 +22,13 @@ each; an empty table has no pieces.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rivetgraph.llm.common import mapped
 from rivetgraph.session import cut
@@ -60,6 +62,27 @@ def running_start(
     return joined.select(*df.columns, (F.col(out) + F.col(carried)).alias(out))
 
 
+# fixed value: the byte-level pretoken rule, with letters and digits to be filled in
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
+LATIN = 0x250  # code points below it are read by the rule in Python's own patterns
+CACHE_PIECES, CACHE_CHARS = 200_000, 24
+
+
+class Pieces(dict):
+    """Pretoken → its ids as bytes; short ones are kept, in a table of bounded size."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encode(piece), "<u2").tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def encoder(path: str, ranks: str):
     """text → token ids as bytes, by the byte-level BPE file at ``path``.
 
@@ -73,28 +96,27 @@ def encoder(path: str, ranks: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # fixed value: the byte-level pretoken rule
-    rule = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     with open(ranks, "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    rule = PRETOKENS.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}")
     fast = tiktoken.Encoding("bytes", pat_str=rule, mergeable_ranks=table, special_tokens={})
+    kinds = {"L": "", "N": ""}
+    for c in map(chr, range(LATIN)):
+        kind = unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += c
+    latin = re.compile(PRETOKENS.format(L=f"[{kinds['L']}]", N=f"[{kinds['N']}]", l=kinds["L"], n=kinds["N"]))
     # Latin letters, digits, marks and the usual white space
-    plain = np.ones(0x250, bool)
-    plain[:32] = plain[127:161] = False
-    plain[[9, 10, 13]] = True
-
-    def easy(t: str) -> bool:
-        codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
-        return not len(codes) or (codes.max() < len(plain) and bool(plain[codes].all()) and END_OF_TEXT not in t)
+    plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
+    pieces = Pieces(fast.encode_ordinary)
 
     def ids(texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if easy(t):
-                found = fast.encode_to_numpy(t, disallowed_special=())
+            if plain.fullmatch(t) and END_OF_TEXT not in t:
+                out.append(b"".join(map(pieces.__getitem__, latin.findall(t))))
             else:
-                found = np.array(tokenizer.encode(t, add_special_tokens=False).ids)
-            out.append(found.astype("<u2").tobytes())
+                out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
         return out
 
     return ids
@@ -157,9 +179,10 @@ def pack(
     sequence: int = SEQUENCE,
     window: int = WINDOW,
     buckets: int = BUCKETS,
+    digest: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids (binary), doc_tokens,
-    sequence_id, offset, round."""
+    sequence_id, offset, round. With ``digest`` the ids' CRC-32 (ids_crc32) is in place of ids."""
     # numbered in the written table: a recomputed partition must not renumber rows
     made = cut(tokens(docs, tokenizer, ranks).withColumn("rid", F.monotonically_increasing_id()))
     sizes = made.select(
@@ -196,38 +219,34 @@ def pack(
     # the pieces of one document, no more than its tokens
     by_doc = pieces.groupBy("rid").agg(F.collect_list("piece").alias("pieces"))
 
+    shown = ("ids_crc32", "bigint", ids_crc32) if digest else ("ids", "binary", bytes)
+
     def slices(c: dict) -> dict:
-        out: dict[str, list] = {n: [] for n in ("doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "round")}
-        for doc_id, source, ids, n, pieces in zip(c["doc_id"], c["source"], c["ids"], c["n_tokens"], c["pieces"]):
-            for p in pieces:
-                out["doc_id"].append(doc_id)
-                out["source"].append(source)
-                out["ids"].append(ids[2 * p["start"] : 2 * (p["start"] + p["length"])])
-                out["doc_tokens"].append(n)
-                for name in ("start", "length", "sequence_id", "offset", "round"):
-                    out[name].append(p[name])
+        found = c["pieces"]
+        doc = [i for i, pieces in enumerate(found) for _ in pieces]
+        out = {"doc_id": [c["doc_id"][i] for i in doc], "source": [c["source"][i] for i in doc]}
+        out["doc_tokens"] = [c["n_tokens"][i] for i in doc]
+        for name in ("start", "length", "sequence_id", "offset", "round"):
+            out[name] = [p[name] for pieces in found for p in pieces]
+        spans = zip(doc, out["start"], out["length"])
+        out[shown[0]] = [shown[2](c["ids"][i][2 * at : 2 * (at + n)]) for i, at, n in spans]
         return out
 
     return mapped(
         made.join(by_doc, "rid").select("doc_id", "source", "ids", "n_tokens", "pieces"),
         slices,
-        "doc_id bigint, source string, start bigint, length bigint, ids binary, doc_tokens bigint, "
-        "sequence_id bigint, offset bigint, round bigint",
+        "doc_id bigint, source string, doc_tokens bigint, start bigint, length bigint, "
+        f"sequence_id bigint, offset bigint, round bigint, {shown[0]} {shown[1]}",
     )
 
 
-def crc_column(ids: Column) -> Column:
+def ids_crc32(ids: bytes) -> int:
     """CRC-32 of two-byte ids as little-endian unsigned 32-bit numbers."""
-
-    @F.pandas_udf("bigint")
-    def crc(column):
-        return column.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))
-
-    return crc(ids)
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
 
 
 def pack_report(docs: DataFrame, tokenizer: str, ranks: str, **how) -> DataFrame:
     """The pieces of :func:`pack` with the ids' CRC-32 in place of the ids."""
-    return pack(docs, tokenizer, ranks, **how).select(
-        "doc_id", "start", "length", crc_column(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    return pack(docs, tokenizer, ranks, digest=True, **how).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
