@@ -39,7 +39,7 @@ TRAIN_DOCS = 1500
 SHORT = 6  # letters of the windows that find a stem in a longer word
 TOXIC_LANDMARKS = 40
 SENTENCE_WORDS = 40
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CANDIDATES = 600
 MIN_ODDS = 4  # a toxic landmark is found in so many toxic texts for one other, in a sample of both
 EDGES = ".,;:!?'\"()[]{}<>*%&$#|-_"
@@ -72,27 +72,36 @@ def beginnings(word: str) -> list[str]:
     return [word] * (len(word) <= SPAN) + [word[:n] for n in range(4, min(len(word), 11))]
 
 
+def best_rows(rows: np.ndarray, at: np.ndarray, groups: list[list]) -> np.ndarray:
+    """The column-wise maximum over each group's rows; ``at`` lists the rows group by group."""
+    starts = np.cumsum([0] + [len(g) for g in groups[:-1]])
+    return np.maximum.reduceat(rows[at], starts, axis=0)
+
+
 def _matrix(pieces: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(SPAN, b"\0") for p in pieces), np.uint8).reshape(-1, SPAN)
 
 
 def self_kernel(c: np.ndarray) -> np.ndarray:
     """K(w, w) of every row of codes, by the kernel's recursion over prefix pairs."""
-    n, width = c.shape
+    cols = np.ascontiguousarray(c.T)
+    width, n = cols.shape
     sq = DECAY * DECAY
     # inner[l][j]: weight of common subsequences of length l of the prefixes up to i and j
     inner = [np.ones((width + 1, n), np.float64)] + [np.zeros((width + 1, n)) for _ in range(ORDER - 1)]
     total = np.zeros(n)
     for i in range(width):
-        before = [x.copy() for x in inner]
-        alike = [(c[:, i] == c[:, j]) & (c[:, i] > 0) for j in range(width)]
-        for j in range(width):
-            total += alike[j] * sq * before[ORDER - 1][j]
-        for order in range(1, ORDER):
+        alike = (cols == cols[i]) & (cols[i] > 0)
+        weight = alike * sq
+        total += (weight * inner[ORDER - 1][:-1]).sum(axis=0)
+        # the longest first: each order reads the next shorter one as it was at the last i
+        for order in range(ORDER - 1, 0, -1):
             run = np.zeros(n)
+            inner[order] *= DECAY
             for j in range(width):
-                run = DECAY * run + alike[j] * sq * before[order - 1][j]
-                inner[order][j + 1] = DECAY * before[order][j + 1] + run
+                run *= DECAY
+                run += weight[j] * inner[order - 1][j]
+                inner[order][j + 1] += run
     return total
 
 
@@ -117,25 +126,30 @@ class Landmarks:
         pieces = [windows(letter_codes(w)) for w in words]
         place: dict[bytes, int] = {}
         at = np.fromiter((place.setdefault(p, len(place)) for ps in pieces for p in ps), np.int64)
-        c, size = _matrix(list(place)), np.array([len(p) for p in place])
+        return best_rows(self.kernel(list(place)), at, pieces)
+
+    def kernel(self, pieces: list[bytes]) -> np.ndarray:
+        """The same for pieces of words, each of at most ``SPAN`` letters."""
+        c, size = _matrix(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = np.zeros((len(c), self.table.shape[1]), np.float32)
-        low = 2
-        for width in (SHORT, 9, 12, SPAN):
+        low = ORDER - 1
+        for width in range(ORDER, SPAN + 1):
             some = np.flatnonzero((size > low) & (size <= width))
+            if len(some) < 500 and width < SPAN:
+                continue  # few: with the next wider ones
             low = width
             for part in np.array_split(some, max(1, len(some) // 20_000)):
                 if len(part):
                     out[part] = self._rows(c[part, :width])
-        starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
-        return np.maximum.reduceat(out[at], starts, axis=0)
+        return out
 
     def _rows(self, c: np.ndarray) -> np.ndarray:
         acc = np.zeros((len(c), self.table.shape[1]), np.float32)
-        wide = c.astype(np.int32)
-        for i, j in itertools.combinations(range(c.shape[1] - 1), 2):
-            pair = (wide[:, i] * 27 + wide[:, j]) * 27
-            for k in range(j + 1, c.shape[1]):
-                code = pair + wide[:, k]
+        cols = np.ascontiguousarray(c.T).astype(np.int32)
+        for i, j in itertools.combinations(range(len(cols) - 1), 2):
+            pair = (cols[i] * 27 + cols[j]) * 27
+            for k in range(j + 1, len(cols)):
+                code = pair + cols[k]
                 hit = np.flatnonzero(self.used[code])
                 if len(hit):
                     acc[hit] += np.float32(DECAY ** (k - i + 1)) * self.table[code[hit]]
@@ -158,11 +172,16 @@ def sentences(text: str | None) -> list[list[str]]:
 
 
 class Features:
-    """Sentence features, with the words seen so far kept in a table of fixed size."""
+    """Sentence features. Words, and the windows of words, seen so far are kept in tables of
+    fixed size; words of equal letters share a row."""
 
     def __init__(self, marks: Landmarks) -> None:
-        self.marks, self.index = marks, {}
-        self.table = np.zeros((CACHE_WORDS, len(marks.strings)), np.float32)
+        self.marks, self.width = marks, len(marks.strings)
+        self.index: dict[str, int] = {}
+        self.rows: dict[bytes, int] = {}
+        self.pieces: dict[bytes, int] = {}
+        self.table = np.zeros((CACHE_WORDS, self.width), np.float32)
+        self.piece_table = np.zeros((CACHE_WORDS, self.width), np.float32)
 
     def of(self, texts: list[list[list[str]]]) -> list[np.ndarray]:
         """Features of each text's sentences; a text without any is a sentence without match."""
@@ -171,26 +190,49 @@ class Features:
             out += self._of(texts[i : i + 100])
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        fresh = []
+        for w in words:
+            codes = letter_codes(w)
+            row = self.rows.get(codes)
+            if row is None:
+                row = self.rows[codes] = len(self.rows)
+                fresh.append(codes)
+            self.index[w] = row
+        for i in range(0, len(fresh), 5000):
+            some = fresh[i : i + 5000]
+            base = self.rows[some[0]]
+            self.table[base : base + len(some)] = self._similarity(some)
+
+    def _similarity(self, words: list[bytes]) -> np.ndarray:
+        groups = [windows(c) for c in words]
+        new = list({p for g in groups for p in g if p not in self.pieces})
+        if len(self.pieces) + len(new) > len(self.piece_table):
+            self.pieces = {}
+            new = list({p for g in groups for p in g})
+            if len(new) > len(self.piece_table):
+                self.piece_table = np.zeros((len(new), self.width), np.float32)
+        base = len(self.pieces)
+        self.pieces.update(zip(new, range(base, base + len(new))))
+        self.piece_table[base : base + len(new)] = self.marks.kernel(new)
+        at = np.array([self.pieces[p] for g in groups for p in g], np.int64)
+        return best_rows(self.piece_table, at, groups)
+
     def _of(self, texts: list[list[list[str]]]) -> list[np.ndarray]:
         new = list({w for t in texts for s in t for w in s if w not in self.index})
         if len(self.index) + len(new) > len(self.table):
-            self.index = {}
+            self.index, self.rows = {}, {}
             new = list({w for t in texts for s in t for w in s})
             if len(new) > len(self.table):
-                self.table = np.zeros((len(new), self.table.shape[1]), np.float32)
-        for i in range(0, len(new), 5000):
-            words = new[i : i + 5000]
-            base = len(self.index)
-            self.index.update(zip(words, range(base, base + len(words))))
-            self.table[base : base + len(words)] = self.marks.similarity(words)
+                self.table = np.zeros((len(new), self.width), np.float32)
+        self._learn(new)
         out = []
         for t in texts:
             if not t:
-                out.append(np.zeros((1, self.table.shape[1]), np.float32))
+                out.append(np.zeros((1, self.width), np.float32))
                 continue
-            at = np.fromiter((self.index[w] for s in t for w in s), np.int64)
-            starts = np.cumsum([0] + [len(s) for s in t[:-1]])
-            out.append(np.maximum.reduceat(self.table[at], starts, axis=0))
+            at = np.array([self.index[w] for s in t for w in s], np.int64)
+            out.append(best_rows(self.table, at, t))
         return out
 
 
