@@ -6,7 +6,8 @@ every vector goes to its ``OVERLAP`` nearest shards, the nearest is its home. Sh
 pruning of near and random candidates; the adjacency lists that a vector got in its shards
 are united. Then every vector is searched for in its home shard, block by block: greedily
 from the medoid with a beam, then outwards through all nodes within the range. Every link is
-verified by its cosine in double precision, and counted where it is found; pairs are no rows.
+verified by its cosine in double precision, and counted where it is found; pairs are no rows:
+all links of a search group are united there, and every class they touch gives one row.
 
 Recall is audited by brute force on ``AUDIT`` vectors against all; below ``TARGET_RECALL``
 the search is repeated with twice the overlap and beam.
@@ -139,6 +140,17 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": ids, "near": [ids[a[a >= 0]].tolist() for a in adj]})
 
 
+def _joined(hit: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All classes of a search group, sorted, and the smallest class that the hits join each with."""
+    every = np.unique(np.concatenate([ids, own]))
+    label, to = np.arange(len(every)), np.searchsorted(every, ids)
+    for a, row in zip(np.searchsorted(every, own), hit):
+        some = np.unique(np.append(label[to[row]], label[a]))
+        if len(some) > 1:
+            label[np.isin(label, some)] = some[0]
+    return every, every[label]
+
+
 def _search(threshold: float, beam: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, ask = pdf[~pdf["asks"]].reset_index(drop=True), pdf[pdf["asks"]]
@@ -153,15 +165,18 @@ def _search(threshold: float, beam: int):
         v, q, own = np.stack(node["x"].to_numpy()), np.stack(ask["x"].to_numpy()), ask["cid"].to_numpy()
         hit = range_search(v, adj, q, threshold, beam) >= threshold
         hit &= own[:, None] != ids[None, :]
-        least = np.where(hit, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        return pd.DataFrame({"cid": own, "found": hit @ size, "root": np.minimum(least, own)})
+        every, root = _joined(hit, ids, own)
+        found, said = np.zeros(len(every), np.int64), root < every
+        at = np.searchsorted(every, own)
+        found[at], said[at] = hit @ size, True
+        return pd.DataFrame({"cid": every[said], "found": found[said], "root": root[said]})
 
     return run
 
 
 def _graph_links(classes: DataFrame, n: int, threshold: float, overlap: int, beam: int) -> DataFrame:
     """classes(cid, x, size) → cid, found (links to other classes' vectors), root (smallest
-    class linked with, or itself). One vector length only."""
+    class that a search group's links join it with, or itself). One vector length only."""
     k = min(MAX_CENTRES, max(1, -(-n * overlap // SHARD)))
     taken = classes.orderBy(F.xxhash64("cid")).limit(SAMPLE).select("x").toPandas()["x"]  # bounded sample
     centres = centres_of(np.stack(taken.to_numpy()), min(k, len(taken)))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,41 @@ def test_vectors_equal_brute_force(spark):
     assert vector_graph.near_vectors(df.where("false")).count() == 0
 
 
+def test_every_link_of_a_search_group_joins():
+    angle = np.deg2rad([-15.0, 15.0, 0.0])
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    ids = [1, 2, 3]
+    node = {"cid": ids, "size": 1, "asks": False, "x": list(x), "near": [[c for c in ids if c != i] for i in ids]}
+    both = pd.concat([pd.DataFrame(node), pd.DataFrame(node | {"asks": True, "near": [[]] * 3})])
+    got = vector_graph._search(0.95, 8)(both)
+    assert sorted(zip(got["cid"], got["found"], got["root"])) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
+    # a node of another block that is only found, never asks
+    got = vector_graph._search(0.95, 8)(both[~both["asks"] | (both["cid"] == 3)])
+    assert sorted(zip(got["cid"], got["found"], got["root"])) == [(2, 0, 1), (3, 2, 1)]
+
+
+@pytest.mark.parametrize("block", [1024, 60])
+def test_chains_and_loose_clusters_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_graph, "BLOCK", block)
+    rng = np.random.RandomState(11)
+    centre = np.repeat(rng.normal(size=(12, 64)), 20, axis=0)
+    loose = centre + rng.normal(size=centre.shape) * 0.235
+    turn = np.deg2rad(15.0) * np.arange(12)
+    chain = np.zeros((12, 64))
+    chain[:, 0], chain[:, 1] = np.cos(turn), np.sin(turn)
+    v = np.concatenate([loose, chain])[rng.permutation(252)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = v @ v.T >= 0.95
+    assert 0.1 < near[np.ix_(*[np.flatnonzero(near.sum(axis=1) > 1)] * 2)].mean() * 12 < 0.9
+    comp = np.arange(len(v))
+    for _ in range(len(v)):
+        comp = np.where(near, comp[None, :], len(v)).min(axis=1)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_graph.near_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, comp[i], comp[i] == i) for i in range(len(v))}
+
+
 def test_viterbi_equals_brute_force(docs):
     p = piece_viterbi.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
     pieces = {w: (gain, i) for w, (_, gain, i) in p.automaton.items()}
