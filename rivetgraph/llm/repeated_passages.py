@@ -5,17 +5,11 @@
   the same suffixes. A suffix is known by a 64-bit hash of its first ``anchor`` words.
 * Suffixes whose anchor occurs once are dropped (a grouped count, combined before the
   shuffle). The others get their context, the word hashes left and right of the anchor.
-* The kept suffixes are sorted by anchor, then by what follows. Neighbours are compared and
-  their match is extended right and left; if it has ``min_words`` words, the later of the two
-  documents has the match marked as repeated. Along a run of matching neighbours the earliest
-  occurrence is carried on, so all others are held against it.
-* An anchor with many suffixes is sorted in salted parts; the earliest suffixes of the parts'
-  runs meet in a second sort.
-
-A match is extended against the neighbour and the run's earliest occurrence; where a third one
-happens to go on a word further, that word is not marked.
-
-Extension looks as far as the next minimiser can be, so marks of one passage join up.
+* Around each kept suffix every window of ``min_words`` words that holds the anchor is hashed.
+  Of the suffixes with the same window hash all but the earliest have the window marked as
+  repeated. Two copies of a window choose the same suffix in it, so none is missed.
+* An anchor with many suffixes is dealt out in salted parts. The earliest occurrences of a
+  part's windows meet in a grouped minimum per window hash, a row per part and window.
 
 Order of occurrences: doc_id (null first), then the text's hash, then place. Defined cases:
 null and empty texts, and texts of fewer than ``min_words`` words, have no repeats; repeated
@@ -33,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from rivetgraph.llm.common import WORD, grams, mapped, word_hashes, words_of
+from rivetgraph.llm.common import WORD, grams, mapped, mixed, word_hashes, words_of
 from rivetgraph.session import cut
 
 MIN_WORDS = 50
@@ -41,9 +35,8 @@ GRAM = 5
 GUARANTEE = 33
 SALT_ROWS = 20_000
 
-MARK = "doc_id bigint, k64 bigint, start int, end int"
 SUFFIX = "anchor bigint, doc_id bigint, k64 bigint, pos int, salts int, lctx binary, rctx binary"
-OUT = f"{MARK}, head boolean, {SUFFIX.replace('doc_id bigint, k64 bigint, ', '')}"
+OUT = "doc_id bigint, k64 bigint, start int, end int, head bigint"
 
 
 def minimisers(h: np.ndarray, min_words: int, gram: int, guarantee: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,63 +100,71 @@ def _with_context(docs: DataFrame, min_words: int, gram: int, guarantee: int) ->
     return mapped(docs, cutout, SUFFIX)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from the anchor on."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, "<u4", n // 4), np.frombuffer(b, "<u4", n // 4)
-    return int((x != y).argmax())
+def _context(side: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes [n, reach + 1] of the first 0, 1, .. words of each context, and the contexts' lengths."""
+    words = np.frombuffer(b"".join(c.ljust(4 * reach, b"\0") for c in side), "<u4").reshape(len(side), reach)
+    out = np.zeros((len(side), reach + 1), np.uint64)
+    for i in range(reach):
+        out[:, i + 1] = mixed(out[:, i] * np.uint64(0x9E3779B97F4A7C15) + words[:, i] + np.uint64(1))
+    return out, np.fromiter((len(c) // 4 for c in side), np.int64, len(side))
 
 
 def _compare(min_words: int, anchor: int):
-    """Walks sorted suffixes; a run is a stretch of neighbours that match."""
+    """Marks the windows around sorted suffixes whose equal has come before in the anchor's part;
+    ``head`` names the windows of a part's earliest occurrences where there are several parts."""
     target = to_arrow_schema(StructType.fromDDL(OUT))
-
-    def order(s: dict) -> tuple:
-        return (s["doc_id"] is not None, s["doc_id"] or 0, s["k64"], s["pos"])
-
-    def match(a: dict, b: dict) -> tuple[int, int] | None:
-        if order(a) == order(b):
-            return None
-        left, right = _common(a["lctx"], b["lctx"]), _common(a["rctx"], b["rctx"])
-        return (left, right) if left + anchor + right >= min_words else None
-
-    def mark(s: dict, hit: tuple[int, int]) -> dict:
-        span = {"start": s["pos"] - hit[0], "end": s["pos"] + anchor + hit[1], "head": False}
-        return {"doc_id": s["doc_id"], "k64": s["k64"]} | span
+    reach = min_words - anchor
+
+    def marked(t: pa.Table) -> pa.RecordBatch:
+        k64, pos, keys = (t.column(n).to_numpy() for n in ("k64", "pos", "anchor"))
+        salts, salt = t.column("salts").to_numpy(), t.column("salt").to_numpy()
+        left, n_left = _context(t.column("lctx").to_pylist(), reach)
+        right, n_right = _context(t.column("rctx").to_pylist(), reach)
+        doc = t.column("doc_id")
+        order = np.rec.fromarrays([doc.is_valid().to_numpy(), doc.fill_null(0).to_numpy(), k64, pos])
+        low, high = np.full(len(pos), reach + 1), np.full(len(pos), -1)
+        rows, starts, heads = [], [], []
+        for n in range(reach + 1):
+            at = np.flatnonzero((n_left >= n) & (n_right >= reach - n))
+            window = mixed(mixed(left[at, n] + np.uint64(n + 1)) + right[at, reach - n] + keys[at].view(np.uint64))
+            part = mixed(window + salt[at].astype(np.uint64))
+            _, first, same = np.unique(part, return_index=True, return_inverse=True)
+            # a repeated row is no later occurrence
+            again = order[at] != order[at[first[same]]]
+            low[at[again]] = np.minimum(low[at[again]], n)
+            high[at[again]] = n
+            top = first[salts[at[first]] > 1]
+            rows.append(at[top])
+            starts.append(pos[at[top]] - n)
+            heads.append(window[top].view(np.int64))
+        hit = np.flatnonzero(high >= 0)
+        rows, start = np.concatenate([hit, *rows]), np.concatenate([pos[hit] - high[hit], *starts])
+        end = np.concatenate([pos[hit] - low[hit] + min_words, start[len(hit) :] + min_words])
+        head = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(np.concatenate(heads))])
+        of = t.select(["doc_id", "k64"]).take(pa.array(rows)).combine_chunks()
+        doc_id, k = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in of.columns)
+        return pa.RecordBatch.from_arrays(
+            [doc_id, k, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), head], schema=target
+        )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict | None = None
-        prev: dict | None = None
-        out: list[dict] = []
-
-        def close() -> None:
-            if best is not None and best["salts"] > 1:
-                out.append(best | {"head": True})
-
+        held: list[pa.RecordBatch] = []  # the suffixes of a part that goes on in the next batch
         for batch in batches:
-            for s in batch.to_pylist():
-                same = prev is not None and prev["anchor"] == s["anchor"]
-                if same and order(prev) == order(s):
+            if not batch.num_rows:
+                continue
+            keys, salt = batch.column("anchor").to_numpy(), batch.column("salt").to_numpy()
+            ends = np.flatnonzero((keys != keys[-1]) | (salt != salt[-1]))
+            cut_at = int(ends[-1]) + 1 if len(ends) else 0
+            if held and not cut_at:
+                last = held[-1]
+                if last.column("anchor")[-1].as_py() == keys[0] and last.column("salt")[-1].as_py() == salt[0]:
+                    held.append(batch)
                     continue
-                near = match(prev, s) if same else None
-                first = (match(best, s) if best is not prev else near) if same else None
-                if first:
-                    later, other = (s, best) if order(best) < order(s) else (best, s)
-                    out.append(mark(later, first))
-                    best = other
-                if near and (not first or near[0] + near[1] > first[0] + first[1]):
-                    out.append(mark(max(prev, s, key=order), near))
-                if not first and not near:
-                    close()
-                    best = s
-                prev = s
-            if len(out) >= 2000:
-                yield pa.RecordBatch.from_pylist(out, schema=target)
-                out.clear()
-        close()
-        yield pa.RecordBatch.from_pylist(out, schema=target)
+            if held or cut_at:
+                yield marked(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+            held = [batch.slice(cut_at)]
+        if held:
+            yield marked(pa.Table.from_batches(held))
 
     return walk
 
@@ -187,19 +188,14 @@ def repeated_spans(
     )
     rows = _with_context(docs.join(places, "k64").select("doc_id", "k64", "text", "places"), min_words, gram, guarantee)
     walk = _compare(min_words, min_words - guarantee + gram)
-    ordered = ["rctx", "doc_id", "k64", "pos"]
-    salt = F.pmod(F.xxhash64("doc_id", "k64"), F.col("salts").cast("bigint"))
+    salt = F.pmod(F.xxhash64("doc_id", "k64", "pos"), F.col("salts").cast("bigint"))
     dealt = rows.withColumn("salt", salt).repartition("anchor", "salt")
-    found = cut(
-        dealt.sortWithinPartitions("anchor", "salt", *ordered)
-        .select(*[c.split()[0] for c in SUFFIX.split(", ")])
-        .mapInArrow(walk, OUT)
-    )
-    heads = found.where("head").select(*[c.split()[0] for c in SUFFIX.split(", ")])
-    again = (
-        heads.repartition("anchor").sortWithinPartitions("anchor", *ordered).mapInArrow(walk, OUT).where("not head")
-    )
-    marks = found.where("not head").unionByName(again).select("doc_id", "k64", F.struct("start", "end").alias("s"))
+    found = cut(dealt.sortWithinPartitions("anchor", "salt", "doc_id", "k64", "pos").mapInArrow(walk, OUT))
+    heads = found.where("head is not null")
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "k64", "start")
+    first = heads.groupBy("head").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+    again = heads.join(first, "head").where(order != F.col("first")).select(*found.columns)
+    marks = found.where("head is null").unionByName(again).select("doc_id", "k64", F.struct("start", "end").alias("s"))
     return marks.groupBy("doc_id", "k64").agg(_merged(F.sort_array(F.collect_set("s"))).alias("spans"))
 
 

@@ -146,6 +146,23 @@ def test_repeated_passages_equal_brute_force(spark):
             assert len(want[d] - got[d]) <= 2 and len(got[d] - want[d]) <= 2
 
 
+@pytest.mark.parametrize("salt", [20_000, 3])
+def test_every_repeated_window_of_edited_copies_and_notices(spark, salt):
+    rng = random.Random(8)
+    base, rows = prose(50, 300).split(), []
+    for i in range(20):
+        rows.append((i, " ".join(rng.choice(VOCAB) + "x" if rng.random() < 0.03 else w for w in base)))
+    # two copies of a passage that ends in a notice, between many that share the notice alone
+    notice = prose(51, 30)
+    for i in range(30):
+        rows.append((100 + i, prose(200 + i, 40) + " " + notice + " " + prose(300 + i, 40)))
+    for i in (90, 140, 141):
+        rows.append((i, prose(400 + i, 30) + " " + prose(52, 28) + " " + notice + " " + prose(500 + i, 30)))
+    df = spark.createDataFrame(rows + rows[5:7], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: covered(r.spans) for r in repeated_passages.repeat_report(df, salt_rows=salt).collect() if r.spans}
+    assert got == brute_repeats(rows)
+
+
 def test_remove_repeats_odd_rows(docs, empty):
     out = repeated_passages.remove_repeats(docs)
     assert out.columns == docs.columns
