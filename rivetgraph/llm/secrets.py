@@ -6,9 +6,9 @@ base 36, base 62, base 64). Three tests ask whether its symbols are random: chi-
 uniformity over the alphabet, Wald-Wolfowitz runs about the median, and serial correlation.
 Fisher's statistic joins their p-values.
 
-How likely ordinary text would look as random is read from ordinary text itself: letters of
-the corpus, joined to strings of each length, give mean and spread of the log statistic by
-length class. Within a length class, Benjamini-Hochberg at ``FDR`` is applied to all
+How likely ordinary text would look as random is read from ordinary text itself: the plain
+words of all different texts, joined to strings of each length, give mean and spread of the
+log statistic by length class. Within a length class, Benjamini-Hochberg at ``FDR`` is applied to all
 candidates of the corpus; p-values are counted in cells of a logarithmic scale (upper edges,
 so the control errs to the safe side), which is a table of fixed size.
 
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rivetgraph.llm.common import mapped
+from rivetgraph.llm.common import mapped, text_key
 
 FDR = 0.01
 MIN_LENGTH = 20
@@ -57,6 +57,7 @@ ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 )
 _SETS = [(set(a), {c: i for i, c in enumerate(a)}) for a in ALPHABETS]
+_CODES = np.array([[o.get(chr(c), -1) for c in range(128)] for _, o in _SETS], np.int64)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,29 +86,49 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _tails(z: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(_normal_tail, z.tolist()), float, len(z))
+
+
+def _battery(x: np.ndarray, k: int) -> np.ndarray:
+    """Fisher's statistic of each row of ``x``, symbols of an alphabet of ``k``."""
+    m, n = x.shape
+    counts = np.bincount((x + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+    chi = (counts**2).sum(axis=1) * k / n - n
+    # Wilson-Hilferty
+    d = k - 1
+    p1 = _tails(((np.maximum(chi, 1e-9) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    high = x >= k / 2
+    up = high.sum(axis=1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * up * (n - up) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p2 = np.where(var > 0, 2 * _tails(np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1.0))), 1e-12)
+    c = x - x.mean(axis=1, keepdims=True)
+    r = (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.maximum((c * c).sum(axis=1), 1e-12)
+    p3 = 2 * _tails(np.abs(r + 1 / n) * math.sqrt(n))
+    return -2 * sum(np.log(np.clip(p, 1e-300, 1.0)) for p in (p1, p2, p3))
+
+
 def statistic(s: str) -> float | None:
     """Fisher's statistic of the battery: about 6 for noise, large for text."""
     chars = set(s)
     order = next((o for a, o in _SETS if chars <= a), None)
     if order is None or s.isdigit():
         return None
-    x = np.fromiter((order[c] for c in s), float, len(s))
-    n, k = len(x), len(order)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = (counts**2).sum() * k / n - n
-    # Wilson-Hilferty
-    d = k - 1
-    p1 = _normal_tail(((max(chi, 1e-9) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
-    high = x >= k / 2
-    up = int(high.sum())
-    runs = 1 + int((high[1:] != high[:-1]).sum())
-    mean = 1 + 2 * up * (n - up) / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p2 = 2 * _normal_tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1e-12
-    c = x - x.mean()
-    r = float((c[1:] * c[:-1]).sum() / max((c * c).sum(), 1e-12))
-    p3 = 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
-    return -2 * sum(math.log(max(min(p, 1.0), 1e-300)) for p in (p1, p2, p3))
+    return float(_battery(np.fromiter((order[c] for c in s), np.int64, len(s))[None], len(order))[0])
+
+
+def statistics(pieces: np.ndarray) -> np.ndarray:
+    """:func:`statistic` of strings of letters of one length, given as rows of their codes."""
+    out, left = np.empty(len(pieces)), np.arange(len(pieces))
+    for codes, alphabet in zip(_CODES, ALPHABETS):
+        x = codes[pieces[left]]
+        fits = (x >= 0).all(axis=1)
+        if fits.any():
+            out[left[fits]] = _battery(x[fits], len(alphabet))
+        left = left[~fits]
+    return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
@@ -122,34 +143,59 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def ordinary(text: str) -> list[tuple[int, float]]:
-    """(length class, log statistic) of strings joined from the text's first plain words,
-    one of each length class: what a candidate of ordinary text would look like."""
-    words = [w for w in re.findall(r"(?<!\S)[A-Za-z]{1,19}(?!\S)", text[:2000])]
-    joined = "".join(words)[: sum(LENGTH_EDGES)]
-    out, at = [], 0
+PLAIN = re.compile(r"(?<!\S)[A-Za-z]{1,19}(?!\S)")
+
+
+def ordinary(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, sum and sum of squares [texts, length classes] of the log statistic of strings
+    joined from all plain words of each text, one of each length class in turn: what
+    candidates of ordinary text would look like."""
+    turn = sum(LENGTH_EDGES)
+    joined = ["".join(PLAIN.findall(t)) if t else "" for t in texts]
+    size = np.fromiter(map(len, joined), np.int64, len(joined))
+    lines = -(-size // turn)
+    owner = np.repeat(np.arange(len(joined)), lines)
+    letters = "".join(w.ljust(n * turn, "\0") for w, n in zip(joined, lines.tolist()))
+    rows = np.frombuffer(letters.encode("ascii"), np.uint8).reshape(-1, turn)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines)
+    fill = size[owner] - place * turn
+    sums, at = np.zeros((3, len(LENGTH_EDGES), len(joined))), 0
     for i, n in enumerate(LENGTH_EDGES):
-        piece = joined[at : at + n]
+        full = np.flatnonzero(fill >= at + n)
+        for part in np.array_split(full, len(full) // 10_000 + 1):
+            t = np.log(statistics(rows[part, at : at + n]) + 1e-6)
+            for j in range(3):
+                sums[j, i] += np.bincount(owner[part], t**j, len(joined))
         at += n
-        if len(piece) == n and (t := statistic(piece)) is not None:
-            out.append((i, math.log(t + 1e-6)))
+    return sums[0].T, sums[1].T, sums[2].T
+
+
+def _spread(docs: DataFrame) -> dict[int, tuple[float, float]]:
+    """Mean and deviation of ordinary text's log statistic by length class, over all
+    different texts; a text's copies count once."""
+
+    def measured(c: dict) -> dict:
+        n, total, squares = ordinary(c["text"])
+        some = np.flatnonzero(n[:, 0])
+        return {"key": [c["key"][i] for i in some]} | {
+            name: x[some].tolist() for name, x in (("n", n), ("total", total), ("squares", squares))
+        }
+
+    keyed = docs.select("text", text_key().alias("key"))
+    schema = "key binary, n array<double>, total array<double>, squares array<double>"
+    each = mapped(keyed, measured, schema).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "total", "squares")])
+    by_class = each.select(F.posexplode(F.arrays_zip("n", "total", "squares")).alias("cls", "x"))
+    grouped = by_class.where("x.n > 0").groupBy("cls").agg(
+        F.sum("x.n").alias("n"), F.sum("x.total").alias("total"), F.sum("x.squares").alias("squares")
+    )
+    out = {}
+    for r in grouped.collect():  # a row per length class
+        mean = r.total / r.n
+        var = max(r.squares - r.n * mean * mean, 0.0) / (r.n - 1) if r.n > 1 else 0.0
+        out[r.cls] = (mean, max(math.sqrt(var), 0.05))
     return out
 
 
-def _spread(docs: DataFrame, null_docs: int) -> dict[int, tuple[float, float]]:
-    """Mean and deviation of ordinary text's log statistic by length class, from the
-    ``null_docs`` documents of smallest hash."""
-    some = docs.select("text").where(F.length("text") > 200).orderBy(F.xxhash64("text")).limit(null_docs)
-
-    def sampled(c: dict) -> dict:
-        rows = [x for t in c["text"] for x in ordinary(t or "")]
-        return {"cls": [a for a, _ in rows], "t": [b for _, b in rows]}
-
-    grouped = mapped(some, sampled, "cls int, t double").groupBy("cls")
-    rows = grouped.agg(F.avg("t").alias("m"), F.stddev("t").alias("s")).collect()  # a row per length class
-    return {r.cls: (r.m, max(r.s or 0.0, 0.05)) for r in rows}
-
-
 def log_p(t: float, n: int, spread: dict[int, tuple[float, float]]) -> float:
     """log10 of the chance that ordinary text of this length looks as random."""
     known = spread.get(length_class(n)) or (spread[max(spread)] if spread else None)
@@ -159,9 +205,9 @@ def log_p(t: float, n: int, spread: dict[int, tuple[float, float]]) -> float:
     return math.log10(max(_normal_tail(z), 1e-49))
 
 
-def fit(docs: DataFrame, fdr: float = FDR, null_docs: int = 2000) -> tuple[dict, dict[int, float]]:
+def fit(docs: DataFrame, fdr: float = FDR) -> tuple[dict, dict[int, float]]:
     """(spread of ordinary text, largest accepted log10 p by length class) for a corpus."""
-    spread = _spread(docs, null_docs)
+    spread = _spread(docs)
 
     def cells(c: dict) -> dict:
         out = []

@@ -272,6 +272,26 @@ def test_secrets_tell_noise_from_words(spark):
     assert sum(s in clean[i] for i, s in enumerate(noise)) <= 2 and clean[100] == rows[20][1]
 
 
+def test_ordinary_text_is_every_word_of_every_different_text(spark):
+    low, up = prose(70, 700), prose(71, 90).upper()
+    texts = [low, up, low + " " + up, "short", "", None, prose(72, 3000).title()]
+    want = {}
+    for t in set(texts) - {None}:
+        letters = "".join(re.findall(r"(?<!\S)[A-Za-z]{1,19}(?!\S)", t))
+        while letters:
+            for i, n in enumerate(secrets.LENGTH_EDGES):
+                if len(letters) >= n:
+                    want.setdefault(i, []).append(np.log(secrets.statistic(letters[:n]) + 1e-6))
+                letters = letters[n:] if len(letters) >= n else ""
+    # thousands of copies of one text weigh as one
+    rows = [(i, t) for i, t in enumerate(texts + [up] * 2500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = secrets.fit(df)[0]
+    assert set(got) == set(want)
+    for i, t in want.items():
+        assert got[i] == pytest.approx((np.mean(t), max(np.std(t, ddof=1), 0.05)), rel=1e-6)
+
+
 def test_kernel_equals_its_definition():
     from itertools import combinations
 
