@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rivetgraph import params as P
@@ -79,38 +79,52 @@ def failure_logs(failures: DataFrame, logs: DataFrame) -> DataFrame:
     )
 
 
-def export_names(capped: DataFrame) -> DataFrame:
-    """SNK-07: a file name of its own for every originating failure of a stored snapshot.
+def export_names(failures: DataFrame) -> DataFrame:
+    """SNK-07: a file name of its own for every originating failure.
 
-    ``capped``: rows of ``failures.capped_failures``, so a job has 501 at the most and its
-    rows may be handled together. The n-th use of a base name becomes ``base-n.log``;
-    only jobs where that collides (``foo-2`` against the second ``foo``) go on to the
-    step-by-step form, which skips names already taken.
+    ``failures``: records with a ``place`` that orders a job's rows. The n-th use of a base
+    name becomes ``base-n.log``. Only bases that are alike up to numbers at their end can
+    collide (``foo-2`` against the second ``foo``); where they do, the rows of such a family
+    are walked in order, which skips names already taken.
     """
-    own = capped.where(F.col("error_category") != "propagated_failure").select(
+    own = failures.where(F.col("error_category") != "propagated_failure").select(
         "job_id", "place", "drv_hash", "drv_name", sanitize_filename(F.col("drv_name")).alias("base")
     )
     use = F.row_number().over(Window.partitionBy("job_id", "base").orderBy("place"))
     suffix = F.when(use == 1, "").otherwise(F.concat(F.lit("-"), use.cast("string")))
-    simple = own.withColumn("file_name", F.concat("base", suffix, F.lit(".log")))
+    simple = own.withColumn("file_name", F.concat("base", suffix, F.lit(".log"))).withColumn(
+        "family", F.regexp_replace("base", "(-[0-9]+)+$", "")
+    )
     clashing = (
-        simple.groupBy("job_id", "file_name").count().where(F.col("count") > 1).select("job_id").distinct()
+        simple.groupBy("job_id", "family", "file_name").count().where(F.col("count") > 1).select("job_id", "family").distinct()
     )
-    clean = simple.join(clashing, "job_id", "left_anti")
+    clean = simple.join(clashing, ["job_id", "family"], "left_anti").select(simple.columns)
+    walked = simple.join(clashing, ["job_id", "family"], "left_semi").select(simple.columns)
     resolved = (
-        simple.join(clashing, "job_id", "left_semi").groupBy("job_id").applyInPandas(_resolve_names, simple.schema)
+        walked.repartition("job_id", "family")
+        .sortWithinPartitions("job_id", "family", "place")
+        .mapInArrow(_resolve_names, simple.schema)
     )
-    return clean.unionByName(resolved)
+    return clean.unionByName(resolved).drop("family")
 
 
-def _resolve_names(job: pd.DataFrame) -> pd.DataFrame:
+def _resolve_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at: tuple | None = None
     taken: set[str] = set()
-    names = {}
-    for row in job.sort_values("place").itertuples():
-        tries = itertools.chain([f"{row.base}.log"], (f"{row.base}-{i}.log" for i in itertools.count(2)))
-        names[row.Index] = next(name for name in tries if name not in taken)
-        taken.add(names[row.Index])
-    return job.assign(file_name=pd.Series(names))
+    uses: dict[str, int] = {}  # a base's names up to here are taken, by itself or another
+    for batch in batches:
+        names = []
+        for job, family, base in zip(*(batch.column(c).to_pylist() for c in ("job_id", "family", "base"))):
+            if (job, family) != at:
+                at, taken, uses = (job, family), set(), {}
+            n = uses.get(base, 0) + 1
+            while (name := f"{base}.log" if n == 1 else f"{base}-{n}.log") in taken:
+                n += 1
+            uses[base] = n
+            taken.add(name)
+            names.append(name)
+        place = batch.schema.get_field_index("file_name")
+        yield batch.set_column(place, batch.schema.field(place), pa.array(names, batch.schema.field(place).type))
 
 
 def export_failure_logs(named: DataFrame, path: str, *, as_files: bool = False) -> None:

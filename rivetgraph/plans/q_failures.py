@@ -292,11 +292,7 @@ def named_failures(t):
         .groupBy(F.col("l_suppkey").alias("job_id"), F.col("l_partkey").alias("drv_hash"), name.alias("drv_name"))
         .agg(F.min("l_orderkey").alias("ord"))
     )
-    extra = {c: F.lit(None).cast("string") for c in ("error_message", "log_tail", "worker_id")}
-    rows = rows.withColumns(
-        extra | {"propagated_from": F.lit(None).cast("bigint"), "error_category": F.lit("build_failure")}
-    )
-    return fail.capped_failures(rows, [F.col("ord"), F.col("drv_hash")])
+    return rows.withColumns({"error_category": F.lit("build_failure"), "place": F.struct("ord", "drv_hash")})
 
 
 @query("snk_07_unique_filename")

@@ -1,11 +1,13 @@
 """Ingest, failures, lifecycle, logs, retention, comparison, quality."""
 
 import datetime as dt
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
 from rivetgraph.operators import failures as fail, ingest, lifecycle, logs, quality, retention, state
+from rivetgraph.plans import q_failures
 from tests.conftest import rows_of
 
 T0 = dt.datetime(2024, 1, 1)
@@ -298,3 +300,19 @@ def test_membership_takes_a_jobs_own_inputs_only(make):
     sent = make([("a", "x"), ("b", "x")], ddl)
     assert rows_of(ingest.membership(sent, inputs)) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "z")]
     assert rows_of(ingest.membership(sent, inputs, make([("z",)], "drv_hash string"))) == [("a", "x"), ("a", "y"), ("b", "x")]
+
+
+def test_every_failure_of_a_large_job_is_named(make):
+    lines = make([(i, 7, i % 650, "R") for i in range(1300)], "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_returnflag string")
+    tables = types.SimpleNamespace(raw=lambda name: lines)
+    rows = logs.export_names(q_failures.named_failures(tables)).repartition(3).collect()
+    assert len(rows) == 650
+    taken, want = set(), {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        n, name = 1, f"{r.base}.log"
+        while name in taken:
+            n += 1
+            name = f"{r.base}-{n}.log"
+        taken.add(name)
+        want[r.drv_hash] = name
+    assert {r.drv_hash: r.file_name for r in rows} == want
