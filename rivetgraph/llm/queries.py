@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rivetgraph.llm import (
+    chat_formatting,
     divergence_rules,
+    importance_resampling,
     language_evidence,
     mixture_packing,
     ngram_join,
     piece_viterbi,
     repeated_passages,
     secrets,
+    source_divergence,
     surrogates,
     toxicity,
     vector_graph,
@@ -93,3 +96,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
+@query("op11_source_divergence", source_divergence.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_chat_formatting", chat_formatting.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.chat_report(chat_formatting.with_probe(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_importance_resampling", importance_resampling.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
