@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivetgraph.functions.times import plus_seconds
 from rivetgraph.plans.q_sources import event_text
+from rivetgraph.plans.q_workers import resets_sql
 from rivetgraph.plans.registry import query
 from rivetgraph.plans.views import Tables
 from rivetgraph.streaming import jobs as sj, stateful
@@ -78,42 +80,67 @@ def _(t):
     return VersionedTable(t.spark).keep(events, sj.fold_runs)
 
 
-@query(
-    "st_05_streaming_quarantine",
-    """SELECT worker_id, epoch_us(ts) AS trip_us, epoch_us(ts) + 86400000000 AS release_us FROM (
-         SELECT worker_id, ts, count(*) OVER (PARTITION BY worker_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND CURRENT ROW) AS n FROM ev WHERE kind = 'drv_failed') WHERE n >= 5""",
-)
+# The streams' watermark stands an hour behind their newest row; what is at or before it is settled.
+LATE, LATE_MS = "1 hour", 3_600_000
+
+
+def settled(rows: str, us: str) -> str:
+    return f"{us} <= (SELECT max(epoch_ms({rows}.ts)) - {LATE_MS} FROM {rows}) * 1000"
+
+
+def results(stream_rows):
+    return stateful.split_late(drain(stream_rows))[0]
+
+
+CHECKED = "SELECT * FROM ev WHERE kind IN ('drv_failed', 'drv_started')"
+QUARANTINE_SQL, QUARANTINE_VIEWS = resets_sql(settled("checked", "epoch_us(ts)"))
+
+
+@query("st_05_streaming_quarantine", QUARANTINE_SQL, **QUARANTINE_VIEWS, checked=CHECKED)
 def _(t):
-    # failures only: without claim checks nothing resets, as in the SQL
-    events = live(t).ev.where(F.col("kind") == "drv_failed").select("worker_id", "ts", F.lit(True).alias("is_failure"))
-    return drain(stateful.quarantine_stream(events, threshold=5, window_secs=3 * DAY, cooldown_secs=DAY))
+    bad = F.col("kind") == "drv_failed"
+    events = live(t).ev.where(bad | (F.col("kind") == "drv_started")).select("worker_id", "ts", bad.alias("is_failure"))
+    changes = results(stateful.quarantine_stream(events, threshold=5, window_secs=3 * DAY, cooldown_secs=DAY, late=LATE))
+    return stateful.quarantines_of(changes)
 
 
+# Leases of 20 or 30 s by job, some with a lifetime of 40 s; long builds extend after 15 and 29 s.
 @query(
     "st_06_lease_expiry",
-    """WITH marks AS (SELECT greatest(max(started_at), max(ended_at) FILTER (NOT open)) AS seen FROM attempts)
-       SELECT claim_id, started_at + to_seconds(30) AS expired_at FROM attempts, marks
-       WHERE CASE WHEN open THEN started_at + to_seconds(30) <= seen ELSE duration_ms >= 30000 END""",
+    f"""SELECT claim_id, due2 AS expired_us, CASE WHEN due2 >= hard THEN 'hard_ceiling' ELSE 'lease_lapsed' END AS cause
+        FROM extended WHERE (open OR epoch_us(ended_at) >= due2) AND {settled("lease_events", "due2")}""",
+    terms="""SELECT *, epoch_us(started_at) AS t0, CASE WHEN job_id % 3 = 0 THEN 20 ELSE 30 END * 1000000 AS w,
+                    CASE WHEN job_id % 2 = 0 THEN epoch_us(started_at) + 40000000 END AS hard FROM attempts""",
+    extended="""SELECT *, CASE WHEN duration_ms >= 29000 AND t0 + 29000000 < due1 THEN least(t0 + 29000000 + w, hard) ELSE due1 END AS due2
+                FROM (SELECT *, CASE WHEN duration_ms >= 15000 THEN least(t0 + 15000000 + w, hard) ELSE t0 + w END AS due1 FROM terms)""",
+    lease_events="""SELECT started_at AS ts FROM attempts UNION ALL SELECT started_at + to_seconds(15) FROM attempts WHERE duration_ms >= 15000
+                    UNION ALL SELECT started_at + to_seconds(29) FROM attempts WHERE duration_ms >= 29000 UNION ALL SELECT ended_at FROM attempts WHERE NOT open""",
 )
 def _(t):
-    both = F.array(
-        F.struct(F.col("started_at").alias("ts"), F.lit("issue").alias("kind")),
-        F.struct(F.when(~F.col("open"), F.col("ended_at")).alias("ts"), F.lit("complete").alias("kind")),
+    event = lambda ts, kind: F.struct(ts.alias("ts"), F.lit(kind).alias("kind"))
+    start, took = F.col("started_at"), F.col("duration_ms")
+    each = F.array(
+        event(start, "issue"),
+        event(F.when(took >= 15_000, plus_seconds(start, 15)), "extend"),
+        event(F.when(took >= 29_000, plus_seconds(start, 29)), "extend"),
+        event(F.when(~F.col("open"), F.col("ended_at")), "complete"),
     )
-    events = live(t).attempts.select("claim_id", F.inline(both)).where(F.col("ts").isNotNull())
-    return drain(sj.lease_sessions(events, window_secs=30, late="0 seconds"))
+    window = F.when(F.col("job_id") % 3 == 0, F.lit(20))
+    lifetime = F.when(F.col("job_id") % 2 == 0, F.lit(40))
+    events = live(t).attempts.select("claim_id", window.alias("window_secs"), lifetime.alias("lifetime_secs"), F.inline(each))
+    return results(stateful.lease_expiries(events.where(F.col("ts").isNotNull()), window_secs=30, late=LATE))
 
 
 @query(
     "st_07_heartbeat_timeout",
-    """WITH b AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM ev),
-            s AS (SELECT job_id, ts, sum(opens) OVER (PARTITION BY job_id ORDER BY ts) AS n FROM b),
-            e AS (SELECT job_id, n, max(ts) + INTERVAL 12 HOURS AS timed_out_at FROM s GROUP BY ALL)
-       SELECT job_id, min(timed_out_at) AS cancelled_at FROM e WHERE timed_out_at < (SELECT max(ts) FROM ev) GROUP BY ALL""",
+    f"""WITH b AS (SELECT job_id, epoch_us(ts) AS us, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM ev),
+            s AS (SELECT job_id, us, sum(opens) OVER (PARTITION BY job_id ORDER BY us) AS n FROM b),
+            e AS (SELECT job_id, n, max(us) + 43200000000 AS out_us FROM s GROUP BY ALL)
+       SELECT job_id, min(out_us) AS cancelled_us FROM e WHERE {settled("ev", "out_us")} GROUP BY ALL""",
 )
 def _(t):
-    sessions = drain(sj.heartbeat_sessions(live(t).ev, gap_secs=12 * 3600, late="0 seconds"))
-    return sj.first_timeouts(sessions)
+    beats = live(t).ev.select("job_id", "ts")
+    return results(stateful.heartbeat_timeouts(beats, gap_secs=12 * 3600, forget_secs=None, late=LATE))
 
 
 @query("st_08_dedup_within_watermark", "SELECT DISTINCT worker_id, kind FROM ev")
@@ -160,13 +187,64 @@ def _(t):
 
 @query(
     "st_11_terminal_detection",
-    """SELECT job_id, count(*) FILTER (success) AS finished, count(*) FILTER (NOT success) AS failed FROM attempts WHERE job_id IN (SELECT job_id FROM jobs WHERE sealed) GROUP BY ALL""",
+    f"""WITH run AS (SELECT job_id, us, sum(CAST(kind = 'member' AS INT)) OVER w AS members, sum(CAST(kind = 'finished' AS INT)) OVER w AS finished,
+                    sum(CAST(kind = 'failed' AS INT)) OVER w AS failed, bool_or(kind = 'seal') OVER w AS sealed, row_number() OVER w AS n
+                    FROM life WHERE {settled("life", "us")}
+                    WINDOW w AS (PARTITION BY job_id ORDER BY us, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT job_id, us AS ended_us, CAST(finished AS BIGINT) AS finished, CAST(failed AS BIGINT) AS failed FROM run WHERE sealed AND finished + failed >= members
+        QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n) = 1""",
+    life="""
+SELECT job_id, started_at AS ts, 'member' AS kind, 1 AS ord, epoch_us(started_at) AS us FROM attempts
+UNION ALL SELECT job_id, ended_at, CASE WHEN success THEN 'finished' ELSE 'failed' END, CASE WHEN success THEN 2 ELSE 3 END, epoch_us(ended_at) FROM attempts
+UNION ALL SELECT job_id, done_at, 'seal', 4, epoch_us(done_at) FROM jobs WHERE sealed""",
 )
 def _(t):
     stream = live(t)
-    expected = t.attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("expected"))
-    seals = stream.jobs.where("sealed").select("job_id", F.lit("seal").alias("kind")).join(expected, "job_id")
-    ends = stream.attempts.select(
-        "job_id", F.when(F.col("success"), "finished").otherwise("failed").alias("kind"), F.lit(None).cast("bigint").alias("expected")
+    end = F.when(F.col("success"), "finished").otherwise("failed")
+    each = F.array(
+        F.struct(F.col("started_at").alias("ts"), F.lit("member").alias("kind")),
+        F.struct(F.col("ended_at").alias("ts"), end.alias("kind")),
+    )
+    seals = stream.jobs.where("sealed").select("job_id", F.col("done_at").alias("ts"), F.lit("seal").alias("kind"))
+    events = stream.attempts.select("job_id", F.inline(each)).unionByName(seals)
+    return results(stateful.terminal_jobs(events, forget_secs=None, late=LATE))
+
+
+# Levels by the minute: each attempt is announced 5 s before it starts; open ones never end.
+@query(
+    "st_02_progress_levels",
+    f"""WITH ticks AS (SELECT job_id, (us // 60000000 + 1) * 60000000 AS tick_us, sum(total) AS total, sum(done) AS done, sum(failed) AS failed, sum(retries) AS retries,
+                            sum(propagated) AS propagated, bool_or(sealed) AS sealed FROM steps_log GROUP BY ALL),
+             levels AS (SELECT job_id, tick_us, sum(total) OVER w AS total, sum(done) OVER w AS done, sum(failed) OVER w AS failed, sum(retries) OVER w AS retries,
+                               sum(propagated) OVER w AS propagated, bool_or(sealed) OVER w AS sealed FROM ticks WINDOW w AS (PARTITION BY job_id ORDER BY tick_us)),
+             flying AS (SELECT l.job_id, l.tick_us, count(*) AS building, string_agg(a.claim_id || '@' || epoch_us(a.started_at), '|' ORDER BY a.started_at, a.claim_id) AS in_flight
+                        FROM levels l JOIN attempts a ON a.job_id = l.job_id AND epoch_us(a.started_at) < l.tick_us AND (a.open OR epoch_us(a.ended_at) >= l.tick_us) GROUP BY ALL)
+        SELECT job_id, tick_us, CAST(total AS BIGINT) AS total, CAST(greatest(0, total - done - failed - coalesce(building, 0)) AS BIGINT) AS pending,
+               CAST(coalesce(building, 0) AS BIGINT) AS building, CAST(done AS BIGINT) AS done, CAST(failed AS BIGINT) AS failed, CAST(retries AS BIGINT) AS retries,
+               CAST(propagated AS BIGINT) AS propagated, sealed, coalesce(in_flight, '') AS in_flight
+        FROM levels LEFT JOIN flying USING (job_id, tick_us) WHERE {settled("steps_log", "tick_us")}""",
+    steps_log="""
+SELECT *, epoch_us(ts) AS us FROM (
+SELECT job_id, started_at - to_seconds(5) AS ts, 1 AS total, 0 AS done, 0 AS failed, 0 AS retries, 0 AS propagated, false AS sealed FROM attempts
+UNION ALL SELECT job_id, started_at, 0, 0, 0, 0, 0, false FROM attempts
+UNION ALL SELECT job_id, ended_at, 0, CAST(success AS INT), CAST(error_category = 'build_failure' AS INT), CAST(error_category IN ('transient', 'disk_full') AS INT), 0, false
+          FROM (SELECT * REPLACE (coalesce(error_category, '') AS error_category) FROM attempts WHERE NOT open)
+UNION ALL SELECT job_id, ended_at + to_seconds(30), 0, 0, 1, 0, 1, false FROM attempts WHERE error_category = 'build_failure' AND NOT open AND duration_ms % 7000 = 0
+UNION ALL SELECT job_id, ended_at + to_seconds(90), 0, 0, 0, 0, 0, true FROM attempts WHERE duration_ms % 5000 = 0)""",
+)
+def _(t):
+    event = lambda ts, kind: F.struct(ts.alias("ts"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+    ended, over = F.col("ended_at"), ~F.col("open")
+    end = F.when(F.col("success"), "completed").when(F.col("error_category") == "build_failure", "failed").otherwise("retried")
+    spoils = over & (F.col("error_category") == "build_failure") & (F.col("duration_ms") % 7000 == 0)
+    each = F.array(
+        event(plus_seconds(F.col("started_at"), -5), "member"),
+        event(F.col("started_at"), "started"),
+        event(F.when(over, ended), end),
+        event(F.when(spoils, plus_seconds(ended, 30)), "propagated"),
+        event(F.when(F.col("duration_ms") % 5000 == 0, plus_seconds(ended, 90)), "seal"),
     )
-    return drain_updates(sj.job_ends(seals.unionByName(ends)), ["job_id"], first=True)
+    events = live(t).attempts.select("job_id", F.col("claim_id").alias("step"), F.inline(each)).where(F.col("ts").isNotNull())
+    levels = results(stateful.progress_levels(events, every_secs=60, late=LATE))
+    shown = F.transform("in_flight", lambda o: F.concat(o["step"], F.lit("@"), o["started_us"].cast("string")))
+    return levels.withColumn("in_flight", F.array_join(shown, "|"))

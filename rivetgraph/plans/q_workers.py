@@ -43,12 +43,12 @@ def _(t):
     return intervals(t)
 
 
-@query(
-    "wn_05_quarantine_with_resets",
-    """SELECT worker_id, trip AS trip_ts, ended AS release_at, cleared AS cleared_at FROM fold WHERE cleared IS NOT NULL
-       UNION ALL SELECT worker_id, first_trip, release, NULL FROM (SELECT * FROM fold QUALIFY n = max(n) OVER (PARTITION BY worker_id)) WHERE release IS NOT NULL""",
-    worker_log="SELECT worker_id, ts, kind = 'drv_failed' AS bad, row_number() OVER (PARTITION BY worker_id ORDER BY ts) AS n FROM ev WHERE kind IN ('drv_failed', 'drv_started')",
-    fold="""
+def resets_sql(log: str = "TRUE") -> tuple[str, dict[str, str]]:
+    """The quarantine rule step by step over the rows of ``ev`` where ``log`` holds: SQL and its views."""
+    sql = """SELECT worker_id, trip AS trip_ts, ended AS release_at, cleared AS cleared_at FROM fold WHERE cleared IS NOT NULL
+       UNION ALL SELECT worker_id, first_trip, release, NULL FROM (SELECT * FROM fold QUALIFY n = max(n) OVER (PARTITION BY worker_id)) WHERE release IS NOT NULL"""
+    worker_log = f"SELECT worker_id, ts, kind = 'drv_failed' AS bad, row_number() OVER (PARTITION BY worker_id ORDER BY ts) AS n FROM ev WHERE kind IN ('drv_failed', 'drv_started') AND {log}"
+    fold = """
 SELECT DISTINCT worker_id, CAST(0 AS BIGINT) AS n, CAST([] AS TIMESTAMP[]) AS fails, CAST(NULL AS TIMESTAMP) AS release, CAST(NULL AS TIMESTAMP) AS first_trip,
        CAST(NULL AS TIMESTAMP) AS trip, CAST(NULL AS TIMESTAMP) AS ended, CAST(NULL AS TIMESTAMP) AS cleared FROM worker_log
 UNION ALL
@@ -60,8 +60,14 @@ FROM (SELECT f.worker_id, s.n, s.ts, f.first_trip, f.release,
              CASE WHEN s.bad THEN list_append(list_filter(f.fails, lambda x: x >= s.ts - INTERVAL 3 DAYS), s.ts) ELSE f.fails END AS kept,
              s.bad AND len(list_filter(f.fails, lambda x: x >= s.ts - INTERVAL 3 DAYS)) + 1 >= 5 AS trips,
              NOT s.bad AND f.release IS NOT NULL AND s.ts >= f.release AS clears
-      FROM fold f JOIN worker_log s ON s.worker_id = f.worker_id AND s.n = f.n + 1)""",
-)
+      FROM fold f JOIN worker_log s ON s.worker_id = f.worker_id AND s.n = f.n + 1)"""
+    return sql, {"worker_log": worker_log, "fold": fold}
+
+
+RESETS_SQL, RESETS_VIEWS = resets_sql()
+
+
+@query("wn_05_quarantine_with_resets", RESETS_SQL, **RESETS_VIEWS)
 def _(t):
     return workers.quarantine_with_resets(failed(t), checks(t), cooldown_secs=DAY, **POLICY)
 

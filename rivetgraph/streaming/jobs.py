@@ -1,4 +1,6 @@
-"""The event stream of CI runs: routing, ticks, gaps, folds, sessions, dedup, upserts."""
+"""The event stream of CI runs: routing, flow counts, gaps, folds, dedup, upserts.
+
+What needs state in event-time order is in ``stateful``."""
 
 from __future__ import annotations
 
@@ -20,7 +22,8 @@ def routed(lines: DataFrame) -> DataFrame:
 
 
 def progress_ticks(events: DataFrame, *, every_secs: int = P.PROGRESS_TICK_SECS, late: str) -> DataFrame:
-    """ST-02: flow counts per job and tick (job_id, kind, ts, …). Batch or stream."""
+    """ST-02, flow counts per job and tick (job_id, kind, ts, …), batch or stream; the levels
+    are in ``stateful.progress_levels``."""
     kind = F.col("kind")
     return (
         events.withWatermark("ts", late)
@@ -101,65 +104,6 @@ def fold_runs(state: DataFrame | None, events: DataFrame) -> DataFrame:
     )
 
 
-def heartbeat_sessions(beats: DataFrame, *, gap_secs: int = P.HEARTBEAT_TIMEOUT_SECS, late: str) -> DataFrame:
-    """ST-07: sessions of each job's heartbeats; in append mode one appears once it has
-    been silent for the gap. The first one is what cancels the job."""
-    return (
-        beats.withWatermark("ts", late)
-        .groupBy("job_id", F.session_window("ts", f"{gap_secs} seconds").alias("s"))
-        .agg(F.count(F.lit(1)).alias("beats"))
-        .select("job_id", F.col("s.start").alias("started_at"), F.col("s.end").alias("timed_out_at"), "beats")
-    )
-
-
-def lease_sessions(
-    events: DataFrame, *, window_secs: int = P.CLAIM_DEADLINE_SECS, late: str
-) -> DataFrame:
-    """ST-06: (claim_id, expired_at) for claims neither completed nor extended in time.
-
-    A lease is a session: issue and each extension keep it open for the window, and a
-    completion inside it closes it well. Batch or stream; in append mode an expiry
-    appears once the watermark has passed it. ``events``: claim_id, ts, kind in
-    issue / extend / complete. Sessions that touch are merged by Spark, while a lease is
-    over at the very deadline, so the gap is one microsecond short of it.
-    """
-    micros = window_secs * 1_000_000 - 1
-    gap = F.when(F.col("kind") == "complete", F.lit("1 microsecond")).otherwise(F.lit(f"{micros} microseconds"))
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("claim_id", F.session_window("ts", gap).alias("s"))
-        .agg(
-            F.bool_or(F.col("kind") == "issue").alias("__issued"),
-            F.bool_or(F.col("kind") == "complete").alias("__completed"),
-        )
-        .where(F.col("__issued") & ~F.col("__completed"))
-        .select("claim_id", F.timestamp_micros(F.unix_micros(F.col("s.end")) + 1).alias("expired_at"))
-    )
-
-
-def job_ends(events: DataFrame) -> DataFrame:
-    """ST-11: (job_id, finished, failed) once a job is sealed and all its steps are done.
-
-    ``events``: job_id, kind (``seal`` with the ``expected`` number of steps, ``finished``,
-    ``failed``). A plain aggregate in update mode, so a busy job is counted in part before
-    its rows meet; read it with ``drain_updates(first=True)`` to get each end once.
-    """
-    return (
-        events.groupBy("job_id")
-        .agg(
-            F.max("expected").alias("expected"),
-            F.count_if(F.col("kind") == "finished").alias("finished"),
-            F.count_if(F.col("kind") == "failed").alias("failed"),
-        )
-        .where(F.col("finished") + F.col("failed") >= F.col("expected"))
-        .drop("expected")
-    )
-
-
-def first_timeouts(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("job_id").agg(F.min("timed_out_at").alias("cancelled_at"))
-
-
 def dedup_within(rows: DataFrame, keys: Sequence[str], *, late: str) -> DataFrame:
     """ST-08, bounded state: repeats further apart than the watermark pass again."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import contextlib
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from rivetgraph.session import table_path
 
@@ -16,11 +18,30 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
-def _finish(writer, spark: SparkSession) -> None:
-    query = (
-        writer.option("checkpointLocation", table_path(spark, "stream-progress")).trigger(availableNow=True).start()
-    )
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+# fixed value: timers and several states per key need this store
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings while a query starts, which takes them over; the caller's come back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _finish(writer, spark: SparkSession) -> StreamingQuery:
+    progress = table_path(spark, "stream-progress")
+    with _conf(spark, **{STORE_CONF: ROCKS}):
+        query = writer.option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
 
 
 def drain(stream: DataFrame, *, partition_by: Sequence[str] = ()) -> DataFrame:
