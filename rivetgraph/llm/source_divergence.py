@@ -2,11 +2,12 @@
 
 Frequencies by single-pass in-memory indexing:
 
-1. a task builds postings (language, source, term) → (documents, occurrences) in memory until
-   ``BLOCK_POSTINGS`` of them are held, then spills them as a term-sorted run, cut by the hash
-   of (language, term) into shards and there into slices of ``SLICE`` postings;
-2. the slices of a shard reach one task ordered by their first posting and are merged through
-   a heap that holds one open slice of each run; equal postings are summed on the way out.
+1. a task holds a block of texts until ``BLOCK_BYTES`` are full, makes postings (language,
+   source, term) → occurrences and document counts of (language, term) of it, and spills them
+   as a term-sorted run, cut by the term's hash into shards and there into slices of about
+   ``SLICE`` postings;
+2. the slices of a shard reach one task ordered by their first term and are merged through a
+   heap that holds one open slice of each run; a term's postings are summed on the way out.
    At most ``FAN_IN`` runs meet in one merge: more runs take more levels, so memory depends on
    neither the corpus nor the number of runs.
 
@@ -31,13 +32,16 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import collections
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rivetgraph.llm.common import sliced
@@ -47,7 +51,7 @@ from rivetgraph.session import cut
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-BLOCK_POSTINGS = 1_000_000
+BLOCK_BYTES = 32 << 20
 SLICE = 4096
 SHARDS = 256
 FAN_IN = 256
@@ -56,59 +60,133 @@ TILE = 1024
 # bytes of letters and above ASCII are kept, capitals lowered, all others part terms
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-RUN = "shard int, run bigint, lang string, first string, first_source string, terms array<string>, sources array<string>, docs array<bigint>, n array<bigint>"
+RUN = (
+    "shard int, run bigint, lang string, first string, terms array<string>, docs array<bigint>, "
+    "sizes array<int>, sources array<string>, n array<bigint>"
+)
+_LIST = {"terms": pa.string(), "docs": pa.int64(), "sizes": pa.int32(), "sources": pa.string(), "n": pa.int64()}
 _RUN = pa.schema(
-    [("shard", pa.int32()), ("run", pa.int64()), ("lang", pa.string()), ("first", pa.string()), ("first_source", pa.string())]
-    + [("terms", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))]
-    + [("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]
+    [("shard", pa.int32()), ("run", pa.int64()), ("lang", pa.string()), ("first", pa.string())]
+    + [(c, pa.list_(t)) for c, t in _LIST.items()]
+)
+POSTINGS = "lang string, term string, docs bigint, lang_n bigint, lead boolean, source string, n bigint"
+_POSTINGS = pa.schema(
+    [("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("lang_n", pa.int64())]
+    + [("lead", pa.bool_()), ("source", pa.string()), ("n", pa.int64())]
 )
 
 
 class Block:
-    """Postings in memory: per (language, source) the documents and occurrences of each term."""
+    """Texts held until memory is full, then indexed at once: occurrences per (language,
+    source, term) and documents per (language, term)."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[str, str], tuple[collections.Counter, collections.Counter]] = {}
+        self.texts: list[bytes] = []
+        self.groups: list[tuple[str, str]] = []
         self.held = 0
 
     def add(self, lang: str, source: str, text: str) -> None:
-        docs, n = self.groups.setdefault((lang, source), (collections.Counter(), collections.Counter()))
-        before = len(n)
-        terms = text.encode().translate(_KEPT).split()
-        n.update(terms)
-        docs.update(set(terms))
-        self.held += len(n) - before
-
-    def run(self, number: int, shards: int, size: int) -> Iterator[tuple]:
-        """The postings as slices of a run, in order of (shard, language, term, source)."""
-        langs: dict[str, list] = {}
-        for (lang, source), (docs, n) in self.groups.items():
-            salt = zlib.crc32(lang.encode())
-            langs.setdefault(lang, []).extend(
-                (zlib.crc32(t, salt) % shards, t.decode(), source, docs[t], k) for t, k in n.items()
-            )
-        for lang, rows in langs.items():
-            rows.sort()
-            at = 0
-            while at < len(rows):
-                shard = rows[at][0]
-                end = at
-                while end < len(rows) and end < at + size and rows[end][0] == shard:
-                    end += 1
-                _, terms, sources, docs, n = zip(*rows[at:end])
-                yield shard, number, lang, terms[0], sources[0], terms, sources, docs, n
-                at = end
+        self.texts.append(text.encode().translate(_KEPT))
+        self.groups.append((lang, source))
+        self.held += len(self.texts[-1])
+
+    def run(self, number: int, shards: int, size: int) -> Iterator[pa.RecordBatch]:
+        """The postings as slices of a run, in order of (language, shard, term, source)."""
+        joined = b" ".join(self.texts) + b" "
+        lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        marks = np.frombuffer(joined, np.uint8) == 32
+        edge = np.diff(marks, prepend=True)
+        begin, end = np.flatnonzero(edge & ~marks), np.flatnonzero(edge & marks)
+        if not len(begin):
+            return
+        doc = np.searchsorted(np.cumsum(lengths + 1), begin, "right")
+        # the terms one after the other, as a string array over the same bytes
+        packed = np.frombuffer(joined, np.uint8)[~marks]
+        offsets = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(end - begin, out=offsets[1:])
+        tokens = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+        ).dictionary_encode()
+        codes, terms = tokens.indices.to_numpy(), tokens.dictionary
+        shard = np.fromiter((zlib.crc32(t) % shards for t in terms.to_pylist()), np.int64, len(terms))
+        by_term = pc.sort_indices(terms).to_numpy()
+        by_shard = by_term[np.argsort(shard[by_term], kind="stable")]
+        place = np.empty(len(terms), np.int64)
+        place[by_shard] = np.arange(len(terms))
+        term = place[codes]
+        langs, sources = (sorted(set(names)) for names in zip(*self.groups))
+        lang_at, source_at = ({x: i for i, x in enumerate(names)} for names in (langs, sources))
+        lang = np.array([lang_at[g] for g, _ in self.groups])[doc]
+        source = np.array([source_at[x] for _, x in self.groups])[doc]
+
+        posting, n = np.unique((lang * len(terms) + term) * len(sources) + source, return_counts=True)
+        entry = posting // len(sources)
+        starts = np.flatnonzero(np.diff(entry, prepend=-1))
+        seen = np.sort(doc * len(terms) + term)
+        seen = seen[np.diff(seen, prepend=-1) != 0]
+        doc_lang = np.array([lang_at[g] for g, _ in self.groups])[seen // len(terms)]
+        _, docs = np.unique(doc_lang * len(terms) + seen % len(terms), return_counts=True)
+
+        # slices: a new one where language or shard changes, or ``size`` postings are full
+        entry = entry[starts]
+        scope = entry // len(terms) * shards + shard[by_shard][entry % len(terms)]
+        opens = np.flatnonzero(np.diff(scope, prepend=-1))
+        since = starts - np.repeat(starts[opens], np.diff(np.append(opens, len(starts))))
+        cuts = np.flatnonzero((np.diff(scope, prepend=-1) != 0) | (np.diff(since // size, prepend=-1) != 0))
+        at_term = pa.array(np.append(cuts, len(starts)).astype(np.int32))
+        at_posting = pa.array(np.append(starts, len(posting))[np.append(cuts, len(starts))].astype(np.int32))
+        names = terms.take(pa.array(by_shard[entry % len(terms)])).cast(pa.large_string()).cast(pa.string())
+        lists = [
+            (at_term, names),
+            (at_term, pa.array(docs)),
+            (at_term, pa.array(np.diff(np.append(starts, len(posting))).astype(np.int32))),
+            (at_posting, pa.array(sources, pa.string()).take(pa.array(posting % len(sources)))),
+            (at_posting, pa.array(n)),
+        ]
+        whole = pa.RecordBatch.from_arrays(
+            [
+                pa.array((scope[cuts] % shards).astype(np.int32)),
+                pa.array(np.full(len(cuts), number, np.int64)),
+                pa.array(langs, pa.string()).take(pa.array(scope[cuts] // shards)),
+                names.take(pa.array(cuts)),
+                *(pa.ListArray.from_arrays(at, values) for at, values in lists),
+            ],
+            schema=_RUN,
+        )
+        for i in range(0, len(cuts), 64):
+            yield whole.slice(i, 64)
 
 
-def _batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _RUN)], schema=_RUN)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _RUN)], schema=_RUN)
+class Slices:
+    """Gathers entries of one run and language into rows of about ``size`` postings."""
+
+    def __init__(self, number: int, lang: str, size: int) -> None:
+        self.number, self.lang, self.size, self.shard = number, lang, size, -1
+        self.columns: tuple[list, ...] = ([], [], [], [], [])
+
+    def add(self, shard: int, term: str, docs: int, sources: list, n: list) -> tuple | None:
+        """A full row, if this entry begins the next one."""
+        full = self.flush() if shard != self.shard or len(self.columns[3]) >= self.size else None
+        self.shard = shard
+        terms, all_docs, sizes, all_sources, all_n = self.columns
+        terms.append(term)
+        all_docs.append(docs)
+        sizes.append(len(sources))
+        all_sources.extend(sources)
+        all_n.extend(n)
+        return full
+
+    def flush(self) -> tuple | None:
+        if not self.columns[0]:
+            return None
+        full = (self.shard, self.number, self.lang, self.columns[0][0], *self.columns)
+        self.columns = ([], [], [], [], [])
+        return full
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    for some in iter(lambda: list(itertools.islice(rows, size)), []):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
 
 def spilled_runs(docs: DataFrame, *, block: int, shards: int, size: int) -> DataFrame:
@@ -117,103 +195,141 @@ def spilled_runs(docs: DataFrame, *, block: int, shards: int, size: int) -> Data
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, spilled = TaskContext.get().partitionId(), 0
-
-        def rows() -> Iterator[tuple]:
-            nonlocal spilled
-            held = Block()
-            for batch in batches:
-                for piece in sliced(batch):
-                    for text, lang, source in zip(*(piece.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                        held.add(lang, source, text)
-                        if held.held >= block:
-                            yield from held.run((task << 32) + spilled, shards, size)
-                            spilled += 1
-                            held = Block()
-            yield from held.run((task << 32) + spilled, shards, size)
-
-        yield from _batches(rows())
+        first, spilled, held = TaskContext.get().partitionId() << 32, 0, Block()
+        for batch in batches:
+            for piece in sliced(batch):
+                for text, lang, source in zip(*(piece.column(c).to_pylist() for c in ("text", "lang", "source"))):
+                    held.add(lang, source, text)
+                    if held.held >= block:
+                        yield from held.run(first + spilled, shards, size)
+                        held, spilled = Block(), spilled + 1
+        yield from held.run(first + spilled, shards, size)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return docs.select(text("text"), text("lang"), text("source")).mapInArrow(build, RUN)
 
 
-def heap_merge(slices: Iterator[tuple], size: int = SLICE) -> Iterator[tuple]:
-    """Slices of sorted runs, ordered by (shard, run group, language, first posting), into
-    merged slices in the same order, equal postings summed.
+def heap_merge(slices: Iterator[tuple]) -> Iterator[tuple]:
+    """Slices of sorted runs, ordered by (shard, run group, language, first term), into
+    entries (shard, group, lang, term, docs, sources, n) in that order, one for each term.
 
-    Slices of one run do not overlap, so the heap holds one slice of each run at the most.
+    Slices of one run do not overlap and do not part a term, so the heap holds one slice of
+    each run at the most.
     """
     heap: list = []
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    scope = None
-    entered = 0
-
-    def flush() -> Iterator[tuple]:
-        terms, sources, docs, n = out
-        if terms:
-            yield (*scope, terms[0], sources[0], *map(tuple, out))
-            for column in out:
-                column.clear()
-
-    def drain(limit: tuple[str, str] | None) -> Iterator[tuple]:
-        """Postings up to ``limit``, after which the next slice begins; all of them if None."""
-        terms, sources, docs, n = out
-        while heap and (limit is None or heap[0][0] <= limit):
-            (term, source), _, at, row = heap[0]
-            if terms and terms[-1] == term and sources[-1] == source:
-                docs[-1] += row[7][at]
-                n[-1] += row[8][at]
-            else:
-                if len(terms) >= size:
-                    yield from flush()
-                terms.append(term)
-                sources.append(source)
-                docs.append(row[7][at])
-                n.append(row[8][at])
-            at += 1
-            if at < len(row[5]):
-                heapq.heapreplace(heap, ((row[5][at], row[6][at]), heap[0][1], at, row))
-            else:
-                heapq.heappop(heap)
+    scope: tuple | None = None
+    entered = itertools.count()
+
+    def entries(limit: str | None) -> Iterator[tuple]:
+        """Of terms before ``limit``, where the next slice begins; all of them if None."""
+        while heap and (limit is None or heap[0][0] < limit):
+            term, docs, parts = heap[0][0], 0, []
+            while heap and heap[0][0] == term:
+                _, place, row, i, at = heap[0]
+                end = at + row[6][i]
+                docs += row[5][i]
+                parts.append((row[7][at:end], row[8][at:end]))
+                i += 1
+                if i < len(row[4]):
+                    heapq.heapreplace(heap, (row[4][i], place, row, i, end))
+                else:
+                    heapq.heappop(heap)
+            sources, n = parts[0]
+            if len(parts) > 1:
+                total: dict[str, int] = dict(zip(sources, n))
+                for more, k in parts[1:]:
+                    for s, x in zip(more, k):
+                        total[s] = total.get(s, 0) + x
+                sources = sorted(total)
+                n = [total[s] for s in sources]
+            yield (*scope, term, docs, sources, n)
 
     for row in slices:
         if row[:3] != scope:
-            yield from drain(None)
-            yield from flush()
+            yield from entries(None)
             scope = row[:3]
-        yield from drain((row[3], row[4]))
-        heapq.heappush(heap, ((row[3], row[4]), entered, 0, row))
-        entered += 1
-    yield from drain(None)
-    yield from flush()
+        yield from entries(row[3])
+        heapq.heappush(heap, (row[3], next(entered), row, 0, 0))
+    yield from entries(None)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of a run. A list column is turned into objects once, then cut by its offsets."""
+    def objects(c: pa.Array) -> list:
+        if not pa.types.is_string(c.type):
+            return c.to_numpy().tolist()
+        coded = c.dictionary_encode()
+        return np.array(coded.dictionary.to_pylist(), object)[coded.indices.to_numpy()].tolist()
+
+    for batch in batches:
+        for piece in sliced(batch):
+            plain = [objects(c) for c in piece.columns[:4]]
+            lists = [
+                (objects(c.flatten()), (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist()) for c in piece.columns[4:]
+            ]
+            for k, row in enumerate(zip(*plain)):
+                yield (*row, *(values[at[k] : at[k + 1]] for values, at in lists))
 
 
 def frequencies(
-    docs: DataFrame, *, block: int = BLOCK_POSTINGS, shards: int = SHARDS, size: int = SLICE, fan_in: int = FAN_IN
+    docs: DataFrame,
+    *,
+    min_docs: int = 1,
+    block: int = BLOCK_BYTES,
+    shards: int = SHARDS,
+    size: int = SLICE,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """(lang, source, term, docs, n) of every term of every source."""
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for piece in sliced(b) for r in zip(*(c.to_pylist() for c in piece.columns)))
-        yield from _batches(heap_merge(rows, size))
+    """(lang, term, docs, lang_n, lead, source, n) of every term in ``min_docs`` documents of
+    its language: its documents and occurrences there, and its occurrences in each source;
+    ``lead`` marks one row of each term."""
+
+    def to_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            out = None
+            for shard, group, lang, *entry in heap_merge(_rows(batches)):
+                full = None
+                if out is None or (group, lang) != (out.number, out.lang):
+                    full = out and out.flush()
+                    out = Slices(group, lang, size)
+                full = out.add(shard, *entry) or full
+                if full:
+                    yield full
+            if full := out and out.flush():
+                yield full
+
+        yield from _batches(rows(), _RUN, 64)
+
+    def to_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = (e[2:] for e in heap_merge(_rows(batches)) if e[4] >= min_docs)
+        for some in iter(lambda: list(itertools.islice(entries, 5000)), []):
+            lang, term, count, sources, n = zip(*some)
+            sizes = np.fromiter(map(len, sources), np.int64, len(sources))
+            at = pa.array(np.repeat(np.arange(len(some)), sizes))
+            lead = np.zeros(sizes.sum(), bool)
+            lead[np.cumsum(sizes) - sizes] = True
+            lang_n = pa.array([sum(k) for k in n], pa.int64())
+            parts = [pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(count, pa.int64()), lang_n]
+            yield pa.RecordBatch.from_arrays(
+                [c.take(at) for c in parts]
+                + [pa.array(lead), pa.array(list(itertools.chain(*sources)), pa.string())]
+                + [pa.array(list(itertools.chain(*n)), pa.int64())],
+                schema=_POSTINGS,
+            )
 
     runs = cut(spilled_runs(docs, block=block, shards=shards, size=size))
     waiting = runs.agg(F.count_distinct("run")).first()[0]
     while True:
         groups = -(-waiting // fan_in)
         group = (F.pmod(F.xxhash64("run"), F.lit(groups)) if groups > 1 else F.lit(0)).cast("bigint")
-        regrouped = runs.withColumn("run", group)
-        merged = (
-            regrouped.repartition("shard", "run")
-            .sortWithinPartitions("shard", "run", "lang", "first", "first_source")
-            .mapInArrow(merge, RUN)
+        ordered = (
+            runs.withColumn("run", group)
+            .repartition("shard", "run")
+            .sortWithinPartitions("shard", "run", "lang", "first")
         )
-        runs = cut(merged)
         if groups <= 1:
-            break
-        waiting = groups
-    posting = F.inline(F.arrays_zip("terms", "sources", "docs", "n"))
-    return runs.select("lang", posting).select("lang", F.col("sources").alias("source"), F.col("terms").alias("term"), "docs", "n")
+            return cut(ordered.mapInArrow(to_postings, POSTINGS))
+        runs, waiting = cut(ordered.mapInArrow(to_run, RUN)), groups
 
 
 def corrections(postings: DataFrame, tile: int = TILE) -> DataFrame:
@@ -225,7 +341,7 @@ def corrections(postings: DataFrame, tile: int = TILE) -> DataFrame:
         return (p - q) * (p - q) // q
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope, matrix = None, None
+        scope, matrix = None, np.zeros((tile, tile), np.int64)
 
         def emit() -> Iterator[pa.RecordBatch]:
             if scope is not None:
@@ -235,35 +351,57 @@ def corrections(postings: DataFrame, tile: int = TILE) -> DataFrame:
                     [pa.array([lang] * len(a), pa.string()), pa.array(a + i * tile), pa.array(b + j * tile), pa.array(matrix[a, b])],
                     names=["lang", "a", "b", "value"],
                 )
-
-        def terms() -> Iterator[tuple]:
-            """(lang, i, j, term) and the arrays of one term, also across batches."""
-            key, held = None, []
-            for batch in batches:
-                if not batch.num_rows:
+                matrix[:] = 0
+
+        def meet(table: pa.Table, starts: np.ndarray, ends: np.ndarray, i: int, j: int) -> None:
+            """Terms with equal numbers of sources in both tiles are done together."""
+            s, p, p0 = (table.column(c).to_numpy() for c in ("s", "p", "p0"))
+            low = np.concatenate([[0], np.cumsum(s // tile == min(i, j))])
+            in_low = low[ends] - low[starts]
+            in_high = ends - starts if i == j else ends - starts - in_low
+            shape = in_low * (2 * tile + 1) + in_high
+            for key in np.unique(shape):
+                of = starts[shape == key]
+                k, m = divmod(int(key), 2 * tile + 1)
+                if not k or not m:
                     continue
-                heads = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "i", "j", "term"))))
-                columns = [batch.column(c).to_numpy() for c in ("s", "p", "p0")]
-                starts = [0] + [k for k in range(1, len(heads)) if heads[k] != heads[k - 1]] + [len(heads)]
-                for lo, hi in zip(starts, starts[1:]):
-                    if heads[lo] != key:
-                        if key is not None:
-                            yield key, [np.concatenate(c) for c in zip(*held)]
-                        key, held = heads[lo], []
-                    held.append([c[lo:hi] for c in columns])
-            if key is not None:
-                yield key, [np.concatenate(c) for c in zip(*held)]
-
-        for (lang, i, j, _), (s, p, p0) in terms():
-            if (lang, i, j) != scope:
-                yield from emit()
-                scope, matrix = (lang, i, j), np.zeros((tile, tile), np.int64)
-            rows, cols = np.flatnonzero(s // tile == i), np.flatnonzero(s // tile == j)
-            if len(rows) and len(cols):
-                pa_, pa0 = p[rows, None], p0[rows, None]
-                pb, pb0 = p[None, cols], p0[None, cols]
-                gain = f(pa_, pb) - f(pa_, pb0) - f(pa0, pb) + f(pa0, pb0)
-                matrix[np.ix_(s[rows] - i * tile, s[cols] - j * tile)] += gain
+                # sources ascend inside a term, so those of the lower tile come first
+                first, second = np.arange(k), np.arange(m) + (0 if i == j else k)
+                if i > j:
+                    first, second = second, first
+                for some in np.array_split(of, 1 + len(of) * k * m // 1_000_000):
+                    ra, rb = some[:, None] + first, some[:, None] + second
+                    qa, qa0, qb, qb0 = p[ra][:, :, None], p0[ra][:, :, None], p[rb][:, None, :], p0[rb][:, None, :]
+                    gain = f(qa, qb) - f(qa, qb0) - f(qa0, qb) + f(qa0, qb0)
+                    at = (s[ra] - i * tile)[:, :, None] * tile + (s[rb] - j * tile)[:, None, :]
+                    np.add.at(matrix.reshape(-1), at.ravel(), gain.ravel())
+
+        carried: pa.Table | None = None
+        for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
+            parts = [t for t in (carried, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not parts:
+                break
+            table = pa.concat_tables(parts).combine_chunks()
+            heads = [table.column(c).combine_chunks() for c in ("lang", "i", "j", "term")]
+            change = np.zeros(table.num_rows, bool)
+            change[0] = True
+            for c in heads:
+                change[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(change)
+            ends = np.append(starts[1:], table.num_rows)
+            if batch is not None:
+                # the last term may go on in the next batch
+                carried = table.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            scopes = list(zip(*(c.take(pa.array(starts)).to_pylist() for c in heads[:3])))
+            at = 0
+            while at < len(starts):
+                end = bisect.bisect_right(scopes, scopes[at], at)
+                if scopes[at] != scope:
+                    yield from emit()
+                    scope = scopes[at]
+                meet(table, starts[at:end], ends[at:end], scope[1], scope[2])
+                at = end
         yield from emit()
 
     own = F.floor(F.col("s") / tile)
@@ -275,7 +413,7 @@ def corrections(postings: DataFrame, tile: int = TILE) -> DataFrame:
         )
     )
     placed = postings.select("lang", "term", "s", "p", "p0", F.inline(pairs))
-    spread = placed.repartition("lang", "i", "j", "term").sortWithinPartitions("lang", "i", "j", "term")
+    spread = placed.repartition("lang", "i", "j", "term").sortWithinPartitions("lang", "i", "j", "term", "s")
     parts = spread.mapInArrow(streamed, "lang string, a bigint, b bigint, value bigint")
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
@@ -295,14 +433,9 @@ def audit(
     """lang, source, part, item, value and rank: per source its divergence from every other
     source of its language (part ``pair``) and the terms it has more of than its language
     (part ``term``, the first ``top_terms``)."""
-    freq = frequencies(docs, **index)
-    kept = cut(
-        freq.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("n").alias("lang_n"))
-        .where(F.col("d") >= min_docs).drop("d")
-    )
-    counts = cut(freq.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    counts = frequencies(docs, min_docs=min_docs, **index)
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    langs = counts.groupBy("lang").agg(F.count_if("lead").alias("v"), F.sum("n").alias("lang_total"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     groups = docs.select(text("lang"), text("source")).distinct()
     by_name = Window.partitionBy("lang").orderBy("source")
