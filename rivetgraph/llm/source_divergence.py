@@ -51,7 +51,7 @@ from rivetgraph.session import cut
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SLICE = 4096
 SHARDS = 256
 FAN_IN = 256
@@ -101,31 +101,39 @@ class Block:
             return
         doc = np.searchsorted(np.cumsum(lengths + 1), begin, "right")
         # the terms one after the other, as a string array over the same bytes
-        packed = np.frombuffer(joined, np.uint8)[~marks]
         offsets = np.zeros(len(begin) + 1, np.int64)
         np.cumsum(end - begin, out=offsets[1:])
+        packed = np.frombuffer(joined, np.uint8)[~marks]
+        del begin, end, edge, marks, joined
         tokens = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+            pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
         ).dictionary_encode()
         codes, terms = tokens.indices.to_numpy(), tokens.dictionary
+        del offsets, packed, tokens
         shard = np.fromiter((zlib.crc32(t) % shards for t in terms.to_pylist()), np.int64, len(terms))
         by_term = pc.sort_indices(terms).to_numpy()
         by_shard = by_term[np.argsort(shard[by_term], kind="stable")]
         place = np.empty(len(terms), np.int64)
         place[by_shard] = np.arange(len(terms))
-        term = place[codes]
         langs, sources = (sorted(set(names)) for names in zip(*self.groups))
         lang_at, source_at = ({x: i for i, x in enumerate(names)} for names in (langs, sources))
-        lang = np.array([lang_at[g] for g, _ in self.groups])[doc]
-        source = np.array([source_at[x] for _, x in self.groups])[doc]
+        lang = np.array([lang_at[g] for g, _ in self.groups])
+        source = np.array([source_at[x] for _, x in self.groups])
 
-        posting, n = np.unique((lang * len(terms) + term) * len(sources) + source, return_counts=True)
+        seen = place[codes]
+        seen += doc * len(terms)
+        seen.sort()
+        seen = seen[np.diff(seen, prepend=-1) != 0]
+        in_docs = lang[seen // len(terms)] * len(terms) + seen % len(terms)
+        del seen
+        _, docs = np.unique(in_docs, return_counts=True)
+        del in_docs
+        posting = (place * len(sources))[codes]
+        posting += (lang * len(terms) * len(sources) + source)[doc]
+        del doc, codes
+        posting, n = np.unique(posting, return_counts=True)
         entry = posting // len(sources)
         starts = np.flatnonzero(np.diff(entry, prepend=-1))
-        seen = np.sort(doc * len(terms) + term)
-        seen = seen[np.diff(seen, prepend=-1) != 0]
-        doc_lang = np.array([lang_at[g] for g, _ in self.groups])[seen // len(terms)]
-        _, docs = np.unique(doc_lang * len(terms) + seen % len(terms), return_counts=True)
 
         # slices: a new one where language or shard changes, or ``size`` postings are full
         entry = entry[starts]

@@ -25,11 +25,13 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rivetgraph.llm.common import mapped
+from rivetgraph.llm.common import mapped, sliced
 
 ORDER = 3
 DECAY = 0.6
@@ -356,16 +358,26 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     return Model(marks, nystrom @ w[:-1], float(w[-1]), *logistic(best, y))
 
 
+# Features of the landmarks last used, kept for the next task of a reused worker process
+_KEPT: dict[tuple[str, ...], Features] = {}
+
+
+def kept_features(landmarks: list[str]) -> Features:
+    key = tuple(landmarks)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Features(Landmarks(landmarks))
+    return _KEPT[key]
+
+
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """doc_id and score of every row of ``docs``."""
     if not isinstance(model, Model):
         return docs.select("doc_id", F.lit(model).alias("score"))
-    state: dict = {}
 
     def scored(c: dict) -> dict:
-        if not state:
-            state["f"] = Features(Landmarks(model.landmarks))
-        return {"doc_id": c["doc_id"], "score": model.scores(state["f"].of([sentences(t) for t in c["text"]]))}
+        features = kept_features(model.landmarks)
+        return {"doc_id": c["doc_id"], "score": model.scores(features.of([sentences(t) for t in c["text"]]))}
 
     return mapped(docs.select("doc_id", "text"), scored, "doc_id bigint, score double")
 
@@ -382,17 +394,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if not isinstance(model, Model):
         return docs if model < 0.5 else docs.limit(0)
-    state: dict = {}
-
-    @F.pandas_udf("double")
-    def rated(text):
-        import pandas as pd
-
-        if not state:
-            state["f"] = Features(Landmarks(model.landmarks))
-        out = []
-        for at in range(0, len(text), 500):
-            out += model.scores(state["f"].of([sentences(t) for t in text.iloc[at : at + 500]]))
-        return pd.Series(out, dtype="float64")
-
-    return docs.where(rated("text") < 0.5)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(Landmarks(model.landmarks))  # of this task only: later stages need the memory
+        for batch in batches:
+            for piece in sliced(batch):
+                texts = piece.column("text").to_pylist()
+                clean = np.array(model.scores(features.of([sentences(t) for t in texts]))) < 0.5
+                yield piece.filter(pa.array(clean))
+
+    return docs.mapInArrow(kept, docs.schema)
