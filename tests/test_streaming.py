@@ -1,13 +1,11 @@
 """Streams over several micro-batches equal their batch twins."""
 
 import datetime as dt
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rivetgraph.operators import workers
-from rivetgraph.streaming import jobs as sj, stateful
+from rivetgraph.streaming import jobs as sj
 from rivetgraph.streaming.runner import VersionedTable, drain, drain_updates, file_stream
 from tests.conftest import rows_of
 
@@ -58,53 +56,6 @@ def test_run_fold_over_batches(batches, spark):
     ]
 
 
-def test_job_ends_once(batches):
-    ddl = "job_id bigint, kind string, expected bigint"
-    parts = [[(1, "finished", None), (2, "seal", 1)], [(1, "seal", 2), (2, "failed", None)], [(1, "failed", None)], [(1, "finished", None), (3, "seal", 5)]]
-    got = drain_updates(sj.job_ends(batches(parts, ddl)), ["job_id"], first=True)
-    assert rows_of(got, "job_id", "finished", "failed") == [(1, 1, 1), (2, 0, 1)]
-
-
-def test_lease_sessions(batches, make):
-    ddl = "claim_id string, ts timestamp, kind string"
-    rows = [
-        ("done", at(0), "issue"), ("done", at(99), "complete"),
-        ("edge", at(0), "issue"), ("edge", at(100), "complete"),
-        ("extended", at(0), "issue"), ("extended", at(90), "extend"), ("extended", at(150), "complete"),
-        ("lapsed", at(0), "issue"), ("lapsed", at(90), "extend"), ("lapsed", at(190), "extend"),
-        ("open", at(350), "issue"), ("silent", at(10), "issue"),
-    ]
-    want = [("edge", at(100)), ("lapsed", at(190)), ("silent", at(110))]
-    assert rows_of(sj.lease_sessions(make(rows, ddl), window_secs=100, late="0 seconds").where(F.col("claim_id") != "open")) == want
-    by_time = sorted(rows, key=lambda r: r[1])
-    parts = [by_time[:5], by_time[5:9], by_time[9:], [("late", at(400), "issue")]]
-    assert rows_of(drain(sj.lease_sessions(batches(parts, ddl), window_secs=100, late="0 seconds"))) == want
-
-
-def test_quarantine_stream_equals_the_step_by_step_rule(batches):
-    rng = random.Random(5)
-    rows = sorted(
-        [(w, at(s), rng.random() < 0.7) for w in "ab" for s in rng.sample(range(3000), 80)] + [("", at(1), True), (None, at(2), True)],
-        key=lambda r: r[1],
-    )
-    parts = [rows[i : i + 40] for i in range(0, len(rows), 40)]
-    stream = batches(parts, "worker_id string, ts timestamp, is_failure boolean")
-    got = drain(stateful.quarantine_stream(stream, threshold=3, window_secs=100, cooldown_secs=150))
-    want = []
-    for w in "ab":
-        recent, release = [], None
-        for _, ts, bad in (r for r in rows if r[0] == w):
-            s = (ts - T0).total_seconds()
-            if bad:
-                recent = [r for r in recent if r >= s - 100] + [s]
-                if len(recent) >= 3:
-                    release = s + 150
-                    want.append((w, ts))
-            elif release is not None and s >= release:
-                recent, release = [], None
-    assert rows_of(got.select("worker_id", F.timestamp_micros("trip_us"))) == sorted(want, key=repr)
-
-
 def test_exact_dedup_over_batches(batches):
     ddl = "drv_hash string, seq bigint"
     got = sj.dedup_exact(batches([[("a", 2), ("a", 1)], [("a", 0), ("b", 3)], [("b", 4)]], ddl), ["drv_hash"], [F.col("seq")])
@@ -118,25 +69,9 @@ def test_log_upsert_over_batches(batches):
     assert rows_of(got, "claim_id", "attempt", "original_size", "truncated") == [(1, 1, 20, True), (2, 1, 1, False)]
 
 
-def test_sessions_and_first_timeout(batches):
-    ddl = "job_id string, ts timestamp"
-    parts = [[("a", at(0)), ("a", at(20))], [("a", at(100)), ("b", at(100))], [("b", at(125))], [("z", at(500))]]
-    got = drain(sj.heartbeat_sessions(batches(parts, ddl), gap_secs=30, late="0 seconds"))
-    assert rows_of(got, "job_id", "timed_out_at") == [("a", at(50)), ("a", at(130)), ("b", at(155))]
-    assert rows_of(sj.first_timeouts(got)) == [("a", at(50)), ("b", at(155))]
-
-
 def test_gaps_add_up_to_what_the_stream_counts(batches, make):
     rows = [("a", s) for s in (1, 2, 5, 9)] + [("b", 4), ("b", 5)]
     gaps = sj.sequence_gaps(make(rows, "job_id string, seq bigint"))
     assert rows_of(gaps) == [("a", 5, 2), ("a", 9, 3)]
     live = drain_updates(sj.missed_events(batches([rows[:3], rows[3:]], "job_id string, seq bigint")), ["job_id"])
     assert rows_of(live, "job_id", "missed") == [("a", 5), ("b", 0)]
-
-
-def test_trips_without_checks_match_the_batch_operator(batches, make):
-    rows = [("w", at(i * 10)) for i in range(12)]
-    batch = workers.trips(make(rows, "worker_id string, ts timestamp"), threshold=5, window_secs=60)
-    stream = batches([[(w, t, True) for w, t in rows[:6]], [(w, t, True) for w, t in rows[6:]]], "worker_id string, ts timestamp, is_failure boolean")
-    got = drain(stateful.quarantine_stream(stream, threshold=5, window_secs=60, cooldown_secs=60))
-    assert rows_of(got.select("worker_id", F.timestamp_micros("trip_us"))) == rows_of(batch, "worker_id", "ts")
