@@ -45,8 +45,9 @@ def stored_size(log_gz: Column) -> Column:
     return F.octet_length(log_gz).cast("bigint")
 
 
-def compression_ratio(original_size: Column, log_gz: Column) -> Column:
-    return original_size / F.nullif(stored_size(log_gz), F.lit(0))
+def compression_ratio(original_size: Column, stored: Column) -> Column:
+    """``stored``: the stored size, a column of the archive."""
+    return original_size / F.nullif(stored, F.lit(0))
 
 
 GUNZIPPED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])

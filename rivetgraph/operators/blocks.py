@@ -4,9 +4,9 @@ One key may own a third of all rows. None of these sends a whole key to one task
 
 * ``first_per_key`` / ``top_per_key`` rely on Spark's partial window group limit,
   so each map task forwards at most ``k`` rows per key;
-* ``running_total`` / ``numbered`` / ``max_before`` look for keys too large for one task
-  first; those are cut along the order into ranges of similar size, each range is
-  totalled, and only then are the rows inside it numbered;
+* ``running_total`` / ``numbered`` / ``max_before`` cut all rows along (key, order) into
+  ranges of similar size, total each range, add up the totals before it, and order rows
+  inside their range only; the same plan at every size;
 * ``trailing_tiles`` cuts time into tiles of the window's own length.
 """
 
@@ -16,8 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rivetgraph import params as P
-from rivetgraph.session import cut, cut_counted, fits
+from rivetgraph.session import cut
 
 def zero() -> Column:
     return F.lit(0).cast("bigint")
@@ -61,26 +60,34 @@ def frozen_ranges(
     return cut(ranged.withColumn("__range", F.spark_partition_id()))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None if there is none.
-
-    Counting is combined in every map task and reads the key columns alone.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    hot, found = cut_counted(counts.select(*keys))
-    return hot if found else None
-
-
-def _ordered(df, order, keys, hot_rows, plain: Callable, ranged: Callable) -> DataFrame:
-    """``plain`` for keys that fit one task, ``ranged`` for the others (if any)."""
-    if not keys:
-        return plain(df) if fits(df.select(F.lit(1)), hot_rows) else ranged(df)
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return plain(df)
-    return plain(df.join(hot, list(keys), "left_anti")).unionByName(
-        ranged(df.join(hot, list(keys), "left_semi"))
+def _in_ranges(
+    df: DataFrame,
+    order: Sequence[Column],
+    value: Column,
+    keys: Sequence[str],
+    out: str,
+    parts: int | None,
+    total: Callable[[str], Column],
+    last: int,
+    joined: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """``total`` of ``value`` over a key's rows up to the ``last`` one before or at a row:
+    inside its range, and of the ranges before it, ``joined``. Only one row per (key, range)
+    crosses range borders; a key has at most as many as there are partitions."""
+    first = Window.unboundedPreceding
+    rows = frozen_ranges(df.withColumn("__v", value), keys, order, parts)
+    scope = [*keys, "__range"]
+    totals = rows.groupBy(*scope).agg(total("__v").alias("__total"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(first, -1)
+    earlier = totals.select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(scope)], total("__total").over(before).alias("__earlier")
     )
+    inside = Window.partitionBy(*scope).orderBy(*order).rowsBetween(first, last)
+    same = F.lit(True)
+    for i, c in enumerate(scope):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    local = rows.withColumn("__here", total("__v").over(inside)).join(earlier, same)
+    return local.select(*df.columns, joined(F.col("__here"), F.col("__earlier")).alias(out))
 
 
 def running_total(
@@ -91,66 +98,24 @@ def running_total(
     keys: Sequence[str] = (),
     out: str = "running",
     parts: int | None = None,
-    hot_rows: int = P.HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in a total ``order``.
-
-    Keys of at most ``hot_rows`` rows take an ordinary window. The rows of larger keys
-    are cut into ranges; only one row per (key, range) crosses range borders, so
-    neither a hot key nor the keyless form ends in one task.
-    """
-    first = Window.unboundedPreceding
-
-    def plain(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(first, 0)
-        return rows.withColumn(out, F.sum(value).over(w))
-
-    def ranged(rows: DataFrame) -> DataFrame:
-        rows = frozen_ranges(rows.withColumn("__v", value), keys, order, parts)
-        totals = rows.groupBy(*keys, "__range").agg(F.sum("__v").alias("__sum"))
-        # ranges per key are bounded by the number of partitions
-        before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(first, -1)
-        offset = F.coalesce(F.sum("__sum").over(before), F.lit(0))
-        offsets = totals.select(*keys, "__range", offset.alias("__offset"))
-        inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(first, 0)
-        local = rows.withColumn("__local", F.sum("__v").over(inside)).join(offsets, [*keys, "__range"])
-        return local.select(*df.columns, (F.col("__offset") + F.col("__local")).alias(out))
+    """Inclusive running sum of ``value`` per key (null is a key) in a total ``order``."""
+    add = lambda here, earlier: F.coalesce(earlier, F.lit(0)) + here
+    return _in_ranges(df, order, value, keys, out, parts, F.sum, 0, add)
 
-    return _ordered(df, order, keys, hot_rows, plain, ranged)
 
-
-def numbered(df: DataFrame, order: Sequence[Column], *, keys: Sequence[str] = (), out: str = "n", **kw) -> DataFrame:
+def numbered(
+    df: DataFrame, order: Sequence[Column], *, keys: Sequence[str] = (), out: str = "n", parts: int | None = None
+) -> DataFrame:
     """1, 2, 3, ... per key in a total ``order``."""
-    return running_total(df, order, F.lit(1).cast("bigint"), keys=keys, out=out, **kw)
+    return running_total(df, order, F.lit(1).cast("bigint"), keys=keys, out=out, parts=parts)
 
 
 def max_before(
-    df: DataFrame,
-    order: Sequence[Column],
-    value: Column,
-    *,
-    keys: Sequence[str],
-    out: str,
-    parts: int | None = None,
-    hot_rows: int = P.HOT_KEY_ROWS,
+    df: DataFrame, order: Sequence[Column], value: Column, *, keys: Sequence[str], out: str, parts: int | None = None
 ) -> DataFrame:
     """The largest ``value`` among the earlier rows of the key; null on its first row."""
-    first = Window.unboundedPreceding
-
-    def plain(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, -1)
-        return rows.withColumn(out, F.max(value).over(w))
-
-    def ranged(rows: DataFrame) -> DataFrame:
-        rows = frozen_ranges(rows.withColumn("__v", value), keys, order, parts)
-        inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(first, -1)
-        tops = rows.groupBy(*keys, "__range").agg(F.max("__v").alias("__max"))
-        before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(first, -1)
-        earlier = tops.select(*keys, "__range", F.max("__max").over(before).alias("__earlier"))
-        local = rows.withColumn("__here", F.max("__v").over(inside)).join(earlier, [*keys, "__range"])
-        return local.select(*df.columns, F.greatest("__here", "__earlier").alias(out))
-
-    return _ordered(df, order, keys, hot_rows, plain, ranged)
+    return _in_ranges(df, order, value, keys, out, parts, F.max, -1, F.greatest)
 
 
 def trailing_tiles(df: DataFrame, ts_micros: Column, width_micros: int) -> DataFrame:

@@ -36,8 +36,6 @@ IN_FLIGHT_SHOW = 4
 PROPAGATED_PREVIEW = 5
 CYCLE_PREVIEW = 5
 PROGRESS_TICK_SECS = 10
-# rows of one key that a single task may order
-HOT_KEY_ROWS = 1_000_000
 U32_MAX = 4_294_967_295
 
 TERMINAL_STATUSES = ("done", "failed", "cancelled")

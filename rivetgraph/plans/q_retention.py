@@ -35,14 +35,14 @@ def _(t):
 KEPT = {
     "late_jobs": "SELECT job_id FROM jobs WHERE NOT coalesce(done_at + INTERVAL 26 YEARS < TIMESTAMP '2024-01-08 01:00:00' - INTERVAL 730 DAYS, false)",
     "kept_logs": "SELECT * FROM build_logs WHERE job_id IN (SELECT job_id FROM late_jobs) AND stored_at >= TIMESTAMP '2024-01-01 01:00:00'",
-    "fit_logs": "SELECT * FROM (SELECT *, sum(original_size) OVER (ORDER BY stored_at DESC, claim_id DESC) AS running FROM kept_logs) WHERE running <= 60000",
+    "fit_logs": "SELECT * FROM (SELECT *, sum(stored_size) OVER (ORDER BY stored_at DESC, claim_id DESC) AS running FROM kept_logs) WHERE running <= 60000",
 }
 
 
 @query(
     "rt_04_maintenance",
     """SELECT (SELECT count(*) FROM failed_outputs WHERE expires_at + INTERVAL 26 YEARS >= TIMESTAMP '2024-01-08 01:00:00') AS cache_rows,
-              (SELECT count(*) FROM late_jobs) AS job_rows, count(*) AS row_count, CAST(coalesce(sum(original_size), 0) AS BIGINT) AS total_bytes FROM fit_logs""",
+              (SELECT count(*) FROM late_jobs) AS job_rows, count(*) AS row_count, CAST(coalesce(sum(stored_size), 0) AS BIGINT) AS total_bytes FROM fit_logs""",
     **KEPT,
 )
 def _(t):

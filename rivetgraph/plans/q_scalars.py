@@ -371,13 +371,13 @@ def _(t):
 
 @query(
     "prj_22_compression_ratio",
-    """SELECT claim_id, original_size AS stored_size, round(original_size * 4.0 / nullif(original_size, 0), 6) AS ratio FROM build_logs""",
+    """SELECT claim_id, stored_size, round(original_size * 4.0 / nullif(stored_size, 0), 6) AS ratio FROM build_logs""",
 )
 def _(t):
     return t.build_logs.select(
         "claim_id",
-        logtext.stored_size(F.col("log_gz")).alias("stored_size"),
-        F.round(logtext.compression_ratio(F.col("original_size") * 4, F.col("log_gz")), 6).alias("ratio"),
+        "stored_size",
+        F.round(logtext.compression_ratio(F.col("original_size") * 4, F.col("stored_size")), 6).alias("ratio"),
     )
 
 

@@ -10,7 +10,7 @@ from rivetgraph.plans.q_workers import resets_sql
 from rivetgraph.plans.registry import query
 from rivetgraph.plans.views import Tables
 from rivetgraph.streaming import jobs as sj, stateful
-from rivetgraph.streaming.runner import VersionedTable, drain, drain_updates, file_stream
+from rivetgraph.streaming.runner import drain, drain_updates, file_stream
 
 DAY = 86_400
 
@@ -77,7 +77,7 @@ def _(t):
         F.concat(F.lit("status "), F.col("seq").cast("string")).alias("status"),
         F.col("duration_ms").alias("progress"),
     )
-    return VersionedTable(t.spark).keep(events, sj.fold_runs)
+    return sj.folded_runs(events)
 
 
 # The streams' watermark stands an hour behind their newest row; what is at or before it is settled.
@@ -152,7 +152,7 @@ def _(t):
 @query("st_08_dedup_exact", "SELECT worker_id, kind, min(seq) AS seq FROM ev GROUP BY ALL")
 def _(t):
     stream = live(t)
-    return sj.dedup_exact(stream.ev.select("worker_id", "kind", "seq"), ["worker_id", "kind"], [F.col("seq")])
+    return sj.dedup_exact(stream.ev.select("worker_id", "kind", "seq"), ["worker_id", "kind"], ["seq"])
 
 
 @query(
@@ -182,7 +182,7 @@ def _(t):
         "stored_at",
         F.col("claim_id").alias("upload_id"),
     )
-    return sj.upserted_logs(uploads).drop("log_gz")
+    return sj.LogArchive(t.spark).keep(uploads).listing().drop("upload_id", "stored_size")
 
 
 @query(

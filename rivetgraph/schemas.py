@@ -11,7 +11,7 @@ FAILED_OUTPUTS = (
 BUILD_LOGS = (
     "claim_id STRING, job_id STRING, drv_hash STRING, attempt INT, success BOOLEAN, exit_code INT, "
     "started_at TIMESTAMP, ended_at TIMESTAMP, original_size BIGINT, truncated BOOLEAN, "
-    "log_gz BINARY, stored_at TIMESTAMP"
+    "stored_size BIGINT, log_gz BINARY, stored_at TIMESTAMP"
 )
 EVAL_LINE = (
     "drvPath STRING, attr STRING, name STRING, error STRING, cacheStatus STRING, "

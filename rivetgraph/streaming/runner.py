@@ -1,9 +1,9 @@
-"""Running streams to the end of what is there, and tables a stream keeps up to date."""
+"""Running streams to the end of what is there."""
 
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,7 +36,7 @@ def _conf(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _finish(writer, spark: SparkSession) -> StreamingQuery:
+def finish(writer, spark: SparkSession) -> StreamingQuery:
     progress = table_path(spark, "stream-progress")
     with _conf(spark, **{STORE_CONF: ROCKS}):
         query = writer.option("checkpointLocation", progress).trigger(availableNow=True).start()
@@ -51,7 +51,7 @@ def drain(stream: DataFrame, *, partition_by: Sequence[str] = ()) -> DataFrame:
     writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _finish(writer, spark)
+    finish(writer, spark)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -65,34 +65,8 @@ def drain_updates(stream: DataFrame, keys: Sequence[str], *, first: bool = False
         # a repeated batch replaces its own folder
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    _finish(stream.writeStream.outputMode("update").foreachBatch(add), spark)
+    finish(stream.writeStream.outputMode("update").foreachBatch(add), spark)
     rest = [c for c in stream.columns if c not in keys]
     changes = spark.read.option("basePath", path).parquet(path)
     pick = F.min_by if first else F.max_by
     return changes.groupBy(*keys).agg(pick(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
-
-
-class VersionedTable:
-    """A table that each micro-batch replaces: version ``n`` comes from version ``n − 1``
-    and batch ``n``. A batch that is run again writes the same version again, so the
-    result is the same however often executors or the driver are lost."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or table_path(spark, "versions")
-        self.newest: int | None = None
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        version = self.newest if version is None else version
-        if version is None or version < 0:
-            return None
-        return self.spark.read.parquet(f"{self.path}/version={version}")
-
-    def keep(self, stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-        def step(batch: DataFrame, batch_id: int) -> None:
-            merged = merge(self.read(batch_id - 1), batch)
-            merged.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
-            self.newest = batch_id
-
-        _finish(stream.writeStream.foreachBatch(step), self.spark)
-        return self.read()

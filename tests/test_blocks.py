@@ -1,4 +1,4 @@
-"""Ordered operators: the hot-key path must equal an ordinary loop, whatever the skew."""
+"""Ordered operators: ranges must equal an ordinary loop, whatever the skew."""
 
 import itertools
 import random
@@ -30,23 +30,36 @@ def expected(rows, keyed=True):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [10, 100, 10**6])
-def test_running_total_and_max_before(make, skewed, hot_rows):
+@pytest.mark.parametrize("parts", [1, 3, None])
+def test_running_total_and_max_before(make, skewed, parts):
     df = make(skewed, DDL)
     want = expected(skewed)
-    got = blocks.running_total(df, [F.col("t")], F.col("v"), keys=["k"], hot_rows=hot_rows)
+    got = blocks.running_total(df, [F.col("t")], F.col("v"), keys=["k"], parts=parts)
     assert rows_of(got, "k", "t", "running") == sorted(((k, t, s) for k, t, s, _ in want), key=repr)
-    got = blocks.max_before(df, [F.col("t")], F.col("v"), keys=["k"], out="m", hot_rows=hot_rows)
+    got = blocks.max_before(df, [F.col("t")], F.col("v"), keys=["k"], out="m", parts=parts)
     assert rows_of(got, "k", "t", "m") == sorted(((k, t, m) for k, t, _, m in want), key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10**6])
-def test_keyless_numbering_descending(make, skewed, hot_rows):
-    got = blocks.numbered(make(skewed, DDL), [F.col("t").desc()], hot_rows=hot_rows)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_keyless_numbering_descending(make, skewed, parts):
+    got = blocks.numbered(make(skewed, DDL), [F.col("t").desc()], parts=parts)
     order = sorted((t for _, t, _ in skewed), reverse=True)
     assert rows_of(got, "t", "n") == sorted(((t, i + 1) for i, t in enumerate(order)), key=repr)
 
 
+def test_null_keys_are_keys(make):
+    df = make([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], DDL)
+    assert rows_of(blocks.running_total(df, [F.col("t")], F.col("v"), keys=["k"]), "k", "t", "running") == [
+        ("a", 1, 5), (None, 1, 2), (None, 2, 5),
+    ]
+
+
+def test_a_hot_key_meets_no_one_task(make, skewed):
+    rows = blocks.frozen_ranges(make(skewed, DDL), ["k"], [F.col("t")], 6)
+    sizes = [r["count"] for r in rows.groupBy("__range").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 250  # of 600 rows, 400 of one key
+
+
 def test_top_per_key_limits_before_the_shuffle(make, skewed):
     top = blocks.top_per_key(make(skewed, DDL), ["k"], [F.col("t")], 3)
     want = [

@@ -1,6 +1,8 @@
 """Ingest, failures, lifecycle, logs, retention, comparison, quality."""
 
 import datetime as dt
+import gzip
+import random
 import types
 
 import pytest
@@ -183,12 +185,20 @@ def test_file_names_never_collide(make):
         "clash": ["foo", "foo-2", "foo", "foo", "foo-2"],
         "early": ["foo-2", "foo", "foo", "foo-3", "foo"],
         "deep": ["x", "x-2", "x-2-2", "x-2", "x", "x-2-2"],
+        "late": ["a", "a", "a", "a", "a-3", "a-3", "a-3-2", "a-9", "a"],
     }
+    rng = random.Random(8)
+    for k in range(25):
+        jobs[f"random{k}"] = [
+            rng.choice(["n", "n-2", "n-3", "n-2-2", "n-2-3", "n-02", "n-1", "m-4", "m"]) for _ in range(rng.randrange(1, 40))
+        ]
     rows = [(j, i, f"d{i}", n, "transient") for j, names in jobs.items() for i, n in enumerate(names)]
     rows.append(("plain", 9, "d9", "a", "propagated_failure"))
     got = logs.export_names(make(rows, "job_id string, place int, drv_hash string, drv_name string, error_category string"))
-    for j, names in jobs.items():
-        assert [r["file_name"] for r in got.where(F.col("job_id") == j).orderBy("place").collect()] == brute(names)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.job_id, r.place)):
+        found.setdefault(r.job_id, []).append(r.file_name)
+    assert found == {j: brute(names) for j, names in jobs.items()}
 
 
 def test_log_export_as_files(make, tmp_path):
@@ -198,23 +208,39 @@ def test_log_export_as_files(make, tmp_path):
     assert sorted(f.read_text() for f in files) == ["one\ntwo\n", "three\n"]
 
 
-LOGS = "claim_id int, job_id int, drv_hash string, attempt int, original_size bigint, truncated boolean, log_gz binary, stored_at timestamp"
+LOGS = "claim_id int, job_id int, drv_hash string, attempt int, original_size bigint, truncated boolean, stored_size bigint, log_gz binary, stored_at timestamp"
 
 
 def test_log_upsert_keeps_first_identity_and_last_bytes(make):
-    old = make([(1, 1, "d", 1, 10, False, b"old", at(0))], LOGS)
+    old = make([(1, 1, "d", 1, 10, False, 3, b"old", at(0))], LOGS)
     new = make(
-        [(1, 1, "CHANGED", 9, 20, True, b"new", at(5), 2), (1, 1, "X", 8, 15, False, b"mid", at(4), 1), (2, 1, "e", 3, 5, False, b"b", at(1), 3)],
+        [(1, 1, "CHANGED", 9, 20, True, 4, b"new", at(5), 2), (1, 1, "X", 8, 15, False, 5, b"mid", at(4), 1), (2, 1, "e", 3, 5, False, 1, b"b", at(1), 3)],
         LOGS + ", upload_id int",
     )
     got = logs.upsert_logs(old, new)
     assert rows_of(got, "claim_id", "drv_hash", "attempt", "original_size", "truncated", "stored_at") == [
         (1, "d", 1, 20, True, at(5)), (2, "e", 3, 5, False, at(1)),
     ]
+    assert rows_of(got, "claim_id", "stored_size", F.decode("log_gz", "UTF-8")) == [(1, 4, "new"), (2, 1, "b")]
+
+
+def test_newest_archived_log_is_fetched_once(make):
+    gz = lambda t: gzip.compress(t.encode())
+    archive = make(
+        [("j", "d", 1, 1, gz("first")), ("j", "d", 2, 2, gz("second")), ("j", "e", 1, 3, b"not gzip"), ("k", "d", 1, 4, gz("other"))],
+        "job_id string, drv_hash string, attempt int, claim_id int, log_gz binary",
+    )
+    failed = make(
+        [("j", "d", None, "tail d"), ("j", "e", None, "tail e"), ("j", "f", None, None), ("j", "g", "d", "spoilt")],
+        "job_id string, drv_hash string, propagated_from string, log_tail string",
+    )
+    assert rows_of(logs.failure_logs(failed, archive), "drv_hash", "content", "log_source") == [
+        ("d", "second", "archive"), ("e", "tail e", "tail"), ("f", logs.NO_LOG, "none"),
+    ]
 
 
 def test_byte_ceiling(make):
-    df = make([(1, 1, "d", 1, 0, False, b"x" * 40, at(0)), (2, 1, "d", 1, 0, False, b"x" * 30, at(1)), (3, 1, "d", 1, 0, False, b"x" * 30, at(1))], LOGS)
+    df = make([(1, 1, "d", 1, 0, False, 40, b"x", at(0)), (2, 1, "d", 1, 0, False, 30, b"x", at(1)), (3, 1, "d", 1, 0, False, 30, b"x", at(1))], LOGS)
     keep = lambda cap: rows_of(logs.prune_to_ceiling(df, max_bytes=cap).where("keep"), "claim_id")
     assert keep(100) == [(1,), (2,), (3,)]
     assert keep(99) == [(2,), (3,)]
