@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rivetgraph import params as P
 from rivetgraph.operators.blocks import top_per_key
-from rivetgraph.session import Rounds, cut, cut_counted
+from rivetgraph.operators.levels import resolved_levels
+from rivetgraph.session import Rounds, cut
 
 
 def walk(
@@ -113,21 +114,45 @@ def first_submitter(emitted: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _trim(edges: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Drop edges that start where nothing arrives or end where nothing leaves, until
-    all that are left lie on or between cycles."""
-    left, now = cut_counted(edges.select(*tags, "src", "dst").distinct())
-    before = now + 1
-    while 0 < now < before:
-        entered = left.select(*tags, F.col("dst").alias("src")).distinct()
-        left_again = left.select(*tags, F.col("src").alias("dst")).distinct()
-        kept = left.join(entered, [*tags, "src"], "left_semi").join(left_again, [*tags, "dst"], "left_semi")
-        before = now
-        left, now = cut_counted(kept.select(*tags, "src", "dst"))
-    return left
+def _numbered_ends(edges: DataFrame, tags: Sequence[str], nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A number for each (tags, node), and the edges as (id, for) by number: ``src`` waits for
+    ``dst``. Numbers are written out, so they stay what they are."""
+    ends = edges.select(*tags, F.col("src").alias("node")).union(edges.select(*tags, F.col("dst").alias("node")))
+    if nodes is not None:
+        ends = ends.union(nodes.select(*tags, "node"))
+    ids = cut(ends.distinct().withColumn("id", F.monotonically_increasing_id()))
+    waits = (
+        edges.select(*tags, "src", "dst")
+        .join(ids.withColumnRenamed("node", "src"), [*tags, "src"])
+        .join(ids.select(*tags, F.col("node").alias("dst"), F.col("id").alias("for")), [*tags, "dst"])
+    )
+    return ids, cut(waits.select("id", "for"))
+
+
+def _trim(edges: DataFrame, tags: Sequence[str], **blocks: int) -> DataFrame:
+    """Edges (tags, src, dst) that lie on or between cycles.
+
+    What resolves from below is neither on nor behind a cycle; of the rest, what resolves from
+    above is not before one.
+    """
+    ids, waits = _numbered_ends(edges, tags)
 
+    def unresolved(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left = cut(nodes.join(resolved_levels(nodes, pairs, **blocks), "id", "left_anti").select("id"))
+        inside = pairs.join(left, "id", "left_semi").join(left.withColumnRenamed("id", "for"), "for", "left_semi")
+        return left, cut(inside.select("id", "for"))
 
-def cycle_core(roots: DataFrame, edges: DataFrame, members: DataFrame | None = None, *, tag: str = "job_id") -> DataFrame:
+    left, inside = unresolved(ids.select("id"), waits)
+    left, inside = unresolved(left, inside.select(F.col("for").alias("id"), F.col("id").alias("for")))
+    names = ids.join(left, "id", "left_semi")
+    src = names.select(*tags, F.col("node").alias("src"), F.col("id").alias("for"))
+    dst = names.select(F.col("node").alias("dst"), "id")
+    return inside.join(src, "for").join(dst, "id").select(*tags, "src", "dst")
+
+
+def cycle_core(
+    roots: DataFrame, edges: DataFrame, members: DataFrame | None = None, *, tag: str = "job_id", **blocks: int
+) -> DataFrame:
     """GR-04: (tag, node) left after trimming everything that is not on, or between,
     cycles reachable from the tag's roots.
 
@@ -142,7 +167,7 @@ def cycle_core(roots: DataFrame, edges: DataFrame, members: DataFrame | None = N
         own = reach.withColumnRenamed("node", "src").join(edges, "src")
     if members is not None:
         own = own.join(members.select(tag, F.col("node").alias("dst")), [tag, "dst"], "left_semi")
-    core = _trim(own.select(tag, "src", "dst"), [tag])
+    core = cut(_trim(own.select(tag, "src", "dst").distinct(), [tag], **blocks))
     return core.select(tag, F.col("src").alias("node")).union(core.select(tag, F.col("dst").alias("node"))).distinct()
 
 
@@ -176,21 +201,17 @@ def ready_frontier(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return open_steps.where(F.col("created")).join(blocked, "drv_hash", "left_anti")
 
 
-def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def waves(nodes: DataFrame, edges: DataFrame, **blocks: int) -> DataFrame:
     """GR-06: (node, wave). Leaves are wave 0; every step sits one above its deepest
-    input. Nodes on or above a cycle get no wave and are left out."""
-    remaining_edges = cut(edges.select("src", "dst").distinct())
-    remaining = cut(nodes.select("node").distinct())
-    levels = Rounds(nodes.sparkSession)
-    found = True
-    while found:
-        blocked = remaining_edges.select(F.col("src").alias("node")).distinct()
-        level = remaining.join(blocked, "node", "left_anti").withColumn("wave", F.lit(levels.n))
-        level, found = levels.add(level)
-        done = level.select("node")
-        remaining = cut(remaining.join(done, "node", "left_anti"))
-        remaining_edges = cut(remaining_edges.join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return levels.all()
+    input. Nodes on or above a cycle get no wave and are left out; an input that is not in
+    ``nodes`` holds nothing back."""
+    known = nodes.select("node").distinct()
+    inside = edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").join(
+        known.withColumnRenamed("node", "src"), "src", "left_semi"
+    )
+    ids, waits = _numbered_ends(inside, [], known)
+    levels = resolved_levels(ids.select("id"), waits, **blocks)
+    return levels.join(ids, "id").select("node", F.col("level").cast("int").alias("wave"))
 
 
 def propagate_failures(

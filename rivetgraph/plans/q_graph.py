@@ -121,6 +121,25 @@ def _(t):
     return graph.cycle_verdict(jobs, core).select("job_id", "has_cycle")
 
 
+# Every 97th edge of the layered graph also runs the other way; a brand's roots are one job.
+@query(
+    "gr_04_planted_cycles",
+    """SELECT job_id, node FROM (SELECT job_id, node FROM down INTERSECT SELECT job_id, node FROM up)""",
+    back="SELECT dst AS src, src AS dst FROM edges WHERE (src * 7 + dst) % 97 = 0",
+    looped="SELECT src, dst FROM edges UNION SELECT src, dst FROM back",
+    live="SELECT l.brand AS job_id, l.drv_hash AS node FROM latches l JOIN roots r USING (drv_hash) UNION SELECT v.job_id, e.dst FROM live v JOIN looped e ON e.src = v.node",
+    tied="SELECT DISTINCT v.job_id, x.node FROM live v JOIN back b ON b.dst = v.node, LATERAL (SELECT unnest([b.src, b.dst]) AS node) x",
+    down="SELECT job_id, node FROM tied UNION SELECT d.job_id, e.dst FROM down d JOIN looped e ON e.src = d.node",
+    up="SELECT job_id, node FROM tied UNION SELECT u.job_id, e.src FROM up u JOIN looped e ON e.dst = u.node JOIN live v ON v.job_id = u.job_id AND v.node = e.src",
+)
+def _(t):
+    back = t.edges.where((F.col("src") * 7 + F.col("dst")) % 97 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    tops = t.latches.join(t.roots.select("drv_hash"), "drv_hash").select(
+        F.col("brand").alias("job_id"), F.col("drv_hash").alias("node")
+    )
+    return graph.cycle_core(tops, t.edges.unionByName(back))
+
+
 @query(
     "gr_05_ready_frontier",
     """SELECT drv_hash FROM latches WHERE NOT finished AND created AND drv_hash NOT IN
@@ -130,19 +149,13 @@ def _(t):
     return graph.ready_frontier(t.latches, t.edges).select("drv_hash")
 
 
-SOME_EDGES = {"some_edges": "SELECT e.* FROM edges e JOIN part p ON e.src = p.p_partkey WHERE p.p_size > 12"}
-
-
 @query(
     "gr_06_topological_waves",
     """SELECT node, CAST(max(wave) AS INTEGER) AS wave FROM climb GROUP BY ALL""",
-    climb="SELECT p_partkey AS node, 0 AS wave FROM part UNION SELECT e.src, wave + 1 FROM climb c JOIN some_edges e ON e.dst = c.node",
-    **SOME_EDGES,
+    climb="SELECT p_partkey AS node, 0 AS wave FROM part UNION SELECT e.src, wave + 1 FROM climb c JOIN edges e ON e.dst = c.node",
 )
 def _(t):
-    big = t.raw("part").where(F.col("p_size") > 12).select(F.col("p_partkey").alias("src"))
-    nodes = t.raw("part").select(F.col("p_partkey").alias("node"))
-    return graph.waves(nodes, t.edges.join(big, "src", "left_semi"))
+    return graph.waves(t.raw("part").select(F.col("p_partkey").alias("node")), t.edges)
 
 
 SPREAD = {
@@ -248,9 +261,17 @@ def _(t):
     return graph.orphan_steps(t.steps.select("drv_hash"), t.members, live)
 
 
-@query("gr_12_layered_dag", "SELECT src, dst FROM edges")
+@query(
+    "gr_12_layered_dag",
+    """SELECT DISTINCT 'edge' AS part, l * w + i AS a, (l - 1) * w + (i * 31 + k * 7 + l) % w AS b FROM
+         (SELECT CAST(count(*) AS BIGINT) AS w FROM supplier), range(1, 6) t(l), range(0, w) u(i), range(0, 3) v(k)
+       UNION ALL SELECT 'root', 5 * w + i, NULL FROM (SELECT CAST(count(*) AS BIGINT) AS w FROM supplier), range(0, w) u(i)""",
+)
 def _(t):
-    return t.edges
+    width = t.raw("supplier").count()
+    nodes, edges = graph.layered_dag(t.spark, 6, width, 3)
+    roots = nodes.where("is_root").select(F.lit("root").alias("part"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    return edges.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(roots)
 
 
 @query(
