@@ -121,33 +121,29 @@ def resolved_levels(
 
     light_edges = edges.join(heavy, "frm", "left_anti") if n_heavy else edges
     base = dealt(NODE, "id", known, "id", "need").unionByName(dealt(EDGE, "frm", light_edges, "frm", "to"))
-    levels = Rounds(nodes.sparkSession)
-    taken: list[DataFrame] = []
-    fresh: DataFrame | None = None
-    n, due = 0, 1
+    levels, told = Rounds(nodes.sparkSession), Rounds(nodes.sparkSession)
+    n, due, rows = 0, 1, base
     while True:
         compact = n == due
-        rows = base
-        for one in taken:
-            rows = rows.unionByName(dealt(TAKEN, "a", one, "a", "b", "c"))
-        if fresh is not None:
-            rows = rows.unionByName(dealt(FRESH, "a", fresh, "a", "b", "c"))
         out = cut(rows.groupBy("block").applyInArrow(_round(n == 0, compact), ROW))
-        found, _ = levels.add(out.where(F.col("kind") == LEVEL).select(F.col("a").alias("id"), F.col("b").alias("level")))
-        told = out.where(F.col("kind") == FRESH).select("a", "b", "c")
+        kind = F.col("kind")
+        found, _ = levels.add(out.where(kind == LEVEL).select(F.col("a").alias("id"), F.col("b").alias("level")))
+        if blocks == 1 and not n_heavy:
+            break
+        sent = out.where(kind == FRESH).select("a", "b", "c")
         if n_heavy:
             by_spark = found.join(edges, F.col("id") == F.col("frm")).join(heavy, "frm", "left_semi")
-            told = told.unionByName(by_spark.select(F.col("to").alias("a"), F.lit(1).cast("bigint").alias("b"), F.col("level").alias("c")))
+            sent = sent.unionByName(by_spark.select(F.col("to").alias("a"), F.lit(1).cast("bigint").alias("b"), F.col("level").alias("c")))
         if compact:
-            kind = F.col("kind")
             base = dealt(NODE, "a", out.where(kind == NODE), "a", "b", "c").unionByName(dealt(EDGE, "a", out.where(kind == EDGE), "a", "b"))
-            taken, due = [], 2 * due
-        elif fresh is not None:
-            taken.append(fresh)
-        if blocks == 1 and not n_heavy:
+            told, due = Rounds(nodes.sparkSession), 2 * due
+        summed = sent.groupBy("a").agg(F.sum("b").alias("b"), F.max("c").alias("c"))
+        _, n_told = told.add(summed.withColumn("n", F.lit(n)))
+        if not n_told:
             break
-        fresh, told_n = cut_counted(told.groupBy("a").agg(F.sum("b").alias("b"), F.max("c").alias("c")))
+        is_new = F.col("n") == n
+        rows = base
+        for k, mine in ((TAKEN, ~is_new), (FRESH, is_new)):
+            rows = rows.unionByName(dealt(k, "a", told.all().where(mine), "a", "b", "c"))
         n += 1
-        if not told_n:
-            break
     return levels.all()
