@@ -42,6 +42,7 @@ SHORT = 6  # letters of the windows that find a stem in a longer word
 TOXIC_LANDMARKS = 40
 SENTENCE_WORDS = 40
 CACHE_WORDS = 300_000
+STAGE_WORDS = 60_000
 CANDIDATES = 600
 MIN_ODDS = 4  # a toxic landmark is found in so many toxic texts for one other, in a sample of both
 EDGES = ".,;:!?'\"()[]{}<>*%&$#|-_"
@@ -56,8 +57,8 @@ _FOLD = {ord(a): b for a, b in zip("àáâãäåçèéêëìíîïñòóôõöù
 
 def letter_codes(word: str) -> bytes:
     """1 to 26 for letters, accents dropped; 0 for all else, cut off at both ends."""
-    folded = word.translate(_FOLD).encode("ascii", "replace")
-    return folded.translate(_CODES).strip(b"\0")
+    folded = word if word.isascii() else word.translate(_FOLD)
+    return folded.encode("ascii", "replace").translate(_CODES).strip(b"\0")
 
 
 _CODES = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for c in range(256))
@@ -65,8 +66,11 @@ _CODES = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for
 
 def windows(codes: bytes) -> list[bytes]:
     """The word itself, or overlapping pieces of it if it is long; and all its short windows."""
-    whole = [codes[i : i + SPAN] for i in range(0, max(len(codes) - SPAN + STRIDE, 1), STRIDE)]
-    return whole + [codes[i : i + SHORT] for i in range(len(codes) - SHORT + 1) if len(codes) > SHORT]
+    n = len(codes)
+    if n <= SHORT:
+        return [codes]
+    whole = [codes] if n <= SPAN else [codes[i : i + SPAN] for i in range(0, n - SPAN + STRIDE, STRIDE)]
+    return whole + [codes[i : i + SHORT] for i in range(n - SHORT + 1)]
 
 
 def beginnings(word: str) -> list[str]:
@@ -177,13 +181,13 @@ class Features:
     """Sentence features. Words, and the windows of words, seen so far are kept in tables of
     fixed size; words of equal letters share a row."""
 
-    def __init__(self, marks: Landmarks) -> None:
+    def __init__(self, marks: Landmarks, words: int = CACHE_WORDS) -> None:
         self.marks, self.width = marks, len(marks.strings)
         self.index: dict[str, int] = {}
         self.rows: dict[bytes, int] = {}
         self.pieces: dict[bytes, int] = {}
-        self.table = np.zeros((CACHE_WORDS, self.width), np.float32)
-        self.piece_table = np.zeros((CACHE_WORDS, self.width), np.float32)
+        self.table = np.zeros((words, self.width), np.float32)
+        self.piece_table = np.zeros((words, self.width), np.float32)
 
     def of(self, texts: list[list[list[str]]]) -> list[np.ndarray]:
         """Features of each text's sentences; a text without any is a sentence without match."""
@@ -395,9 +399,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not isinstance(model, Model):
         return docs if model < 0.5 else docs.limit(0)
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(Landmarks(model.landmarks))  # of this task only: later stages need the memory
+        # of this task only and small: other stages share the executor's memory
+        features = Features(Landmarks(model.landmarks), STAGE_WORDS)
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, 2 << 20):
                 texts = piece.column("text").to_pylist()
                 clean = np.array(model.scores(features.of([sentences(t) for t in texts]))) < 0.5
                 yield piece.filter(pa.array(clean))
