@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rivetgraph import params as P
 from rivetgraph.functions import checks, paths
 from rivetgraph.operators.blocks import first_per_key, numbered, running_total, top_per_key
+from rivetgraph.session import cut
 
 ARRIVAL = ("batch_id", "pos")
 
@@ -39,17 +40,44 @@ def registry(rows: DataFrame, liveness: DataFrame | None = None) -> DataFrame:
     """JN-02: the first record of each drv_hash; its metadata wins.
 
     ``liveness`` (drv_hash, live_from, live_to) lists the spans in which some job
-    holds the step. With it the first row *of each span* is new again, since a step
+    holds the step (see ``liveness``). With it the first row *of each span* is new again, since a step
     no job holds is forgotten. ``rows`` then needs an ``arrived_at`` column.
     """
     if liveness is None:
         return first_per_key(rows, ["drv_hash"], _arrival())
     spanned = rows.join(liveness, "drv_hash").where(
-        (F.col("arrived_at") >= F.col("live_from")) & (F.col("arrived_at") < F.col("live_to"))
+        (F.col("arrived_at") >= F.col("live_from"))
+        & (F.col("live_to").isNull() | (F.col("arrived_at") < F.col("live_to")))
     )
     return first_per_key(spanned, ["drv_hash", "live_from"], _arrival()).drop("live_from", "live_to")
 
 
+def liveness(members: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(drv_hash, live_from, live_to): the spans in which at least one job holds the step.
+
+    ``members``: job_id, drv_hash; ``jobs``: job_id, created_at, done_at (null: still live).
+    A sweep adds 1 where a job begins and takes 1 where it ends; a span runs from where the
+    sum leaves 0 to where it is 0 again. Jobs that meet at an instant keep the step; one that
+    ends as it begins holds nothing. The sweep runs in ranges, so a step that all jobs hold
+    spreads over tasks.
+    """
+    held = members.select("job_id", "drv_hash").distinct().join(jobs.select("job_id", "created_at", "done_at"), "job_id")
+    ends = F.array(
+        F.struct(F.col("created_at").alias("at"), F.lit(1).alias("add")),
+        F.struct(F.col("done_at").alias("at"), F.lit(-1).alias("add")),
+    )
+    steps = held.select("drv_hash", F.inline(ends)).where(F.col("at").isNotNull())
+    net = steps.groupBy("drv_hash", "at").agg(F.sum("add").alias("net")).where("net <> 0")
+    swept = running_total(net, [F.col("at")], F.col("net"), keys=["drv_hash"], out="jobs")
+    edges = cut(swept.where("jobs = 0 or jobs = net"))
+
+    def nth(rows: DataFrame, name: str) -> DataFrame:
+        return numbered(rows.select("drv_hash", F.col("at").alias(name)), [F.col(name)], keys=["drv_hash"])
+
+    begun, over = nth(edges.where("jobs > 0"), "live_from"), nth(edges.where("jobs = 0"), "live_to")
+    return begun.join(over, ["drv_hash", "n"], "left").drop("n")
+
+
 def mark_new(rows: DataFrame) -> DataFrame:
     """``is_new`` on every row: true for the one that mints the step."""
     firsts = registry(rows).select("drv_hash", *ARRIVAL, F.lit(True).alias("is_new"))

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rivetgraph import params as P
-from rivetgraph.operators.blocks import trailing_tiles
+from rivetgraph.operators.blocks import running_total, trailing_tiles
+from rivetgraph.session import cut
 
 US = 1_000_000
+BLOCK_BURSTS = 512
 
 
 def _micros(ts: str | Column) -> Column:
@@ -27,12 +29,43 @@ def trailing_failures(failures: DataFrame, *, window_secs: float = P.QUARANTINE_
     """WN-04: ``failures_in_window`` over [t − window, t], both ends in, itself included.
 
     Failures of one worker at the same instant count together. ``failures``: worker_id, ts, …
+
+    The count is that of all failures up to t less that of those before t − window. Both are
+    read off one running sum: an instant is listed in its own window-wide tile and, as history,
+    in the next, and asks at t − window. So a tile costs a sort, however many failures it has.
     """
     width = int(window_secs * US)
-    tiled = trailing_tiles(named_failures(failures), _micros("ts"), width)
-    w = Window.partitionBy("worker_id", "__tile").orderBy("__us").rangeBetween(-width, 0)
-    counted = tiled.withColumn("failures_in_window", F.count(F.lit(1)).over(w)).where("__own")
-    return counted.drop("__tile", "__home", "__own", "__us")
+    rows = named_failures(failures).withColumn("__us", _micros("ts"))
+    instants = rows.groupBy("worker_id", "__us").agg(F.count(F.lit(1)).alias("n"))
+    us, n, none = F.col("__us"), F.col("n"), F.lit(None).cast("bigint")
+    tile = F.floor(us / F.lit(width)).cast("bigint")
+
+    def mark(tile: Column, pos: Column, ord_: int, n: Column, asks: Column, sign: int) -> Column:
+        parts = {"tile": tile, "pos": pos, "ord": F.lit(ord_), "add": n, "at": asks, "sign": F.lit(sign)}
+        return F.struct(*[c.cast("int" if k in ("ord", "sign") else "bigint").alias(k) for k, c in parts.items()])
+
+    marks = instants.select(
+        "worker_id",
+        F.inline(
+            F.array(
+                mark(tile, us, 1, n, us, 1),
+                mark(tile + 1, us, 1, n, none, 0),
+                # what lies before the window, so ahead of a failure at its very start
+                mark(tile, us - width, 0, F.lit(0), us, -1),
+            )
+        ),
+    )
+    so_far = F.sum("add").over(
+        Window.partitionBy("worker_id", "tile").orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    counts = (
+        marks.withColumn("so_far", so_far)
+        .where("sign <> 0")
+        .groupBy("worker_id", "tile", "at")
+        .agg(F.sum(F.col("sign") * F.col("so_far")).alias("failures_in_window"))
+        .select("worker_id", F.col("at").alias("__us"), "failures_in_window")
+    )
+    return rows.join(counts, ["worker_id", "__us"]).select(*failures.columns, "failures_in_window")
 
 
 def trips(
@@ -101,6 +134,7 @@ def quarantine_with_resets(
     threshold: int = P.QUARANTINE_FAILURES,
     window_secs: float = P.QUARANTINE_WINDOW_SECS,
     cooldown_secs: float = P.QUARANTINE_COOLDOWN_SECS,
+    block_bursts: int = BLOCK_BURSTS,
 ) -> DataFrame:
     """WN-05 exact: the first claim check after release also forgets the worker's failures.
 
@@ -114,8 +148,8 @@ def quarantine_with_resets(
     2. candidates and checks shrink to one row per worker and cooldown-wide tile; two
        candidates of a tile have no free check between them;
     3. tiles join into bursts, split where a free check falls;
-    4. bursts of a worker, now few and bounded by time / cooldown, are folded in order
-       with the time of the last reset.
+    4. the time of the last reset goes through the bursts in order, block by block
+       (``held_bursts``).
     """
     width = int(window_secs * US)
     cool = int(cooldown_secs * US)
@@ -148,36 +182,13 @@ def quarantine_with_resets(
         .agg(F.min("q").alias("free_at"))
     )
     # one row per tile: the free check of a tile always precedes its candidates
-    tiles = hot.join(free, ["worker_id", "tile"], "full_outer")
-    by_time = Window.partitionBy("worker_id").orderBy("tile")
-    numbered = tiles.withColumn(
-        "burst", F.sum(F.when(F.col("free_at").isNotNull(), 1).otherwise(0)).over(by_time)
-    )
-    bursts = (
-        numbered.groupBy("worker_id", "burst")
-        .agg(F.min("free_at").alias("opened_by"), F.max("last").alias("last"), F.max("since").alias("since"))
-        .withColumn("cleared", F.lead("opened_by").over(Window.partitionBy("worker_id").orderBy("burst")))
-        .where(F.col("last").isNotNull())
-    )
-    listed = bursts.groupBy("worker_id").agg(
-        F.array_sort(F.collect_list(F.struct("burst", "last", "since", "cleared"))).alias("bursts")
-    )
-
-    def fold(acc: Column, b: Column) -> Column:
-        held = b["since"] > acc["reset"]
-        row = F.struct(
-            b["burst"].alias("burst"), acc["reset"].alias("reset"), (b["last"] + cool).alias("release"), b["cleared"].alias("cleared")
-        )
-        return F.struct(
-            F.when(held, F.coalesce(b["cleared"], acc["reset"])).otherwise(acc["reset"]).alias("reset"),
-            F.when(held, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(
-        F.lit(-(2**62)).cast("bigint").alias("reset"),
-        F.array().cast("array<struct<burst:bigint,reset:bigint,release:bigint,cleared:bigint>>").alias("out"),
+    tiles = hot.join(free, ["worker_id", "tile"], "full_outer").withColumn("opens", F.col("free_at").isNotNull().cast("bigint"))
+    numbered = running_total(tiles, [F.col("tile")], F.col("opens"), keys=["worker_id"], out="burst")
+    bursts = numbered.groupBy("worker_id", "burst").agg(
+        F.min("free_at").alias("opened_by"), F.max("last").alias("last"), F.max("since").alias("since")
     )
-    held = listed.select("worker_id", F.inline(F.aggregate("bursts", start, fold)["out"]))
+    ends = bursts.select("worker_id", (F.col("burst") - 1).alias("burst"), F.col("opened_by").alias("cleared"))
+    held = held_bursts(bursts.join(ends, ["worker_id", "burst"], "left").where("last is not null"), cool, block_bursts)
     # the trip is the first candidate of the burst that the last reset did not defuse
     trip = (
         held.join(numbered.select("worker_id", "burst", "tile"), ["worker_id", "burst"])
@@ -196,6 +207,79 @@ def quarantine_with_resets(
     )
 
 
+def held_bursts(bursts: DataFrame, cool: int, block_bursts: int) -> DataFrame:
+    """(worker_id, burst, reset, release, cleared) of the bursts that trip, given in order the
+    time of the last reset.
+
+    A burst trips if its ``since`` is after the last reset, and its ``cleared`` is the next
+    reset. What a block of ``block_bursts`` bursts makes of the reset it is given depends on
+    the first burst that trips only, and any reset given lies before the block. So a block's
+    effect is a list of (since, reset after the block) for its first few bursts, up to one
+    that trips whatever the reset. Blocks are put through their effects in order, then each
+    is folded on its own with the reset it was given.
+    """
+    block = F.floor(F.col("burst") / block_bursts).alias("block")
+    blocks = cut(
+        bursts.groupBy("worker_id", block).agg(
+            F.array_sort(F.collect_list(F.struct("burst", "opened_by", "last", "since", "cleared"))).alias("bursts")
+        )
+    )
+    pair = "array<struct<since:bigint,after:bigint>>"
+
+    def before(acc: Column, b: Column) -> Column:
+        """From the last burst to the first: the reset after the block if this one trips."""
+        nxt = F.get(F.filter(acc, lambda e: e["since"] > b["cleared"]), 0)["after"]
+        return F.concat(F.array(F.struct(b["since"].alias("since"), F.coalesce(nxt, b["cleared"]).alias("after"))), acc)
+
+    effect = F.aggregate(F.reverse("bursts"), F.array().cast(pair), before)
+    sure = F.col("bursts")[0]["opened_by"]
+    needed = blocks.select("worker_id", "block", effect.alias("effect"), sure.alias("sure")).withColumn(
+        "effect",
+        F.filter(
+            "effect",
+            lambda e, i: (i == 0) | F.coalesce(F.get(F.col("effect"), i - 1)["since"] < F.col("sure"), F.lit(True)),
+        ),
+    )
+    listed = needed.groupBy("worker_id").agg(F.array_sort(F.collect_list(F.struct("block", "effect"))).alias("blocks"))
+
+    def through(acc: Column, b: Column) -> Column:
+        given = acc[F.size(acc) - 1]["reset"]
+        trips = F.get(F.filter(b["effect"], lambda e: e["since"] > given), 0)
+        after = F.when(trips.isNull(), given).otherwise(F.coalesce(trips["after"], given))
+        return F.concat(acc, F.array(F.struct((b["block"] + 1).alias("follows"), after.alias("reset"))))
+
+    never = F.struct(F.lit(0).cast("bigint").alias("follows"), F.lit(-(2**62)).cast("bigint").alias("reset"))
+    # the i-th block is given what stands at place i
+    given = listed.select(
+        "worker_id",
+        F.inline(
+            F.zip_with(
+                "blocks",
+                F.slice(F.aggregate("blocks", F.array(never), through), 1, F.size("blocks")),
+                lambda b, r: F.struct(b["block"].alias("block"), r["reset"].alias("reset")),
+            )
+        ),
+    )
+
+    def fold(acc: Column, b: Column) -> Column:
+        trips = b["since"] > acc["reset"]
+        row = F.struct(
+            b["burst"].alias("burst"), acc["reset"].alias("reset"), (b["last"] + cool).alias("release"), b["cleared"].alias("cleared")
+        )
+        return F.struct(
+            F.when(trips, F.coalesce(b["cleared"], acc["reset"])).otherwise(acc["reset"]).alias("reset"),
+            F.when(trips, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
+        )
+
+    start = F.struct(
+        F.col("reset").alias("reset"),
+        F.array().cast("array<struct<burst:bigint,reset:bigint,release:bigint,cleared:bigint>>").alias("out"),
+    )
+    return blocks.join(given, ["worker_id", "block"]).select(
+        "worker_id", F.inline(F.aggregate("bursts", start, fold)["out"])
+    )
+
+
 def unfenced(requests: DataFrame, fenced: DataFrame) -> DataFrame:
     """JN-09: claim requests of fenced workers drop out; a request without a name never does."""
     return requests.join(fenced.select("worker_id").distinct(), "worker_id", "left_anti")

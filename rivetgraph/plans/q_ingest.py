@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivetgraph import session
 from rivetgraph.functions.times import plus_seconds
 from rivetgraph.operators import ingest, lifecycle, logs
 from rivetgraph.plans.q_sources import eval_text
@@ -89,18 +90,25 @@ def _(t):
     return ingest.registry(good_rows(t)).select("drv_hash", "batch_id", "pos")
 
 
+# A batch's job lives from its first row to 1 to 40 days after its last one.
 @query(
     "jn_02_registry_dedup_live",
-    """SELECT r.drv_hash, min((r.batch_id, r.pos))[1] AS batch_id, min((r.batch_id, r.pos))[2] AS pos
-       FROM ingest_rows r WHERE reject_reason IS NULL GROUP BY r.drv_hash, year(r.arrived_at)""",
+    """SELECT drv_hash, min((batch_id, pos))[1] AS batch_id, min((batch_id, pos))[2] AS pos FROM good JOIN islands USING (drv_hash, batch_id) GROUP BY drv_hash, n""",
     **VIEWS,
+    good="SELECT * FROM ingest_rows WHERE reject_reason IS NULL",
+    lives="SELECT batch_id, min(arrived_at) AS a, max(arrived_at) + to_days(CAST(1 + batch_id % 40 AS INTEGER)) AS b FROM good GROUP BY batch_id",
+    holds="SELECT DISTINCT drv_hash, batch_id, a, b FROM good JOIN lives USING (batch_id)",
+    islands="""
+SELECT drv_hash, batch_id, sum(opens) OVER (PARTITION BY drv_hash ORDER BY a, b, batch_id ROWS UNBOUNDED PRECEDING) AS n FROM (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY drv_hash ORDER BY a, b, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM holds)""",
 )
 def _(t):
-    rows = good_rows(t)
-    year = F.date_trunc("year", F.col("arrived_at"))
-    spans = rows.select("drv_hash", year.alias("live_from")).distinct()
-    spans = spans.withColumn("live_to", F.add_months("live_from", 12).cast("timestamp"))
-    return ingest.registry(rows, spans).select("drv_hash", "batch_id", "pos")
+    rows = session.cut(good_rows(t))
+    job = F.col("batch_id").alias("job_id")
+    jobs = rows.groupBy(job).agg(F.min("arrived_at").alias("created_at"), F.max("arrived_at").alias("last"))
+    jobs = jobs.withColumn("done_at", plus_seconds(F.col("last"), (1 + F.col("job_id") % 40) * 86_400))
+    live = ingest.liveness(rows.select(job, "drv_hash"), jobs)
+    return ingest.registry(rows, live).select("drv_hash", "batch_id", "pos")
 
 
 @query("jn_03_edge_wiring", "SELECT DISTINCT src, dst FROM inputs WHERE edge_error IS NULL", **VIEWS)

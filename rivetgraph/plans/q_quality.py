@@ -93,12 +93,15 @@ def _(t):
 
 @query(
     "dq_07_batch_accounting",
-    "SELECT batch_id FROM accounts WHERE edge_errors = 0 AND new_drvs + dedup_skipped + errored <> sent",
+    """SELECT batch_id FROM (SELECT * REPLACE (CASE WHEN batch_id % 11 = 0 THEN new_drvs + 1 ELSE new_drvs END AS new_drvs) FROM accounts)
+       WHERE edge_errors = 0 AND new_drvs + dedup_skipped + errored <> sent""",
     accounts=ACCOUNTS,
     **INGEST,
 )
 def _(t):
-    return quality.unbalanced_batches(batch_accounts(t)).select("batch_id")
+    # every eleventh batch claims one new step too many
+    counted = F.when(F.col("batch_id") % 11 == 0, F.col("new_drvs") + 1).otherwise(F.col("new_drvs"))
+    return quality.unbalanced_batches(batch_accounts(t).withColumn("new_drvs", counted)).select("batch_id")
 
 
 @query(

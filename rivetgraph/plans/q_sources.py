@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from rivetgraph import schemas
 from rivetgraph.plans.registry import query
-from rivetgraph.sources import derivations, documents, exposition
+from rivetgraph.session import table_path
+from rivetgraph.sources import derivations, documents, exposition, tables
 
 
-@query("src_01_jobs_scan", "SELECT * FROM jobs")
+def stored(t, rows, ddl: str, label: str) -> str:
+    """``rows`` as a table of type ``ddl``, columns it lacks null; the path."""
+    fields = T.StructType.fromDDL(ddl).fields
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    path = table_path(t.spark, label)
+    rows.select(columns).write.parquet(path)
+    return path
+
+
+@query(
+    "src_01_jobs_scan",
+    """SELECT CAST(job_id AS VARCHAR) AS job_id, external_ref, status, sealed, CAST(NULL AS VARCHAR) AS result, created_at, last_heartbeat, done_at, priority,
+              CAST(max_workers AS BIGINT) AS max_workers, CAST(claim_deadline_secs AS BIGINT) AS claim_deadline_secs FROM jobs""",
+)
 def _(t):
-    return t.jobs
+    return tables.jobs(t.spark, stored(t, t.jobs, schemas.JOBS, "jobs"))
 
 
-@query("src_02_failed_outputs_scan", "SELECT * FROM failed_outputs")
+@query("src_02_failed_outputs_scan", "SELECT output_path, CAST(drv_hash AS VARCHAR) AS drv_hash, failed_at, expires_at, worker_id FROM failed_outputs")
 def _(t):
-    return t.failed_outputs
+    return tables.failed_outputs(t.spark, stored(t, t.failed_outputs, schemas.FAILED_OUTPUTS, "failed-outputs"))
 
 
-@query("src_03_build_logs_scan", "SELECT claim_id, job_id, drv_hash, attempt, original_size, truncated, stored_at FROM build_logs")
+@query(
+    "src_03_build_logs_scan",
+    """SELECT CAST(claim_id AS VARCHAR) AS claim_id, CAST(job_id AS VARCHAR) AS job_id, drv_hash, attempt, CAST(NULL AS BOOLEAN) AS success, CAST(NULL AS INTEGER) AS exit_code,
+              CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS ended_at, original_size, truncated, stored_size, stored_at FROM build_logs""",
+)
 def _(t):
-    return t.build_logs.drop("log_gz", "text")
+    return tables.build_logs(t.spark, stored(t, t.build_logs, schemas.BUILD_LOGS, "build-logs"))
 
 
 def eval_text(t):
@@ -93,13 +112,13 @@ def event_text(t):
 
 @query(
     "src_06_job_events",
-    """SELECT kind, CAST(job_id AS VARCHAR) AS job_id, seq, ts, worker_id, duration_ms FROM ev
+    """SELECT kind, CAST(job_id AS VARCHAR) AS job_id, seq, epoch_us(ts) // 1000 AS ts_ms, worker_id, duration_ms FROM ev
        WHERE seq % 50 <> 0 AND NOT (seq % 50 = 1 AND kind LIKE 'drv_%')""",
 )
 def _(t):
-    # JSON carries milliseconds; the exact time is joined back by sequence number
-    parsed = documents.job_events(event_text(t)).drop("ts")
-    return parsed.join(t.ev.select("seq", "ts"), "seq").select("kind", "job_id", "seq", "ts", "worker_id", "duration_ms")
+    # the lines carry milliseconds
+    parsed = documents.job_events(event_text(t))
+    return parsed.select("kind", "job_id", "seq", F.unix_millis("ts").alias("ts_ms"), "worker_id", "duration_ms")
 
 
 @query(

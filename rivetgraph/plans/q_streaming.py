@@ -85,7 +85,7 @@ LATE, LATE_MS = "1 hour", 3_600_000
 
 
 def settled(rows: str, us: str) -> str:
-    return f"{us} <= (SELECT max(epoch_ms({rows}.ts)) - {LATE_MS} FROM {rows}) * 1000"
+    return f"{us} <= (SELECT max(epoch_us({rows}.ts)) // 1000 - {LATE_MS} FROM {rows}) * 1000"
 
 
 def results(stream_rows):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivetgraph.operators import graph
+from rivetgraph.operators.levels import resolved_levels
 from tests.conftest import rows_of
 
 EDGES = "src string, dst string"
@@ -145,3 +146,38 @@ def test_layered_dag(spark):
     wave = graph.waves(nodes.select("node"), edges)
     both = wave.join(nodes, "node").where(F.col("wave") != F.col("layer"))
     assert both.count() == 0
+
+
+def brute_levels(n, waits):
+    need = {i: {f for k, f in waits if k == i} for i in range(n)}
+    out = {}
+    while True:
+        ready = [i for i in need if i not in out and need[i] <= out.keys()]
+        if not ready:
+            return sorted(out.items())
+        for i in ready:
+            out[i] = 1 + max((out[f] for f in need[i]), default=-1)
+
+
+@pytest.mark.parametrize("rows,light", [(10**6, 10**4), (12, 10**4), (25, 2)])
+def test_levels_in_blocks_equal_brute_force(make, spark, rows, light):
+    rng = random.Random(rows)
+    n = 40
+    waits = {(i, rng.randrange(n)) for i in range(n) for _ in range(rng.randrange(3)) if i % 7}
+    waits |= {(i, 3) for i in range(10, 30)} | {(i, i - 1) for i in range(31, 38)}
+    pairs = make(sorted(waits), "id bigint, for bigint")
+    got = resolved_levels(spark.range(n), pairs, block_rows=rows, light=light)
+    assert rows_of(got, "id", "level") == sorted(brute_levels(n, waits), key=repr)
+
+
+def test_levels_of_nothing(make, spark):
+    none = make([], "id bigint, for bigint")
+    assert resolved_levels(spark.range(0), none).count() == 0
+    assert rows_of(resolved_levels(spark.range(2), none), "id", "level") == [(0, 0), (1, 0)]
+
+
+def test_long_chain_in_few_rounds(make, spark):
+    n = 2000
+    edges = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    got = graph.waves(spark.range(n).withColumnRenamed("id", "node"), edges)
+    assert got.where("wave <> node").count() == 0 and got.count() == n

@@ -328,6 +328,41 @@ def test_membership_takes_a_jobs_own_inputs_only(make):
     assert rows_of(ingest.membership(sent, inputs, make([("z",)], "drv_hash string"))) == [("a", "x"), ("a", "y"), ("b", "x")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_liveness_is_the_union_of_life_spans(make, seed):
+    rng = random.Random(seed)
+    jobs, members = [], []
+    for j in range(40):
+        a = rng.randrange(200)
+        jobs.append((j, at(a), None if rng.random() < 0.1 else at(a + rng.randrange(0, 15))))
+        members += [(j, d) for d in "xyz" if rng.random() < 0.6] * 2
+    got = ingest.liveness(make(members, "job_id int, drv_hash string"), make(jobs, "job_id int, created_at timestamp, done_at timestamp"))
+    want = []
+    for d in "xyz":
+        spans = sorted((jobs[j][1], jobs[j][2] or at(10**6)) for j in {j for j, x in members if x == d})
+        merged = []
+        for a, b in spans:
+            if a == b:
+                continue
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want += [(d, a, None if b == at(10**6) else b) for a, b in merged]
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_a_step_nobody_holds_is_minted_anew(make):
+    rows = make(
+        [("d", 1, 0, at(0)), ("d", 2, 0, at(5)), ("d", 3, 0, at(50))], "drv_hash string, batch_id int, pos int, arrived_at timestamp"
+    )
+    live = ingest.liveness(
+        make([(1, "d"), (2, "d"), (3, "d")], "job_id int, drv_hash string"),
+        make([(1, at(0), at(10)), (2, at(5), at(20)), (3, at(50), None)], "job_id int, created_at timestamp, done_at timestamp"),
+    )
+    assert rows_of(ingest.registry(rows, live), "batch_id") == [(1,), (3,)]
+
+
 def test_every_failure_of_a_large_job_is_named(make):
     lines = make([(i, 7, i % 650, "R") for i in range(1300)], "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_returnflag string")
     tables = types.SimpleNamespace(raw=lambda name: lines)

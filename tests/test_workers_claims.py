@@ -85,6 +85,26 @@ def test_quarantine_with_resets_equals_a_step_by_step_fold(make, seed):
     assert rows_of(got, "worker_id", "trip_ts", "release_at", "cleared_at") == want
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_resets_go_through_blocks_of_bursts(make, block):
+    """A long window and a short cooldown: a reset reaches several bursts ahead."""
+    rng = random.Random(block)
+    events = [(w, s, rng.random() < 0.75) for w in "ab" for s in rng.sample(range(6000), 260)]
+    bad = fails(make, [(w, s) for w, s, f in events if f])
+    ok = fails(make, [(w, s) for w, s, f in events if not f])
+    got = workers.quarantine_with_resets(bad, ok, threshold=4, window_secs=400, cooldown_secs=60, block_bursts=block)
+    assert rows_of(got) == brute_resets(events, 4, 400, 60)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trailing_counts_equal_brute_force(make, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), rng.randrange(200)) for _ in range(300)]
+    got = workers.trailing_failures(fails(make, rows), window_secs=25)
+    want = [(w, at(s), sum(v == w and s - 25 <= t <= s for v, t in rows)) for w, s in rows]
+    assert rows_of(got, "worker_id", "ts", "failures_in_window") == sorted(want, key=repr)
+
+
 def test_fence_spares_nameless_workers(make):
     req = make([("a",), ("b",), (None,), ("",)], "worker_id string")
     got = workers.unfenced(req, make([("a",), ("a",)], "worker_id string"))
