@@ -59,10 +59,15 @@ FROM jobs j LEFT JOIN capped c ON c.job_id = j.job_id AND j.done_at IS NOT NULL
 @query(
     "flagship_failed_jobs_report",
     """SELECT j.job_id, j.external_ref, j.status, j.done_at, CAST(any_value(p.n) AS INTEGER) AS originating_failures_total,
-              CASE WHEN any_value(p.n) IS NOT NULL THEN 0 END AS propagated_failures,
+              CASE WHEN any_value(p.n) IS NOT NULL THEN CAST(coalesce(any_value(x.n), 0) AS INTEGER) END AS propagated_failures,
               string_agg(p.drv_name, ', ' ORDER BY p.place) FILTER (p.place < 3) AS originating_failures, any_value(s.suspected_worker) AS suspected_worker
-       FROM jobs j LEFT JOIN placed p USING (job_id) LEFT JOIN suspects s USING (job_id) WHERE j.status = 'failed' GROUP BY j.job_id, j.external_ref, j.status, j.done_at""",
+       FROM jobs j LEFT JOIN placed p USING (job_id) LEFT JOIN suspects s USING (job_id) LEFT JOIN spoilt x USING (job_id)
+       WHERE j.status = 'failed' GROUP BY j.job_id, j.external_ref, j.status, j.done_at""",
     **VIEWS,
+    tried="SELECT DISTINCT job_id, drv_hash FROM retried",
+    waiting="SELECT DISTINCT t.job_id, e.src AS node FROM tried t JOIN edges e ON e.dst = t.drv_hash ANTI JOIN tried x ON x.job_id = t.job_id AND x.drv_hash = e.src",
+    reached="SELECT job_id, drv_hash AS node FROM retried_failures UNION SELECT r.job_id, w.node FROM reached r JOIN edges e ON e.dst = r.node JOIN waiting w ON w.job_id = r.job_id AND w.node = e.src",
+    spoilt="SELECT job_id, count(*) AS n FROM reached JOIN waiting USING (job_id, node) GROUP BY job_id",
 )
 def _(t):
     return report(t)
