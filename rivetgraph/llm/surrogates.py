@@ -27,7 +27,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from rivetgraph.llm.common import mapped
-from rivetgraph.session import cut_counted
+from rivetgraph.session import cut, cut_counted
 
 KEY = b"surrogate key of this corpus"
 MAX_DRAWS = 20
@@ -239,8 +239,9 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             return {"k": [k for k, _ in out], "shown": [s for _, s in out]}
 
         keyed = rows.withColumn("k", F.xxhash64("text"))
-        in_docs = mapped(keyed.select("k", "text"), holds, "k bigint, shown string").join(redrawn, "shown")
-        per = in_docs.groupBy("k").agg(F.collect_set(F.struct("shown", "draw")).alias("redrawn"))
+        in_docs = mapped(keyed.select("k", "text"), holds, "k bigint, shown string").join(redrawn.drop("kind"), "shown")
+        # written first: its size is known then, and while it is small the texts stay where they are
+        per = cut(in_docs.groupBy("k").agg(F.collect_set(F.struct("shown", "draw")).alias("redrawn")))
         rows = keyed.join(per, "k", "left").select("doc_id", "text", "redrawn")
 
     def replaced(c: dict) -> dict:
