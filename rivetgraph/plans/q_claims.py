@@ -24,7 +24,7 @@ FROM completions p LEFT JOIN claims c USING (claim_id)""",
 
 
 def claims(t):
-    return t.retried.where(F.col("duration_ms") % 11000 != 0).select(
+    return t.retried_once.where(F.col("duration_ms") % 11000 != 0).select(
         "claim_id",
         "job_id",
         "drv_hash",
@@ -35,7 +35,7 @@ def claims(t):
 
 
 def completions(t):
-    first = t.retried.select(
+    first = t.retried_once.select(
         F.col("claim_id").alias("completion_id"),
         "claim_id",
         F.when(F.col("duration_ms") % 9000 == 0, F.col("job_id") + 1).otherwise(F.col("job_id")).alias("job_id"),
@@ -43,7 +43,7 @@ def completions(t):
         "success",
         "error_category",
     )
-    again = t.retried.where("open").select(
+    again = t.retried_once.where("open").select(
         F.concat("claim_id", F.lit("b")).alias("completion_id"),
         "claim_id",
         "job_id",
@@ -62,9 +62,9 @@ def _(t):
 @query(
     "jn_06_stale_completions",
     """WITH valid AS (SELECT *, success OR NOT (coalesce(error_category, 'build_failure') IN ('transient', 'disk_full') AND attempt < 2) AS ends FROM judged WHERE validity = 'ok'),
-            ended AS (SELECT drv_hash, min((completed_at, completion_id)) AS fin FROM valid WHERE ends AND drv_hash IN (SELECT drv_hash FROM latches WHERE created) GROUP BY ALL)
-       SELECT completion_id, drv_hash IN (SELECT drv_hash FROM latches WHERE created) AND (fin IS NULL OR (completed_at, completion_id) <= fin) AS accepted
-       FROM valid LEFT JOIN ended USING (drv_hash)""",
+            known AS (SELECT v.*, s.drv_hash IS NOT NULL AS known FROM valid v LEFT JOIN (SELECT drv_hash FROM latches WHERE created) s USING (drv_hash))
+       SELECT completion_id, known AND coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY drv_hash ORDER BY completed_at, completion_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS accepted FROM known""",
     **VIEWS,
 )
 def _(t):

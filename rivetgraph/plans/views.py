@@ -16,6 +16,7 @@ from rivetgraph.functions.paths import output_path
 from rivetgraph.functions.times import plus_seconds
 from rivetgraph.operators import failures as fail
 from rivetgraph.operators.graph import layered_edges
+from rivetgraph.session import cut
 
 ATTEMPT_ORDER = ("ended_at", "claim_id")
 
@@ -153,6 +154,11 @@ class Tables:
         named = F.concat(F.lit("w"), (F.col("l_suppkey") % 3).cast("string"))
         return self._attempts(F.col("l_partkey") % 20, named)
 
+    @cached_property
+    def retried_once(self) -> DataFrame:
+        """``retried`` written out, for queries that read it several times: its keys are digests."""
+        return cut(self.retried)
+
     def all_failures(self, attempts: DataFrame) -> DataFrame:
         null = F.lit(None)
         return attempts.where(~F.col("success")).select(
