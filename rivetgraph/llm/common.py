@@ -21,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mapped(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def mapped(
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, max_bytes: int = 8 << 20
+) -> DataFrame:
     """Arrow batches through ``fn``: columns as Python lists in, columns (lists or arrays) out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -30,7 +32,7 @@ def mapped(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, max_bytes):
                 out = fn({n: piece.column(n).to_pylist() for n in piece.schema.names})
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out.values(), target)],

@@ -133,7 +133,8 @@ def tokens(docs: DataFrame, path: str, ranks: str, end_id: int = END_ID) -> Data
         ids = [x + end for x in state["ids"]([t or "" for t in c["text"]])]
         return {"doc_id": c["doc_id"], "source": c["source"], "ids": ids, "n_tokens": [len(x) // 2 for x in ids]}
 
-    return mapped(docs.select("doc_id", "source", "text"), made, "doc_id bigint, source string, ids binary, n_tokens bigint")
+    schema = "doc_id bigint, source string, ids binary, n_tokens bigint"
+    return mapped(docs.select("doc_id", "source", "text"), made, schema, 2 << 20)
 
 
 def _rounds(queued: DataFrame, targets: dict[str | None, float] | None, window: int) -> DataFrame:

@@ -21,12 +21,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rivetgraph.llm.common import mapped, text_key
+from rivetgraph.llm.common import mapped, sliced, text_key
 
 FDR = 0.01
 MIN_LENGTH = 20
@@ -275,11 +276,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 at = b
         return "".join(out) + text[at:]
 
-    @F.pandas_udf("string")
-    def hidden(text: pd.Series) -> pd.Series:
-        return text.map(cleaned, na_action="ignore")
+    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for piece in sliced(batch, 2 << 20):
+                texts = pa.array(map(cleaned, piece.column(at).to_pylist()), batch.schema.field(at).type)
+                yield piece.set_column(at, batch.schema.field(at), texts)
 
-    out = docs.withColumn("text", hidden("text"))
+    out = docs.mapInArrow(hidden, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from rivetgraph.llm import chat_formatting as chat, importance_resampling as sampling, source_divergence as audit
+from rivetgraph.llm import chat_formatting as chat, importance_resampling as sampling, secrets, source_divergence as audit, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n string, term string, rank int, s bigint, p double"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,3 +201,32 @@ def test_resampling_of_empty_tables(spark):
 def test_longer_runs_of_words_are_features():
     assert sampling.features_of("A b-C", 2) == [b"a", b"b", b"c", b"a b", b"b c"]
     assert sampling.features_of(None, 3) == []
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    rows = [(1, "token = abcdef1234 end", "x"), (2, None, "y"), (3, "", "z"), (4, "plain words", None), (4, "plain words", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(1, "token = [SECRET] end", "x"), *rows[1:]], key=repr
+    )
+    assert secrets.redact(df.limit(0)).count() == 0
+
+
+def test_toxic_stage_of_odd_rows(spark):
+    """The stage drops what the model rejects, keeps columns, nulls and repeats."""
+    rng = random.Random(12)
+    clean = lambda: " ".join(rng.choice(["house", "river", "green", "walking", "paper", "window"]) for _ in range(30))
+    bad = lambda: clean() + " you stupid worthless idiot " + clean()
+    rows = [(i, bad() if i % 3 == 0 else clean(), f"k{i}") for i in range(150)]
+    rows += [(200, None, "n"), (201, "", "e"), (202, clean(), "c"), (202, clean(), "c"), (203, bad(), "b"), (None, clean(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], "doc_id bigint, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert got == sorted([i for i in range(150) if i % 3] + [200, 201, 202, 202, None], key=str)
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+    # labels of one kind only: nothing is learnt, nothing goes
+    assert toxicity.drop_toxic(docs, labels.where("toxic = 0")).count() == docs.count()
