@@ -22,7 +22,6 @@ from rivetgraph.session import cut
 BASE_WORDS = 50
 TOP_WORDS = 20
 MIN_WORDS = 80
-MAX_BROADCAST_LANGS = 10_000
 MIN_LANG_WORDS = 2000
 MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.55
@@ -56,11 +55,12 @@ def class_counts(text: str, word_chars: Column, marks: str) -> list[Column]:
     """Characters of each class; ``wide`` are those beyond ASCII, ``letter`` is the rest."""
     size = F.char_length(text)
     space = size - word_chars
-    wide = F.octet_length(text) - size
+    # only texts with a character beyond ASCII have more bytes than characters
+    beyond = F.char_length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    wide = F.when(F.octet_length(text) == size, F.lit(0)).otherwise(beyond)
     digit = _count(marks, f"[{DIGITS}]")
     point = _count(marks, f"[{POINTS}]")
     symbol = F.char_length(marks) - digit - point
-    wide = F.least(wide, size - space - digit - point - symbol)
     return [space, size - space - wide - digit - point - symbol, wide, digit, point, symbol]
 
 
@@ -171,10 +171,9 @@ def class_references(rows: DataFrame) -> DataFrame:
 
 
 def _by_lang(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds a language's columns; one row per language: broadcast while they are few, else
-    an ordinary join."""
+    """Adds a language's columns. The references are written tables of one row per language,
+    so Spark knows their size and broadcasts them while they are small."""
     r = refs.withColumnRenamed("lang", "ref_lang")
-    r = F.broadcast(r) if refs.count() <= MAX_BROADCAST_LANGS else r
     return rows.join(r, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").drop("ref_lang")
 
 
@@ -211,10 +210,9 @@ n AS (
     length(regexp_replace(text, '[^0-9]', '', 'g')) AS digit,
     length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')) AS point,
     length(regexp_replace(text, '[^#*$%&|<>@=+/\\\\_~^\\[\\]{{}}`]', '', 'g')) AS symbol,
-    length(text) AS size, strlen(text) - length(text) AS wide0
+    length(text) AS size, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS wide
   FROM w),
-c AS (SELECT *, size - word_chars AS space,
-        least(wide0, size - (size - word_chars) - digit - point - symbol) AS wide FROM n),
+c AS (SELECT *, size - word_chars AS space FROM n),
 k AS (SELECT *, [space, size - space - wide - digit - point - symbol, wide, digit, point, symbol] AS classes FROM c),
 u AS (SELECT rid, lang, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM k),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d),

@@ -6,11 +6,13 @@ every vector goes to its ``OVERLAP`` nearest shards, the nearest is its home. Sh
 pruning of near and random candidates; the adjacency lists that a vector got in its shards
 are united. Then every vector is searched for in its home shard, block by block: greedily
 from the medoid with a beam, then outwards through all nodes within the range. Every link is
-verified by its cosine in double precision, and counted where it is found; pairs are no rows:
-all links of a search group are united there, and every class they touch gives one row.
+verified by its cosine in double precision and counted for both its ends, whichever found it;
+a pair that two shards could find counts in the smaller one. Pairs are no rows: all links of
+two blocks are united where they meet, and every class they touch gives one row.
 
-Recall is audited by brute force on ``AUDIT`` vectors against all; below ``TARGET_RECALL``
-the search is repeated with twice the overlap and beam.
+Recall is audited by brute force on ``AUDIT`` vectors against all (``MAX_AUDIT`` where those
+have fewer than ``AUDIT_LINKS`` links); below ``TARGET_RECALL`` the search is repeated with
+twice the overlap and beam. ``audited_recall`` is null where the sample has no link at all.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and are their own component, equal ones too; vectors of different lengths link
@@ -37,6 +39,8 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
 AUDIT = 256
+MAX_AUDIT = 2048
+AUDIT_LINKS = 100
 TARGET_RECALL = 0.95
 ROUNDS = 3
 
@@ -140,36 +144,60 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": ids, "near": [ids[a[a >= 0]].tolist() for a in adj]})
 
 
-def _joined(hit: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All classes of a search group, sorted, and the smallest class that the hits join each with."""
-    every = np.unique(np.concatenate([ids, own]))
-    label, to = np.arange(len(every)), np.searchsorted(every, ids)
+def _joined(hit: np.ndarray, to: np.ndarray, own: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The smallest class of ``every`` that the hits [own, to] join each with."""
+    label, at = np.arange(len(every)), np.searchsorted(every, to)
     for a, row in zip(np.searchsorted(every, own), hit):
-        some = np.unique(np.append(label[to[row]], label[a]))
+        some = np.unique(np.append(label[at[row]], label[a]))
         if len(some) > 1:
             label[np.isin(label, some)] = some[0]
-    return every, every[label]
+    return every[label]
+
+
+def _hits(ask: pd.DataFrame, node: pd.DataFrame, shard: int, threshold: float, beam: int) -> np.ndarray:
+    """Which of ``node`` each home row of ``ask`` finds, rows that ask nothing left False.
+
+    A pair of two homes may be open to a search in either; it counts in the smaller shard alone.
+    """
+    out = np.zeros((len(ask), len(node)), bool)
+    home = ask["home"].to_numpy(bool)
+    if not home.any() or not len(node):
+        return out
+    place = {c: i for i, c in enumerate(node["cid"].tolist())}
+    lists = [[place[c] for c in near if c in place] for near in node["near"]]
+    adj = np.full((len(node), max(1, max(map(len, lists)))), -1, np.int32)
+    for i, x in enumerate(lists):
+        adj[i, : len(x)] = x
+    q, v = np.stack(ask["x"][home].to_numpy()), np.stack(node["x"].to_numpy())
+    hit = range_search(v, adj, q, threshold, beam) >= threshold
+    mine = np.stack(ask["shards"][home].to_numpy())
+    theirs = np.array([s[0] for s in node["shards"]])
+    for k in range(mine.shape[1]):
+        hit &= (mine[:, k][:, None] != theirs[None, :]) | (theirs >= shard)[None, :]
+    hit &= ask["cid"].to_numpy()[home][:, None] != node["cid"].to_numpy()[None, :]
+    out[home] = hit
+    return out
 
 
 def _search(threshold: float, beam: int):
+    """Links of one block with itself or with another block of its shard. What either side
+    finds counts for both; a class only found, never asking here, is credited too."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, ask = pdf[~pdf["asks"]].reset_index(drop=True), pdf[pdf["asks"]]
-        if not len(node) or not len(ask):
-            return pd.DataFrame({"cid": [], "found": [], "root": []}).astype("int64")
-        ids, size = node["cid"].to_numpy(), node["size"].to_numpy()
-        place = {c: i for i, c in enumerate(ids.tolist())}
-        lists = [[place[c] for c in near if c in place] for near in node["near"]]
-        adj = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int32)
-        for i, x in enumerate(lists):
-            adj[i, : len(x)] = x
-        v, q, own = np.stack(node["x"].to_numpy()), np.stack(ask["x"].to_numpy()), ask["cid"].to_numpy()
-        hit = range_search(v, adj, q, threshold, beam) >= threshold
-        hit &= own[:, None] != ids[None, :]
-        every, root = _joined(hit, ids, own)
-        found, said = np.zeros(len(every), np.int64), root < every
-        at = np.searchsorted(every, own)
-        found[at], said[at] = hit @ size, True
-        return pd.DataFrame({"cid": every[said], "found": found[said], "root": root[said]})
+        shard, lo, hi = int(pdf["shard"].iloc[0]), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        a = pdf[pdf["block"] == lo].reset_index(drop=True)
+        b = a if lo == hi else pdf[pdf["block"] == hi].reset_index(drop=True)
+        link = _hits(a, b, shard, threshold, beam)
+        link |= link.T if lo == hi else _hits(b, a, shard, threshold, beam).T
+        ids, to = a["cid"].to_numpy(), b["cid"].to_numpy()
+        every = np.unique(np.concatenate([ids, to]))
+        root = _joined(link, to, ids, every)
+        found = np.zeros(len(every), np.int64)
+        found[np.searchsorted(every, ids)] = link @ b["size"].to_numpy()
+        if lo != hi:
+            found[np.searchsorted(every, to)] = link.T @ a["size"].to_numpy()
+        said = found > 0
+        return pd.DataFrame({"cid": every[said], "found": found[said], "root": root[said]}).astype("int64")
 
     return run
 
@@ -189,9 +217,10 @@ def _graph_links(classes: DataFrame, n: int, threshold: float, overlap: int, bea
             "size": [x for x, s in zip(c["size"], near) for _ in s],
             "shard": [int(j) for s in near for j in s],
             "home": [j == 0 for s in near for j in range(len(s))],
+            "shards": [s.tolist() for s in near for _ in s],
         }
 
-    schema = "cid bigint, x array<double>, size bigint, shard int, home boolean"
+    schema = "cid bigint, x array<double>, size bigint, shard int, home boolean, shards array<int>"
     placed = mapped(classes.select("cid", "x", "size"), assign, schema)
     counts = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # a row per centre, at most MAX_CENTRES
@@ -200,23 +229,23 @@ def _graph_links(classes: DataFrame, n: int, threshold: float, overlap: int, bea
     )
     built = placed.groupBy("shard", "block").applyInPandas(_build, "cid bigint, near array<bigint>")
     united = built.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    nodes = placed.join(united, "cid").withColumn("qb", every)
-    nodes = nodes.select("shard", "qb", F.col("block").alias("tb"), F.lit(False).alias("asks"), "cid", "x", "size", "near")
-    asks = placed.where("home").withColumn("tb", every)
-    asks = asks.select(
-        "shard", F.col("block").alias("qb"), "tb", F.lit(True).alias("asks"), "cid", "x", "size",
-        F.array().cast("array<bigint>").alias("near"),
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = placed.join(united, "cid").withColumn("other", other)
+    pairs = pairs.select(
+        "shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        "block", "home", "shards", "cid", "x", "size", "near",
     )
-    searched = nodes.unionByName(asks).groupBy("shard", "qb", "tb")
+    searched = pairs.groupBy("shard", "lo", "hi")
     return searched.applyInPandas(_search(threshold, beam), "cid bigint, found bigint, root bigint")
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of ``sample`` classes that ``counts`` has, by brute force over all."""
-    rows = classes.join(counts, "cid").orderBy(F.xxhash64("cid", F.lit(7))).limit(sample).toPandas()
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float | None:
+    """Share of the true links of ``sample`` classes that ``counts`` has, by brute force over
+    all; None where these classes have no link."""
+    left = classes.join(counts, "cid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    rows = left.orderBy(F.xxhash64("cid", F.lit(7))).limit(sample).toPandas()
     if not len(rows):
-        return 1.0
+        return None
     q, own = np.stack(rows["x"].to_numpy()), rows["cid"].to_numpy()
 
     def brute(c: dict) -> dict:
@@ -227,7 +256,9 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int =
     true = mapped(classes.select("cid", "x", "size"), brute, "q bigint, n bigint").groupBy("q").agg(F.sum("n").alias("n"))
     want = {r.q: r.n for r in true.collect()}  # a row per sampled class
     total = sum(want.values())
-    return sum(min(f, want[c]) for c, f in zip(own, rows["found"])) / total if total else 1.0
+    if total < AUDIT_LINKS and len(rows) == sample < MAX_AUDIT:
+        return audit(classes, counts, threshold, MAX_AUDIT)
+    return sum(min(f, want[c]) for c, f in zip(own, rows["found"])) / total if total else None
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,16 +275,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = cut(folded.withColumn("cid", F.monotonically_increasing_id()))
     lengths = [(r[0], r[1]) for r in classes.groupBy(F.size("x")).count().collect()]  # a row per vector length
     found: DataFrame | None = None
-    recall = 1.0
+    recall: float | None = None
     for length, n in lengths:
         own = classes.where(F.size("x") == length)
         for step in range(ROUNDS):
             links = cut(_graph_links(own, n, threshold, OVERLAP * 2**step, BEAM * 2**step))
             counts = links.groupBy("cid").agg(F.sum("found").alias("found"))
             got = audit(own, counts, threshold)
-            if got >= TARGET_RECALL:
+            if got is None or got >= TARGET_RECALL:
                 break
-        recall = min(recall, got)
+        recall = got if recall is None else recall if got is None else min(recall, got)
         found = links if found is None else found.unionByName(links)
     alone = rows.where("x is null").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")
@@ -271,4 +302,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         )
         out = rows.join(per, "x").select("vec_id", "n_links", "component_id").unionByName(alone)
     kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return out.select("vec_id", "n_links", "component_id", kept, F.lit(float(recall)).alias("audited_recall"))
+    return out.select("vec_id", "n_links", "component_id", kept, F.lit(recall).cast("double").alias("audited_recall"))

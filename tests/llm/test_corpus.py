@@ -185,6 +185,14 @@ def test_divergence_base_measures(docs, empty):
     assert divergence_rules.judge(empty).count() == 0
 
 
+def test_divergence_classes_count_characters(spark):
+    text = "日本語カナ漢字文書東京 abcdefghijkl 42, ñ𝒳 #\n"
+    row = spark.createDataFrame([(1, "ja", text)], "doc_id bigint, lang string, text string")
+    got = divergence_rules.measured(row).first()
+    wide = sum(ord(c) > 127 for c in text)
+    assert got.classes == [text.count(" ") + text.count("\n"), 12, wide, 2, 1, 1] and sum(got.classes) == len(text)
+
+
 def test_divergence_drops_what_is_unlike_its_language(spark):
     rows = [(i, prose(100 + i, 200), "xx") for i in range(40)] + [(99, " ".join(f"#%{i}$*" for i in range(200)), "xx")]
     got = {r.doc_id: r.kept for r in divergence_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
@@ -362,13 +370,45 @@ def test_every_link_of_a_search_group_joins():
     angle = np.deg2rad([-15.0, 15.0, 0.0])
     x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
     ids = [1, 2, 3]
-    node = {"cid": ids, "size": 1, "asks": False, "x": list(x), "near": [[c for c in ids if c != i] for i in ids]}
-    both = pd.concat([pd.DataFrame(node), pd.DataFrame(node | {"asks": True, "near": [[]] * 3})])
-    got = vector_graph._search(0.95, 8)(both)
+    node = {"cid": ids, "size": 1, "shard": 4, "lo": 0, "hi": 0, "block": 0, "home": True, "x": list(x)}
+    node |= {"shards": [[4, 6]] * 3, "near": [[c for c in ids if c != i] for i in ids]}
+    whole = pd.DataFrame(node)
+    got = vector_graph._search(0.95, 8)(whole)
+    assert sorted(zip(got["cid"], got["found"], got["root"])) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
+    # nodes that are only found, never ask, are credited as well
+    guests = whole.assign(home=[False, False, True], shards=[[6, 4], [6, 4], [4, 5]])
+    got = vector_graph._search(0.95, 8)(guests)
     assert sorted(zip(got["cid"], got["found"], got["root"])) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
-    # a node of another block that is only found, never asks
-    got = vector_graph._search(0.95, 8)(both[~both["asks"] | (both["cid"] == 3)])
-    assert sorted(zip(got["cid"], got["found"], got["root"])) == [(2, 0, 1), (3, 2, 1)]
+    # what the other home can find too counts in the smaller shard alone
+    for other, want in ((2, []), (6, [(1, 1, 1), (2, 1, 1), (3, 2, 1)])):
+        twice = whole.assign(home=[False, False, True], shards=[[other, 4], [other, 4], [4, other]])
+        got = vector_graph._search(0.95, 8)(twice)
+        assert sorted(zip(got["cid"], got["found"], got["root"])) == want
+    # two blocks: one row a class, links of both
+    blocks = whole.assign(hi=1, block=[0, 0, 1])
+    got = vector_graph._search(0.95, 8)(blocks)
+    assert sorted(zip(got["cid"], got["found"], got["root"])) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
+
+
+def test_links_of_many_loose_clusters_count_at_both_ends(spark):
+    rng = np.random.RandomState(5)
+    centre = np.repeat(rng.normal(size=(150, 32)), 20, axis=0)
+    v = centre + rng.normal(size=centre.shape) * 0.22
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = vector_graph.near_vectors(df).toPandas().sort_values("vec_id")
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = v @ v.T >= 0.95
+    links = near.sum(axis=1) - 1
+    # every link is counted twice, none is made up, and what has no link is alone
+    assert got["n_links"].sum() % 2 == 0 and (got["n_links"].to_numpy() <= links).all()
+    assert got["n_links"].sum() >= 0.99 * links.sum() and got["audited_recall"].iloc[0] >= 0.95
+    size = got.groupby("component_id")["vec_id"].transform("size")
+    assert ((got["n_links"] > 0) == (size > 1)).all()
+
+
+def test_audit_without_links_is_null(spark):
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "vec_id bigint, embedding array<double>")
+    assert {(r.n_links, r.audited_recall) for r in vector_graph.near_vectors(df).collect()} == {(0, None)}
 
 
 @pytest.mark.parametrize("block", [1024, 60])
