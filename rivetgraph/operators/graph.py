@@ -57,6 +57,78 @@ def walk(
     return rounds.all()
 
 
+WORD_BITS = 64
+
+
+def numbered_tags(start: DataFrame, tag: str, order: Sequence[str] = ()) -> DataFrame:
+    """A number for each tag, rising with ``order``: neighbours in that order share a word of a
+    bit set. Numbers are written out, so they stay what they are."""
+    own = [F.col(c) for c in (*order, tag)]
+    ranged = start.select(*own).distinct().repartitionByRange(*own).sortWithinPartitions(*own)
+    return cut(ranged.withColumn("__id", F.monotonically_increasing_id()))
+
+
+def bit_of() -> tuple[Column, Column]:
+    """The word and the bit of a tag's number."""
+    bit = F.expr("shiftleft(1L, cast(__id & 63 as int))")
+    return F.shiftright("__id", 6).alias("word"), bit.alias("bits")
+
+
+def walk_sets(
+    start: DataFrame,
+    hops: DataFrame,
+    *,
+    tag: str,
+    ids: DataFrame,
+    own: Sequence[str] = (),
+    within: DataFrame | None = None,
+) -> DataFrame:
+    """Which tags reach each node over ``hops(frm, to)``, as bit sets: (own, node, word, bits).
+
+    Bit ``b`` of word ``w`` stands for the tag numbered ``64·w + b`` in ``ids``
+    (``numbered_tags``), so up to 64 tags travel in one row and a round merges what arrives at
+    a node with ``bit_or``, combined before the shuffle. Only bits that are new go on. What is
+    known is kept as rounds and folded into one table after 2, 4, 8, … of them.
+
+    ``own`` columns separate walks: they are in ``start``, in ``within``, and may be in ``hops``.
+    """
+    keys = [*own, "node", "word"]
+    numbers = ids.select("__id", F.col(tag).alias("__tag"))
+    placed = start.join(numbers, start[tag].eqNullSafe(F.col("__tag"))).select(*own, "node", *bit_of())
+    merged = lambda df: df.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+
+    def allowed(df: DataFrame) -> DataFrame:
+        if within is None:
+            return df
+        cols = [c for c in (*own, "node") if c in within.columns]
+        return df.join(within.select(*cols), cols, "left_semi")
+
+    hops = cut(hops)
+    by = [c for c in own if c in hops.columns]
+    rounds = Rounds(start.sparkSession)
+    frontier, found = rounds.add(merged(allowed(placed)))
+    while found:
+        reached = frontier.join(hops.withColumnRenamed("frm", "node"), [*by, "node"])
+        offers = merged(allowed(reached.select(*own, F.col("to").alias("node"), "word", "bits")))
+        if rounds.n > 1 and rounds.n & (rounds.n - 1) == 0:
+            base = Rounds(start.sparkSession)
+            base.add(merged(rounds.all()))
+            base.n = rounds.n
+            rounds = base
+        known = merged(rounds.all()).withColumnRenamed("bits", "known")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
+        new = offers.join(known, keys, "left").select(*keys, fresh.alias("bits")).where("bits <> 0")
+        frontier, found = rounds.add(new)
+    return cut(merged(rounds.all()))
+
+
+def tags_of(sets: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The (tag, …) rows that the bits of ``sets`` stand for, other columns kept."""
+    places = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)")
+    listed = sets.withColumn("__bit", F.explode(places)).withColumn("__id", F.col("word") * WORD_BITS + F.col("__bit"))
+    return listed.join(ids.select("__id", tag), "__id").drop("__id", "__bit", "word", "bits")
+
+
 def to_deps(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("frm"), F.col("dst").alias("to"))
 
@@ -68,50 +140,78 @@ def to_dependents(edges: DataFrame) -> DataFrame:
 def closure(roots: DataFrame, edges: DataFrame, fixed_output: DataFrame) -> DataFrame:
     """GR-01: visited (root, node). Fixed-output nodes are visited but not left.
 
-    ``roots``: root, node (normally equal).
+    ``roots``: root, node (normally equal). ``closure_sets`` is the form for further joins.
     """
+    sets, ids = closure_sets(roots, edges, fixed_output)
+    return tags_of(sets, ids, "root").select("root", "node")
+
+
+def closure_sets(
+    roots: DataFrame, edges: DataFrame, fixed_output: DataFrame, ids: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """GR-01 as bit sets of roots per node, and the roots' numbers (``ids`` if given): at most a
+    row per node and 64 roots, where (root, node) pairs grow with every root that reaches a node."""
     leaving = edges.join(fixed_output.select(F.col("node").alias("src")), "src", "left_anti")
-    return walk(roots, to_deps(leaving), tags=["root"])
+    ids = numbered_tags(roots, "root") if ids is None else ids
+    return walk_sets(roots, to_deps(leaving), tag="root", ids=ids), ids
+
+
+def needed_sets(
+    visited: DataFrame, ids: DataFrame, needed: DataFrame, fixed_output: DataFrame, edges: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """GR-02 on bit sets: emitted (node, word, bits) and their edges (src, dst, word, bits).
+
+    ``visited``, ``ids``: as ``closure_sets`` gives them. ``needed``: (root, node), or (node)
+    where a node is needed by every root that meets it; the root itself always counts.
+    """
+    usable = visited.join(fixed_output.select("node"), "node", "left_anti")
+    itself = ids.select(F.col("root").alias("node"), *bit_of())
+    if "root" in needed.columns:
+        asked = needed.join(ids, "root").select("node", *bit_of())
+    else:
+        asked = usable.join(needed.select("node"), "node", "left_semi")
+    wanted = asked.unionByName(itself).groupBy("node", "word").agg(F.bit_or("bits").alias("want"))
+    both = usable.join(wanted, ["node", "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("want")))
+    nodes = cut(both.where("bits <> 0").select("node", "word", "bits"))
+    near = nodes.select(F.col("node").alias("src"), "word", F.col("bits").alias("near"))
+    far = nodes.select(F.col("node").alias("dst"), "word", F.col("bits").alias("far"))
+    kept = near.join(edges.select("src", "dst"), "src").join(far, ["dst", "word"])
+    kept = kept.select("src", "dst", "word", F.col("near").bitwiseAND(F.col("far")).alias("bits"))
+    return nodes, kept.where("bits <> 0")
 
 
 def needed_subgraph(
-    visited: DataFrame, needed: DataFrame, fixed_output: DataFrame, edges: DataFrame
+    roots: DataFrame, needed: DataFrame, fixed_output: DataFrame, edges: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """GR-02: emitted (root, node) and their edges (root, src, dst).
+    """GR-02: emitted (root, node) and their edges (root, src, dst), listed from the bit sets.
 
-    ``needed``: (root, node); the root itself always counts as needed. An edge stays if
-    its far end is needed and not a fixed output *that this walk met*.
+    ``roots``: root, node. ``needed``: as in ``needed_sets``. An edge stays if its far end is
+    needed and not a fixed output.
     """
-    wanted = needed.select("root", "node").union(visited.select("root", F.col("root").alias("node"))).distinct()
-    met_fixed = visited.join(fixed_output.select("node"), "node", "left_semi").select("root", "node")
-    usable = wanted.join(met_fixed, ["root", "node"], "left_anti")
-    nodes = visited.join(usable, ["root", "node"], "left_semi").select("root", "node")
-    kept = (
-        nodes.withColumnRenamed("node", "src")
-        .join(edges, "src")
-        .join(usable.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi")
-        .select("root", "src", "dst")
-    )
-    return nodes, kept
+    visited, ids = closure_sets(roots, edges, fixed_output)
+    nodes, kept = needed_sets(visited, ids, needed, fixed_output, edges)
+    listed = tags_of(nodes, ids, "root").select("root", "node")
+    return listed, tags_of(kept, ids, "root").select("root", "src", "dst")
 
 
-def first_submitter(emitted: DataFrame, lines: DataFrame) -> DataFrame:
-    """GR-03: each node once, under the first eval line that walked it.
+def first_submitter(
+    roots: DataFrame, lines: DataFrame, needed: DataFrame, fixed_output: DataFrame, edges: DataFrame
+) -> DataFrame:
+    """GR-03: each emitted node once, under the first eval line that walked it.
 
-    ``emitted``: root, node; ``lines``: root, line_no, attr. Only the line's own root
-    carries the attr, and only if that line is the one that submits it.
+    ``lines``: root, line_no, attr; other arguments as in ``needed_subgraph``. Only the line's
+    own root carries the attr, and only if that line is the one that submits it. Roots are
+    numbered in the order of their lines, so a node's first line is the lowest bit of its
+    lowest word, and no (root, node) pair is listed.
     """
-    walked = emitted.join(lines, "root")
-    first = walked.groupBy("node").agg(
-        F.min_by(F.struct("root", "attr"), F.struct("line_no", "root")).alias("w"),
-        F.min("line_no").alias("line_no"),
-    )
-    return first.select(
-        "node",
-        "line_no",
-        (F.col("w.root") == F.col("node")).alias("is_root"),
-        F.when(F.col("w.root") == F.col("node"), F.col("w.attr")).alias("attr"),
-    )
+    ids = numbered_tags(lines, "root", ["line_no"])
+    visited, _ = closure_sets(roots, edges, fixed_output, ids)
+    nodes, _ = needed_sets(visited, ids, needed, fixed_output, edges)
+    lowest = F.expr("array_position(transform(sequence(0, 63), i -> shiftrightunsigned(bits, i) & 1L), 1L) - 1")
+    first = nodes.groupBy("node").agg(F.min(F.col("word") * WORD_BITS + lowest).alias("__id"))
+    named = first.join(ids, "__id").join(lines, ["root", "line_no"])
+    own = F.col("root") == F.col("node")
+    return named.select("node", "line_no", own.alias("is_root"), F.when(own, F.col("attr")).alias("attr"))
 
 
 def _numbered_ends(edges: DataFrame, tags: Sequence[str], nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -284,9 +384,12 @@ def broken_labels(failed: DataFrame, edges: DataFrame, members: DataFrame, roots
     """
     start = failed.select("job_id", F.col("drv_hash").alias("failed"), F.col("drv_hash").alias("node"))
     own = members.select("job_id", F.col("drv_hash").alias("node"))
-    reach = walk(start, to_dependents(edges), tags=["job_id", "failed"], within=own)
+    # a step's number is the same in every job, so its jobs share the numbers' table
+    ids = numbered_tags(failed, "drv_hash").withColumnRenamed("drv_hash", "failed")
+    reach = walk_sets(start, to_dependents(edges), tag="failed", ids=ids, own=["job_id"], within=own)
     hit = reach.join(roots.select("job_id", F.col("drv_hash").alias("node"), "label"), ["job_id", "node"])
-    return hit.select("job_id", F.col("failed").alias("drv_hash"), "label").distinct()
+    merged = hit.groupBy("job_id", "label", "word").agg(F.bit_or("bits").alias("bits"))
+    return tags_of(merged, ids, "failed").select("job_id", F.col("failed").alias("drv_hash"), "label")
 
 
 def used_by_attrs(failed: DataFrame, edges: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:

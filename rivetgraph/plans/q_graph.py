@@ -23,20 +23,21 @@ def fixed(t):
     return t.steps.where(F.col("system") == "aarch64-linux").select(F.col("drv_hash").alias("node"))
 
 
-def visited(t):
-    start = t.roots.select(F.col("drv_hash").alias("root"), F.col("drv_hash").alias("node"))
-    return graph.closure(start, t.edges, fixed(t))
+def starts(t):
+    return t.roots.select(F.col("drv_hash").alias("root"), F.col("drv_hash").alias("node"))
+
+
+def small_parts(t):
+    return t.raw("part").where(F.col("p_size") < 35).select(F.col("p_partkey").alias("node"))
 
 
 def needed_parts(t):
-    seen = visited(t)
-    small = t.raw("part").where(F.col("p_size") < 35).select(F.col("p_partkey").alias("node"))
-    return graph.needed_subgraph(seen, seen.join(small, "node", "left_semi"), fixed(t), t.edges)
+    return graph.needed_subgraph(starts(t), small_parts(t), fixed(t), t.edges)
 
 
 @query("gr_01_closure_walk", "SELECT root, node FROM visited", **VIEWS)
 def _(t):
-    return visited(t)
+    return graph.closure(starts(t), t.edges, fixed(t))
 
 
 @query("gr_02_needed_nodes", "SELECT root, node FROM usable", **VIEWS)
@@ -62,7 +63,7 @@ def _(t):
 def _(t):
     price = t.raw("part").select(F.col("p_partkey").alias("drv_hash"), F.col("p_retailprice").alias("line_no"))
     lines = t.roots.join(price, "drv_hash").withColumnRenamed("drv_hash", "root")
-    return graph.first_submitter(needed_parts(t)[0], lines)
+    return graph.first_submitter(starts(t), lines, small_parts(t), fixed(t), t.edges)
 
 
 # Per-order graphs with cycles: each line links two of six steps of its order.

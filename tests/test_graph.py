@@ -100,12 +100,59 @@ def test_closure_stops_at_fixed_outputs_and_filters_edges(make):
     seen = graph.closure(roots, edges, fixed)
     assert [n for _, n in rows_of(seen, "root", "node")] == ["f", "leaf", "m", "r", "x"]
     needed = make([("r", "leaf"), ("r", "f"), ("r", "x")], "root string, node string")
-    nodes, kept = graph.needed_subgraph(seen, needed, fixed, edges)
+    nodes, kept = graph.needed_subgraph(roots, needed, fixed, edges)
     assert [n for _, n in rows_of(nodes, "root", "node")] == ["leaf", "r", "x"]
     # the middle step is not needed, so its edges go; the fixed output too
     assert rows_of(kept, "src", "dst") == [("r", "x")]
 
 
+@pytest.mark.parametrize("n_roots", [5, 150])
+def test_bit_sets_equal_a_walk_in_memory(make, n_roots):
+    """More roots than a word has bits, shared inputs, fixed outputs among the roots, two
+    lines for one root."""
+    rng = random.Random(n_roots)
+    names = [f"n{i:03}" for i in range(240)]
+    below = {n: {rng.choice(names[: max(1, i - 40)]) for _ in range(rng.randint(0, 3))} for i, n in enumerate(names) if i}
+    pairs = [(a, b) for a, bs in below.items() for b in bs]
+    tops, fixed = names[-n_roots:], set(rng.sample(names, 12))
+
+    def seen_from(root):
+        seen, todo = {root}, [root]
+        while todo:
+            n = todo.pop()
+            for d in below.get(n, ()) if n not in fixed else ():
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        return seen
+
+    walked = {r: seen_from(r) for r in tops}
+    wanted = {(r, n) for r, ns in walked.items() for n in ns if rng.random() < 0.6}
+    keep = {r: {n for n in ns if n not in fixed and (n == r or (r, n) in wanted)} for r, ns in walked.items()}
+    edges, stop = make(pairs, EDGES), make([(n,) for n in fixed], "node string")
+    roots, needed = make([(r, r) for r in tops], "root string, node string"), make(sorted(wanted), "root string, node string")
+    assert rows_of(graph.closure(roots, edges, stop), "root", "node") == sorted((r, n) for r, ns in walked.items() for n in ns)
+    nodes, kept = graph.needed_subgraph(roots, needed, stop, edges)
+    assert rows_of(nodes, "root", "node") == sorted((r, n) for r, ns in keep.items() for n in ns)
+    assert rows_of(kept, "root", "src", "dst") == sorted((r, a, b) for r, ns in keep.items() for a, b in pairs if {a, b} <= ns)
+
+    at = rng.sample(range(1000), n_roots)
+    lines = [(r, i, f"attr.{r}") for r, i in zip(tops, at)] + [(tops[0], 2000, "again")]
+    first = {}
+    for r, i in sorted(zip(tops, at), key=lambda x: x[1]):
+        for n in keep[r]:
+            first.setdefault(n, (n, i, n == r, f"attr.{r}" if n == r else None))
+    got = graph.first_submitter(roots, make(lines, "root string, line_no int, attr string"), needed, stop, edges)
+    assert sorted(tuple(r) for r in got.select("node", "line_no", "is_root", "attr").collect()) == sorted(first.values())
+
+
+def test_bit_sets_of_no_roots_and_of_a_cycle(make):
+    edges, none = make([("a", "b"), ("b", "a"), ("b", "c")], EDGES), make([], "node string")
+    assert graph.closure(make([], "root string, node string"), edges, none).count() == 0
+    seen = graph.closure(make([("a", "a"), ("b", "b")], "root string, node string"), edges, none)
+    assert rows_of(seen, "root", "node") == [(r, n) for r in "ab" for n in "abc"]
+
+
 def test_used_by_attrs_stays_inside_the_job(make):
     edges = make([("t1", "a"), ("t2", "a"), ("t3", "a")], EDGES)
     members = make([("J", "a"), ("J", "t1"), ("J", "t2"), ("K", "a"), ("K", "t3")], "job_id string, drv_hash string")
