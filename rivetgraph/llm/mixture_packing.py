@@ -156,7 +156,15 @@ def _rounds(queued: DataFrame, targets: dict[str | None, float] | None, window:
     first = F.floor(F.col("at") / F.col("quantum"))
     last = F.floor((F.col("at") + F.col("n_tokens") - 1) / F.col("quantum"))
     # a bound is an integer; a part may come out empty by rounding
-    parts = rows.withColumn("round", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last + 1)))
+    spanned = F.sequence(F.greatest(first - 1, F.lit(0)), last + 1)
+    # a quantum below one token leaves most rounds without any: list those of each token
+    of_token = lambda k: F.greatest(F.ceil((k + 1) / F.col("quantum")) - 1, F.lit(1).cast("bigint"))
+    each = F.transform(
+        F.sequence("at", F.col("at") + F.col("n_tokens") - 1),
+        lambda k: F.array(of_token(k) - 1, of_token(k), of_token(k) + 1),
+    )
+    listed = F.when(F.col("quantum") < 1, F.array_distinct(F.flatten(each))).otherwise(spanned)
+    parts = rows.withColumn("round", F.explode(listed))
     low = F.greatest(F.floor(F.col("round") * F.col("quantum")), F.col("at"))
     high = F.least(F.floor((F.col("round") + 1) * F.col("quantum")), F.col("at") + F.col("n_tokens"))
     return parts.select(

@@ -245,6 +245,25 @@ def test_packing_holds_the_targets(spark):
     assert both and all(abs(c["b"] - 768) <= 1 and abs(c["a"] - 256) <= 1 for c in both)
 
 
+def test_rounds_of_a_rare_source(spark):
+    rows = [(1, "rare", 2, 0), (2, "rare", 3, 2), (3, "big", 400_000, 0), (4, None, 137, 0)]
+    queued = spark.createDataFrame(rows, "rid bigint, source string, n_tokens bigint, at bigint")
+    got = mixture_packing._rounds(queued, None, 64)
+    per = {}
+    for r in got.collect():
+        per.setdefault(r.rid, []).append((r.start, r.length, r["round"]))
+    for rid, source, n, at in rows:
+        total = sum(r[2] for r in rows if r[1] == source)
+        quantum = total / sum(r[2] for r in rows) * 64
+        want = []
+        for i in range(int((at + n) / quantum) + 2):
+            low, high = max(int(i * quantum), at), min(int((i + 1) * quantum), at + n)
+            if high > low:
+                want.append((low - at, high - low, i))
+        assert sorted(per[rid]) == want and sum(p[1] for p in want) == n
+    assert len(per[1]) == 2 and len(per[2]) == 3
+
+
 def test_packing_digest(docs):
     r = mixture_packing.pack_report(docs.where("doc_id = 4"), *queries.byte_bpe()).collect()
     from tokenizers import Tokenizer
