@@ -88,7 +88,7 @@ def walk_sets(
     Bit ``b`` of word ``w`` stands for the tag numbered ``64·w + b`` in ``ids``
     (``numbered_tags``), so up to 64 tags travel in one row and a round merges what arrives at
     a node with ``bit_or``, combined before the shuffle. Only bits that are new go on. What is
-    known is kept as rounds and folded into one table after 2, 4, 8, … of them.
+    known is kept as rounds and folded into one table after 4, 8, 16, … of them.
 
     ``own`` columns separate walks: they are in ``start``, in ``within``, and may be in ``hops``.
     """
@@ -110,7 +110,7 @@ def walk_sets(
     while found:
         reached = frontier.join(hops.withColumnRenamed("frm", "node"), [*by, "node"])
         offers = merged(allowed(reached.select(*own, F.col("to").alias("node"), "word", "bits")))
-        if rounds.n > 1 and rounds.n & (rounds.n - 1) == 0:
+        if rounds.n > 2 and rounds.n & (rounds.n - 1) == 0:
             base = Rounds(start.sparkSession)
             base.add(merged(rounds.all()))
             base.n = rounds.n
@@ -119,7 +119,7 @@ def walk_sets(
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
         new = offers.join(known, keys, "left").select(*keys, fresh.alias("bits")).where("bits <> 0")
         frontier, found = rounds.add(new)
-    return cut(merged(rounds.all()))
+    return merged(rounds.all())
 
 
 def tags_of(sets: DataFrame, ids: DataFrame, tag: str) -> DataFrame:

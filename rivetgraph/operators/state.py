@@ -159,11 +159,13 @@ def claimable(
     now_ms: Column,
     finished: DataFrame | None = None,
 ) -> DataFrame:
-    """WN-08: what a worker of one class could take, best first within each job.
+    """WN-08: what a worker of one class could take, in the order it would be offered.
 
-    ``ready``: drv_hash, system, required_features, next_attempt_at; ``slots``: open
-    jobs with priority, created_at, free_slots. A job shows at most its free slots.
-    A planning report: nothing is claimed.
+    ``ready``: drv_hash, system, required_features, next_attempt_at; ``slots``: all open
+    jobs with priority, created_at, free_slots, at_cap. ``job_place`` is the job's place in
+    the schedule (WN-06, jobs at their cap hold theirs), ``job_rank`` the step's within the
+    job, ``place`` the step's over all jobs. A job shows at most its free slots; a step of
+    several jobs is offered in each. A planning report: nothing is claimed.
     """
     fit = ready.where(
         F.col("system").isin(*systems)
@@ -172,16 +174,20 @@ def claimable(
     )
     if finished is not None:
         fit = fit.join(finished.select("drv_hash"), "drv_hash", "left_anti")
-    open_jobs = slots.where(~F.col("at_cap")).select("job_id", "priority", "created_at", "free_slots")
+    placed = numbered(
+        slots.select("job_id", "priority", "created_at", "free_slots", "at_cap"), schedule_order(), out="job_place"
+    )
+    open_jobs = placed.where(~F.col("at_cap")).drop("at_cap")
     rows = (
         members.join(fit, "drv_hash")
         .join(open_jobs, "job_id")
         .withColumn("system_choice", F.array_position(F.array(*[F.lit(s) for s in systems]), F.col("system")))
     )
     ranked = numbered(rows, [F.col("system_choice"), F.col("drv_hash")], keys=["job_id"], out="job_rank")
-    return ranked.where(F.col("free_slots").isNull() | (F.col("job_rank") <= F.col("free_slots"))).select(
-        "job_id", "drv_hash", "system", "priority", "created_at", "job_rank"
+    shown = ranked.where(F.col("free_slots").isNull() | (F.col("job_rank") <= F.col("free_slots"))).select(
+        "job_id", "drv_hash", "system", "priority", "created_at", "job_place", "job_rank"
     )
+    return numbered(shown, [F.col("job_place"), F.col("job_rank")], out="place")
 
 
 def exhausted_steps(steps: DataFrame) -> DataFrame:

@@ -129,8 +129,10 @@ def _(t):
             fit AS (SELECT s.job_id, m.drv_hash, st.system, s.priority, s.created_at, s.free_slots,
                            row_number() OVER (PARTITION BY s.job_id ORDER BY CASE st.system WHEN 'aarch64-linux' THEN 1 ELSE 2 END, m.drv_hash) AS job_rank
                     FROM slots s JOIN members m USING (job_id) JOIN ready r USING (drv_hash) JOIN steps st USING (drv_hash) JOIN latches l USING (drv_hash)
-                    WHERE s.status = 'pending' AND NOT s.at_cap AND list_has_all(['kvm'], st.required_features) AND l.next_attempt_at <= 1000000)
-       SELECT job_id, drv_hash, system, priority, created_at, job_rank FROM fit WHERE free_slots IS NULL OR job_rank <= free_slots""",
+                    WHERE s.status = 'pending' AND NOT s.at_cap AND list_has_all(['kvm'], st.required_features) AND l.next_attempt_at <= 1000000),
+            queue AS (SELECT job_id, row_number() OVER (ORDER BY priority DESC, created_at, job_id) AS job_place FROM slots WHERE status = 'pending')
+       SELECT job_id, drv_hash, system, priority, created_at, job_place, job_rank, row_number() OVER (ORDER BY job_place, job_rank) AS place
+       FROM fit JOIN queue USING (job_id) WHERE free_slots IS NULL OR job_rank <= free_slots""",
     **SLOTS,
 )
 def _(t):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rivetgraph.operators import claims as cl, workers
+from rivetgraph.operators import claims as cl, state, workers
 from tests.conftest import rows_of
 
 T0 = dt.datetime(2024, 1, 1)
@@ -162,3 +162,22 @@ def test_expiry_bounds_and_cause(make):
         ("now", True, "hard_ceiling"),
         ("past", False, "lease_lapsed"),
     ]
+
+
+def test_claimable_steps_come_in_schedule_order(make):
+    ready = make(
+        [("a", "x86", [], 0), ("b", "arm", [], 0), ("c", "x86", ["kvm"], 0), ("d", "x86", [], 9), ("e", "x86", ["big"], 0)],
+        "drv_hash string, system string, required_features array<string>, next_attempt_at long",
+    )
+    members = make([(j, s) for j in "JKLM" for s in "abcde"], "job_id string, drv_hash string")
+    slots = make(
+        [("J", 1, 50, None, False), ("K", 5, 90, 2, False), ("L", 5, 10, 0, True), ("M", 5, 90, 1, False)],
+        "job_id string, priority int, created_at long, free_slots long, at_cap boolean",
+    )
+    got = state.claimable(ready, members, slots, systems=["arm", "x86"], features=["kvm"], now_ms=F.lit(5))
+    rows = [tuple(r) for r in got.orderBy("place").select("job_id", "drv_hash", "job_place", "job_rank", "place").collect()]
+    # L is at its cap and keeps its place; K and M are cut at their free slots, ties go by job
+    assert rows == [
+        ("K", "b", 2, 1, 1), ("K", "a", 2, 2, 2), ("M", "b", 3, 1, 3),
+        ("J", "b", 4, 1, 4), ("J", "a", 4, 2, 5), ("J", "c", 4, 3, 6),
+    ]
