@@ -12,12 +12,16 @@ A row behind the watermark is not applied; it comes out flagged ``late`` with it
 each operator. Times before 1970 are behind every watermark.
 
 State per key: the rows between watermark and newest row, and what the operator keeps (the
-last few failures, one deadline, counts and open claims). A key's rows of one micro-batch
-stream through its task; they are not made into one frame.
+last few failures, one deadline, counts and open claims). Keys are dealt into ``STATE_BUCKETS``
+buckets, and the engine keeps one state and one timer per bucket: every call for state is a
+message to the JVM, which cost more than the rules themselves where a key has few rows. A
+bucket's keys are held in its task one bucket at a time.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
@@ -26,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from rivetgraph import params as P
 
 US = 1_000_000
+STATE_BUCKETS = 2048  # keys that share one are read and written together
 
 
 class InTimeOrder(StatefulProcessor):
@@ -129,23 +134,109 @@ class InTimeOrder(StatefulProcessor):
         pass
 
 
+class Cell:
+    """One key's state and timer inside a bucket; to a processor it is the engine's handle."""
+
+    def __init__(self, at: int | None = None, value: tuple | None = None) -> None:
+        self.at, self.value = at, value
+
+    def getValueState(self, name: str, schema: str) -> Cell:
+        return self
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def clear(self) -> None:
+        self.value = None
+
+    def registerTimer(self, ms: int) -> None:
+        self.at = ms
+
+    def deleteTimer(self, ms: int) -> None:
+        if self.at == ms:
+            self.at = None
+
+
+class InBuckets(StatefulProcessor):
+    """Many keys of ``processor`` under one state and one timer, which stands at their first.
+
+    The state is the bucket's (key, timer, value) as pickled tuples: as columns every number of
+    it would be converted on both sides, for every key of the bucket."""
+
+    def __init__(self, processor: InTimeOrder) -> None:
+        self.processor = processor.planned()
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "armed bigint, cells binary")
+
+    def _read(self) -> tuple[int | None, dict]:
+        found = self.state.get()
+        if found is None:
+            return None, {}
+        armed, cells = found
+        return armed, {key: Cell(at, value) for key, at, value in pickle.loads(cells)}
+
+    def _write(self, armed: int | None, cells: dict) -> None:
+        kept = [(key, c.at, c.value) for key, c in cells.items() if c.value is not None]
+        at = min((c[1] for c in kept if c[1] is not None), default=None)
+        if at != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if kept:
+            self.state.update((at, pickle.dumps(kept, protocol=4)))
+        else:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mine = defaultdict(list)
+        for row in rows:
+            mine[row[self.processor.KEY]].append(row)
+        armed, cells = self._read()
+        for name, own in mine.items():
+            self.processor.init(cells.setdefault(name, Cell()))
+            yield from self.processor.handleInputRows((name,), own, timerValues)
+        self._write(armed, cells)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        _, cells = self._read()
+        for name, cell in cells.items():
+            if cell.at is not None and cell.at <= now:
+                cell.at = None
+                self.processor.init(cell)
+                yield from self.processor.handleExpiredTimer((name,), timerValues, expiredTimerInfo)
+        self._write(None, cells)
+
+    def close(self) -> None:
+        pass
+
+
 def _fields(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 
 
-def _applied(rows: DataFrame, processor: InTimeOrder, late: str, ord_: Column) -> DataFrame:
+def _applied(
+    rows: DataFrame, processor: InTimeOrder, late: str, ord_: Column, buckets: int = STATE_BUCKETS
+) -> DataFrame:
     """``rows`` (key, ts, …) through ``processor``; ``late`` is the watermark's delay.
 
     The time goes on as a number: Spark would drop late rows by a time column before they
     could be told apart."""
     key = processor.KEY
     extra = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _fields(processor.ROW)[2:]]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
     timed = rows.withWatermark("ts", late).select(
-        key, F.unix_micros("ts").alias("us"), ord_.cast("int").alias("ord"), *extra
+        bucket, key, F.unix_micros("ts").alias("us"), ord_.cast("int").alias("ord"), *extra
     )
     key_type = timed.schema[key].dataType.simpleString()
     out = f"{key} {key_type}, {processor.OUT}, late_us bigint"
-    return timed.groupBy(key).transformWithState(processor.planned(), out, "append", "EventTime")
+    return timed.groupBy("bucket").transformWithState(InBuckets(processor), out, "append", "EventTime")
 
 
 def split_late(results: DataFrame) -> tuple[DataFrame, DataFrame]:

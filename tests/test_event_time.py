@@ -319,3 +319,47 @@ def test_live_job_ends_timeouts_and_levels(stream_of):
     assert rows_of(levels.select("job_id", F.timestamp_micros("tick_us"), "total", "done", "failed", "sealed")) == [
         (1, secs(60), 1, 1, 0, False), (1, secs(120), 1, 1, 0, True), (2, secs(60), 1, 0, 1, False), (2, secs(120), 1, 0, 1, True),
     ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_of_one_bucket_share_state_and_timer(seed):
+    """Same results as a state per key, with a few calls for state per batch, not per key."""
+    rng = random.Random(seed)
+    kind = ("issue", "extend", "complete")
+    rows = [
+        at(k, rng.randrange(2000), o, kind=kind[o], window_secs=None, lifetime_secs=None)
+        for k in range(200)
+        for o in rng.choices(range(3), [5, 2, 1], k=4)
+    ]
+    end = at("~", 10_000_000, kind="complete", window_secs=None, lifetime_secs=None)
+    batches = [*split(rows, rng, 3), [end]]
+    single, _, _ = simulated(st.Leases(30 * US, 300 * US), batches, 5000)
+
+    calls = collections.Counter()
+
+    class Counted(Store):
+        def update(self, value):
+            calls["update"] += 1
+            super().update(value)
+
+        def registerTimer(self, ms):
+            calls["timer"] += 1
+            super().registerTimer(ms)
+
+    store, out, watermark, newest = Counted(), [], 0, 0
+    buckets = st.InBuckets(st.Leases(30 * US, 300 * US))
+    buckets.init(store)
+    for batch in [*batches, []]:
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        if batch:
+            out.extend(buckets.handleInputRows((0,), iter([Row(claim_id=k, **r) for k, r in batch]), clock))
+            newest = max(newest, *(r["us"] for _, r in batch))
+        for ms in sorted(m for m in store.timers if m <= watermark):
+            store.timers.discard(ms)
+            out.extend(buckets.handleExpiredTimer((0,), clock, None))
+        watermark = max(watermark, newest // 1000 - 5_000_000)
+    assert sorted(((r["claim_id"], r["expired_us"], r["cause"]) for r in out), key=repr) == sorted(
+        ((k, r["expired_us"], r["cause"]) for k, r in single), key=repr
+    )
+    assert len(out) > 100 and len(store.timers) <= 1
+    assert calls["update"] <= 2 * len(batches) and calls["timer"] <= 2 * len(batches)
