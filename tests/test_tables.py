@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rivetgraph.operators import failures as fail, ingest, lifecycle, logs, quality, retention, state
 from rivetgraph.plans import q_failures
+from rivetgraph.plans.catalog import QUERIES
 from tests.conftest import rows_of
 
 T0 = dt.datetime(2024, 1, 1)
@@ -377,3 +378,14 @@ def test_every_failure_of_a_large_job_is_named(make):
         taken.add(name)
         want[r.drv_hash] = name
     assert {r.drv_hash: r.file_name for r in rows} == want
+
+
+def test_log_sizes_are_the_bytes_of_the_texts(spark, tmp_path):
+    """Not the listed number of characters, which may say anything."""
+    rows = [(1, "abc", 70, "s"), (102, "héé", 70, "s"), (203, None, 70, "s"), (4, "", 70, "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    logs_by = lambda name, *cols: sorted(rows_of(QUERIES[name](spark, str(tmp_path)), *cols))
+    assert logs_by("wn_11_attempt_history", "claim_id", "original_size", "stored_size") == [(1, 3, 3), (4, 0, 0), (102, 5, 5), (203, None, None)]
+    assert logs_by("ag_25_archive_capacity", "total_bytes", "row_count") == [(8, 4)]
+    assert logs_by("wn_03_byte_ceiling_fits", "claim_id", "bytes") == [(1, 3), (4, 0), (102, 5), (203, None)]
+    assert logs_by("prj_22_compression_ratio", "claim_id", "ratio") == [(1, 4.0), (4, None), (102, 4.0), (203, None)]
