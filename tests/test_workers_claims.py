@@ -181,3 +181,44 @@ def test_claimable_steps_come_in_schedule_order(make):
         ("K", "b", 2, 1, 1), ("K", "a", 2, 2, 2), ("M", "b", 3, 1, 3),
         ("J", "b", 4, 1, 4), ("J", "a", 4, 2, 5), ("J", "c", 4, 3, 6),
     ]
+
+
+def shuffles(spark, df):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_claim_is_shuffled_once(spark, make):
+    ts = "timestamp"
+    held = make([("a", 1, dt.datetime(2024, 1, 1))], f"claim_id string, job_id int, issued_at {ts}")
+    later = make([("a", dt.datetime(2024, 1, 1, 0, 5))], f"claim_id string, ts {ts}")
+    jobs = make([(1, 600)], "job_id int, claim_deadline_secs bigint")
+    leases = cl.lease_timeline(held, later, jobs, F.lit("2100-01-01").cast("timestamp"), lifetime_secs=3000)
+    assert shuffles(spark, leases) <= 3  # claims and jobs by job, then all by claim
+    done = make([("c", "a", 1, dt.datetime(2024, 1, 2))], f"completion_id string, claim_id string, job_id int, completed_at {ts}")
+    owners = make([("a", 1, 5, 1, "w")], "claim_id string, job_id int, drv_hash int, attempt int, worker_id string")
+    assert shuffles(spark, cl.completion_validity(done, owners)) <= 2
+
+
+def test_leases_of_repeated_claims(spark, make):
+    """Issues of one claim that touch are one session, others give a row each; no claim, no row."""
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    held = make(
+        [("a", 1, t(0)), ("a", 1, t(0)), ("b", 1, t(0)), ("b", 1, t(30)), ("c", 1, None), (None, 1, t(0)), ("d", 2, t(0))],
+        "claim_id string, job_id int, issued_at timestamp",
+    )
+    later = make([("b", t(5)), ("b", t(10)), ("x", t(1)), ("d", t(10)), ("a", None)], "claim_id string, ts timestamp")
+    jobs = make([(1, 600)], "job_id int, claim_deadline_secs bigint")
+    got = cl.lease_timeline(held, later, jobs, F.lit("2100-01-01").cast("timestamp"), window_secs=300, lifetime_secs=540)
+    assert rows_of(got, "claim_id", "issued_at", "deadline") == sorted(
+        [
+            ("a", t(0), t(9)), ("a", t(0), t(9)),
+            ("b", t(0), t(9)), ("b", t(0), t(40)), ("b", t(30), t(20)), ("b", t(30), t(40)),
+            ("d", t(0), t(5)),
+        ],
+        key=repr,
+    )
