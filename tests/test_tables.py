@@ -389,3 +389,30 @@ def test_log_sizes_are_the_bytes_of_the_texts(spark, tmp_path):
     assert logs_by("ag_25_archive_capacity", "total_bytes", "row_count") == [(8, 4)]
     assert logs_by("wn_03_byte_ceiling_fits", "claim_id", "bytes") == [(1, 3), (4, 0), (102, 5), (203, None)]
     assert logs_by("prj_22_compression_ratio", "claim_id", "ratio") == [(1, 4.0), (4, None), (102, 4.0), (203, None)]
+
+
+def test_byte_totals_rejects_and_maintenance_count_whole_texts(spark, tmp_path):
+    """Sizes, warnings, buckets, rejects and the byte ceiling follow the bytes of the texts."""
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = [(60, "sixsix"), (61, "héé"), (62, "é" * 29_995), (162, "a" * 9_400), (71, "b" * 5_000), (80, "c" * 5_000)]
+    save([(i, t, 70, "s") for i, t in texts], "doc_id bigint, text string, n_chars bigint, source string", "documents")
+    orders = [(i, 1, "F", dt.datetime(1998, 1, 1), "1-URGENT") for i in (60, 61, 62, 71)]
+    save(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, o_orderpriority string", "orders")
+    save([], "p_partkey bigint, p_name string, p_size int", "part")
+    amounts = "l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    keys = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"
+    save([], f"{keys}, {amounts}, l_returnflag string, l_linestatus string, l_shipdate timestamp", "lineitem")
+    got = lambda name, *cols: sorted(rows_of(QUERIES[name](spark, str(tmp_path)), *cols))
+    assert got("ag_14_log_bytes_per_job", "job_id", "claim_id", "job_bytes", "crossed") == [
+        (60, 60, 6, False), (61, 61, 5, False), (62, 62, 59_990, True), (62, 162, 69_390, False),
+        (71, 71, 5_000, False), (80, 80, 5_000, False),
+    ]
+    # five jobs: 6, 5, 69 390, 5 000 and 5 000 bytes
+    assert {(r.le, r.cumulative) for r in QUERIES["ag_20_log_bytes_histogram"](spark, str(tmp_path)).collect()} >= {
+        (1024.0, 2), (10_240.0, 4), (102_400.0, 5), (None, 5)
+    }
+    assert got("prj_17_upload_validation", "claim_id", "reason") == [
+        (60, None), (61, None), (62, "body_too_large"), (71, "size_without_truncation"), (80, None), (162, "body_too_large")
+    ]
+    # newest first: 9 400 (162), 5 000 (71), then 59 990 (62) goes over 60 000 and all older ones with it
+    assert got("rt_04_maintenance", "job_rows", "row_count", "total_bytes") == [(4, 2, 14_400)]
