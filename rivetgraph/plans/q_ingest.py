@@ -103,7 +103,7 @@ SELECT drv_hash, batch_id, sum(opens) OVER (PARTITION BY drv_hash ORDER BY a, b,
   SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY drv_hash ORDER BY a, b, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM holds)""",
 )
 def _(t):
-    rows = session.cut(good_rows(t))
+    rows = session.cut(good_rows(t).select("batch_id", "pos", "arrived_at", "drv_hash"))
     job = F.col("batch_id").alias("job_id")
     jobs = rows.groupBy(job).agg(F.min("arrived_at").alias("created_at"), F.max("arrived_at").alias("last"))
     jobs = jobs.withColumn("done_at", plus_seconds(F.col("last"), (1 + F.col("job_id") % 40) * 86_400))

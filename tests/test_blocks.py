@@ -105,3 +105,13 @@ def test_merge_summaries_weighs_by_count(make):
 def test_hit_rate_of_nothing_is_null(make):
     df = make([(0, 0), (1, 4)], "h bigint, n bigint")
     assert [r[0] for r in df.select(metrics.hit_rate(F.col("h"), F.col("n"))).collect()] == [None, 0.25]
+
+
+def test_running_total_joins_only_keys_that_cross_ranges(make):
+    """All rows meet the sums before their range by broadcast; null is a key."""
+    rows = [(k, i, i) for k in ("a", "b", None) for i in range(40)]
+    df = make(rows, "k string, i int, v bigint")
+    got = blocks.running_total(df, [F.col("i")], F.col("v"), keys=["k"], parts=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert {(r.k, r.i): r.running for r in got.collect()} == {(k, i): i * (i + 1) // 2 for k, i, _ in rows}

@@ -228,3 +228,21 @@ def test_long_chain_in_few_rounds(make, spark):
     edges = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
     got = graph.waves(spark.range(n).withColumnRenamed("id", "node"), edges)
     assert got.where("wave <> node").count() == 0 and got.count() == n
+
+
+def test_small_jobs_share_blocks_and_large_ones_have_their_own():
+    """A job's nodes meet in one block; one larger than a block is dealt over several."""
+    from rivetgraph.operators.levels import _places
+
+    assert _places({0: 1, 1: 1, 2: 5, 3: 1, 4: 1, 5: 2}, 2) == ([(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 4, 1), (5, 5, 1)], 6)
+    assert _places({}, 4) == ([], 1)
+
+
+def test_cycles_of_many_jobs_over_small_blocks(make):
+    """Jobs on both sides of the block size, against one block for all."""
+    rng = random.Random(5)
+    edges = {(j, rng.randrange(6), rng.randrange(6)) for j in range(30) for _ in range(7)}
+    edges = make(sorted(e for e in edges if e[1] != e[2]), "job_id bigint, src bigint, dst bigint")
+    tops = edges.where("src < 3").select("job_id", F.col("src").alias("node")).distinct()
+    got = rows_of(graph.cycle_core(tops, edges, block_rows=12), "job_id", "node")
+    assert got and got == rows_of(graph.cycle_core(tops, edges), "job_id", "node")
