@@ -142,3 +142,26 @@ def test_states_cover_all_latches(make):
     for f, p, r, n, state in got:
         want = ("failed" if p else "done") if f else "pending" if r else "building" if n else "pending"
         assert state == want
+
+
+def test_archives_pack_and_unpack_in_small_slices():
+    """Python objects of a few texts at a time, whatever the size of the Arrow batch."""
+    import gzip
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from rivetgraph.functions import logtext
+
+    texts = ["%06d" % i + "x" * 20_000 for i in range(1_000)] + [None, "", "é"]
+    column = pa.array(texts)
+    tracemalloc.start()
+    packed = logtext.gzip_text.func(column)
+    back = logtext.gunzip.func(packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["text"] for r in back.to_pylist()] == texts and back.field("error").null_count == len(texts)
+    assert peak < 8_000_000
+    odd = logtext.gunzip.func(pa.array([b"no gzip", gzip.compress(b"\xff")])).to_pylist()
+    assert odd[0]["error"].startswith("corrupt gzip") and odd[1]["text"] == "�"
+    assert len(logtext.gzip_text.func(pa.array([], pa.string()))) == 0
