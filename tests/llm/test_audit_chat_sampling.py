@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import pytest
@@ -57,6 +58,38 @@ def brute_audit(rows, top=200):
     return sorted(out)
 
 
+def test_an_audit_block_is_indexed_in_little_memory():
+    """The index of a block holds few arrays of the length of its tokens, and lets its texts go."""
+    rng = random.Random(1)
+    words = ["".join(p) + "x" for p in itertools.product("abcdefgh", repeat=4)]
+
+    def filled(n):
+        block = audit.Block()
+        while block.held < n:
+            block.add("en", f"s{rng.randrange(9)}", " ".join(rng.choices(words, k=300)))
+        return block
+
+    list(filled(1000).run(0, 7, 4096))  # what is imported on the way is not counted
+    block = filled(1 << 20)
+    held = block.held
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in block.run(0, 7, 4096))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and not block.texts and peak < 7 * held
+
+
+def test_audit_texts_arrive_in_small_batches(spark, monkeypatch, tmp_path):
+    """Batches on their way to the index are small, and the session's own setting comes back."""
+    seen, before = [], spark.conf.get(audit.BATCH_CONF, None)
+    spilled = audit.spilled_runs
+    monkeypatch.setattr(audit, "spilled_runs", lambda *a, **k: seen.append(spark.conf.get(audit.BATCH_CONF)) or spilled(*a, **k))
+    audit.frequencies(corpus(spark, 20))
+    assert seen == [str(audit.BATCH_BYTES)] and spark.conf.get(audit.BATCH_CONF, None) == before
+
+
 @pytest.mark.parametrize("index", [{}, {"block": 250, "shards": 3, "size": 4, "fan_in": 2}])
 @pytest.mark.parametrize("tile", [1024, 2])
 def test_audit_equals_brute_force(spark, index, tile):
