@@ -22,8 +22,9 @@ each; an empty table has no pieces.
 
 from __future__ import annotations
 
+import functools
 import re
-import unicodedata
+import struct
 import zlib
 from collections.abc import Sequence
 
@@ -37,6 +38,7 @@ SEQUENCE = 2048
 WINDOW = 32 * SEQUENCE
 BUCKETS = 1024
 END_ID = 1
+LONG_SPACE = 50_000
 END_OF_TEXT = "<|endoftext|>"  # fixed value: the vocabulary's special token
 
 
@@ -62,33 +64,22 @@ def running_start(
     return joined.select(*df.columns, (F.col(out) + F.col(carried)).alias(out))
 
 
-# fixed value: the byte-level pretoken rule, with letters and digits to be filled in
-PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
-LATIN = 0x250  # code points below it are read by the rule in Python's own patterns
-CACHE_PIECES, CACHE_CHARS = 200_000, 24
+# fixed value: the byte-level pretoken rule
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Pieces(dict):
-    """Pretoken → its ids as bytes; short ones are kept, in a table of bounded size."""
-
-    def __init__(self, encode) -> None:
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u2").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
+@functools.cache
 def encoder(path: str, ranks: str):
-    """text → token ids as bytes, by the byte-level BPE file at ``path``.
+    """text → token ids as bytes, by the byte-level BPE file at ``path``; made once a worker.
 
     ``ranks`` holds the same vocabulary as ranks for a faster reader of it. Texts with letters
-    beyond Latin, where the readers' character tables may differ, and texts with the special
-    token go through the tokenizer of ``path`` itself.
+    beyond Latin, where the readers' character tables may differ, texts with the special token
+    and those with ``LONG_SPACE`` white space in a row, too much for the faster reader, go
+    through the tokenizer of ``path`` itself.
     """
     import base64
 
@@ -98,25 +89,20 @@ def encoder(path: str, ranks: str):
     tokenizer = Tokenizer.from_file(path)
     with open(ranks, "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    rule = PRETOKENS.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}")
-    fast = tiktoken.Encoding("bytes", pat_str=rule, mergeable_ranks=table, special_tokens={})
-    kinds = {"L": "", "N": ""}
-    for c in map(chr, range(LATIN)):
-        kind = unicodedata.category(c)[0]
-        if kind in kinds:
-            kinds[kind] += c
-    latin = re.compile(PRETOKENS.format(L=f"[{kinds['L']}]", N=f"[{kinds['N']}]", l=kinds["L"], n=kinds["N"]))
+    fast = tiktoken.Encoding("bytes", pat_str=PRETOKENS, mergeable_ranks=table, special_tokens={})
     # Latin letters, digits, marks and the usual white space
     plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
-    pieces = Pieces(fast.encode_ordinary)
+
+    spaces = re.compile(r"\s{%d}" % LONG_SPACE)
 
     def ids(texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if plain.fullmatch(t) and END_OF_TEXT not in t:
-                out.append(b"".join(map(pieces.__getitem__, latin.findall(t))))
+            fits = len(t) < LONG_SPACE or not spaces.search(t)
+            if fits and plain.fullmatch(t) and END_OF_TEXT not in t:
+                out.append(packed(fast.encode_ordinary(t)))
             else:
-                out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
+                out.append(packed(tokenizer.encode(t, add_special_tokens=False).ids))
         return out
 
     return ids
@@ -124,13 +110,10 @@ def encoder(path: str, ranks: str):
 
 def tokens(docs: DataFrame, path: str, ranks: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, source, ids (binary, two bytes an id, the end token last) and n_tokens."""
-    state: dict = {}
 
     def made(c: dict) -> dict:
-        if not state:
-            state["ids"] = encoder(path, ranks)
         end = int(end_id).to_bytes(2, "little")
-        ids = [x + end for x in state["ids"]([t or "" for t in c["text"]])]
+        ids = [x + end for x in encoder(path, ranks)([t or "" for t in c["text"]])]
         return {"doc_id": c["doc_id"], "source": c["source"], "ids": ids, "n_tokens": [len(x) // 2 for x in ids]}
 
     schema = "doc_id bigint, source string, ids binary, n_tokens bigint"
