@@ -24,6 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from rivetgraph.llm.common import mapped
@@ -34,6 +35,24 @@ CACHE = 300_000
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+class Recent(dict):
+    """Key → ``make(key)``, in a table of at most ``size`` keys. A full half makes way as a whole;
+    what was asked for since the last time stays, so keys in use are not made again."""
+
+    def __init__(self, make: Callable, size: int) -> None:
+        self.make, self.half, self.older = make, max(1, size // 2), {}
+
+    def __missing__(self, key):
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Pieces:
     """The pieces of a model file: automaton, scores, bytes."""
 
@@ -47,6 +66,7 @@ class Pieces:
         self.bytes: list[bytes] = [b""] * n
         self.byte_id: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
+        self.length = [1] * n
         worst = 0.0
         for i, name in enumerate(names):
             if model.is_byte(i):
@@ -55,37 +75,39 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.bytes[i] = name.replace(MARK, " ").encode()
                 worst = min(worst, model.get_score(i))
+                self.length[i] = len(name)
                 self.automaton.add_word(name, (len(name), model.get_score(i), i))
         self.automaton.make_automaton()
         self.unk_id, self.unknown = model.unk_id(), worst - UNKNOWN
         self.across = any(MARK in x.lstrip(MARK) for x in names)
-        self.known: dict[str, bytes] = {}
+        self.joined = pa.array(self.bytes, pa.binary())
+        self.known = Recent(lambda part: np.array(self.best(part), "<i4").tobytes(), CACHE)
 
     def best(self, part: str) -> list[int]:
         """Ids of the best path through one part."""
-        n = len(part)
-        score = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        ends = self.automaton.iter(part)
-        end, hit = next(ends, (n, None))
-        for at in range(n):
-            # no piece, or none from a reached place: the character stands alone
-            score[at + 1], back[at + 1] = score[at] + self.unknown, (at, -1)
-            while end == at:
-                length, gain, i = hit
-                reached = score[at + 1 - length] + gain
-                if reached > score[at + 1]:
-                    score[at + 1], back[at + 1] = reached, (at + 1 - length, i)
-                end, hit = next(ends, (n, None))
+        n, unknown = len(part), self.unknown
+        # best score up to each place, and the piece that ends there
+        score, back, at = [0.0], [-1], 0
+        for end, (length, gain, i) in self.automaton.iter(part):
+            while at <= end:
+                # no piece, or none from a reached place: the character stands alone
+                score.append(score[at] + unknown)
+                back.append(-1)
+                at += 1
+            reached = score[at - length] + gain
+            if reached > score[at]:
+                score[at], back[at] = reached, i
+        back += [-1] * (n - at)
         out: list[int] = []
         at = n
         while at:
-            start, i = back[at]
+            i = back[at]
             if i >= 0:
                 out.append(i)
+                at -= self.length[i]
             else:
-                out += [self.byte_id.get(b, self.unk_id) for b in reversed(part[start:at].encode())]
-            at = start
+                out += [self.byte_id.get(b, self.unk_id) for b in reversed(part[at - 1].encode())]
+                at -= 1
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -94,15 +116,22 @@ class Pieces:
             return b""
         marked = MARK + text.replace(" ", MARK)
         parts = [marked] if self.across else _PARTS.findall(marked)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for p in set(parts).difference(known):
-            known[p] = np.array(self.best(p), "<i4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids: all pieces' bytes in a row, cut where a list ends."""
+        flat = self.joined.take(ids.flatten())
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)])
+        whole = bytes(flat.buffers()[2] or b"")
+        sizes = ids.value_lengths().fill_null(0).to_numpy()
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [
+            None if null else whole[a:b].decode("utf-8", "replace")[1:]
+            for null, a, b in zip(ids.is_null().to_pylist(), bounds, bounds[1:])
+        ]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
 def _on_worker(path: str) -> Callable[[], Pieces]:
@@ -130,7 +159,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def _lists(got: list[bytes | None]) -> pa.Array:
     ends = np.cumsum([0] + [len(b) // 4 if b is not None else 0 for b in got]).astype(np.int32)
     values = pa.array(np.frombuffer(b"".join(b for b in got if b is not None), "<i4"))
-    mask = pa.array([b is None for b in got])
+    mask = pa.array([b is None for b in got], pa.bool_())
     return pa.ListArray.from_arrays(pa.array(ends), values, mask=mask)
 
 
@@ -139,8 +168,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     pieces = _on_worker(path)
 
     def run(c: dict) -> dict:
-        text = [None if x is None else pieces().decode(np.array(x, np.int64)) for x in c["ids"]]
-        return {"doc_id": c["doc_id"], "text": text}
+        return {"doc_id": c["doc_id"], "text": pieces().decode_all(pa.array(c["ids"], pa.list_(pa.int32())))}
 
     return mapped(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
@@ -151,10 +179,11 @@ def encode_report(docs: DataFrame, path: str) -> DataFrame:
 
     def run(c: dict) -> dict:
         got = [None if t is None else pieces().encode(t) for t in c["text"]]
-        back = [None if b is None else pieces().decode(np.frombuffer(b, "<i4")) for b in got]
+        ids = _lists(got)
+        back = pieces().decode_all(ids)
         return {
             "doc_id": c["doc_id"],
-            "ids": _lists(got),
+            "ids": ids,
             "n_ids": [None if b is None else len(b) // 4 for b in got],
             "ids_crc32": [None if b is None else zlib.crc32(b) for b in got],
             "round_trip": [None if t is None else t == x for t, x in zip(c["text"], back)],

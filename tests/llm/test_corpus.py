@@ -474,6 +474,33 @@ def test_viterbi_equals_brute_force(docs):
     assert pick(back) == pick(docs)
 
 
+def test_packing_ids_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    path, ranks = queries.byte_bpe()
+    own = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = ["", "don't  we'll\n\n x", "日本 <|endoftext|>", " " * 600_000 + "x", "a" + "\n" * 600_000, "9" * 3000, prose(2, 300)]
+    texts += ["".join(rng.choice("ab é日ª²\xa0\n\t 0'sß-") for _ in range(60)) for _ in range(300)]
+    got = mixture_packing.encoder(path, ranks)(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    # the reader is made once a worker, not once a task
+    assert mixture_packing.encoder(path, ranks) is mixture_packing.encoder(path, ranks)
+
+
+def test_pieces_in_use_are_not_made_again():
+    made = []
+    table = piece_viterbi.Recent(lambda k: made.append(k) or k * 2, 10)
+    for i in range(100):
+        assert table["hot"] == "hothot" and table[f"w{i}"] == f"w{i}" * 2
+        assert len(table) + len(table.older) <= 10
+    assert made.count("hot") == 1 and len(made) == 101
+    p = piece_viterbi.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    texts = ["hello world", None, "", "  é日\n ", prose(3, 50), "▁x"]
+    ids = piece_viterbi._lists([None if t is None else p.encode(t) for t in texts])
+    assert p.decode_all(ids) == [*texts[:5], " x"] and p.decode_all(ids.slice(0, 0)) == []
+
+
 def test_languages_are_told_by_all_evidence(spark):
     langs = {"en": ["the", "and", "with", "house"], "de": ["und", "der", "mit", "haus"]}
     rng = random.Random(1)
