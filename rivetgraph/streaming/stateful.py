@@ -16,6 +16,9 @@ last few failures, one deadline, counts and open claims). Keys are dealt into ``
 buckets, and the engine keeps one state and one timer per bucket: every call for state is a
 message to the JVM, which cost more than the rules themselves where a key has few rows. A
 bucket's keys are held in its task one bucket at a time.
+
+Leases go through the same buckets as columns (``columns``): rows are packed before the shuffle
+and stay packed until the watermark has passed them. ``Leases`` states the rule, row by row.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from rivetgraph import params as P
+from rivetgraph.streaming import columns
 
 US = 1_000_000
 STATE_BUCKETS = 2048  # keys that share one are read and written together
@@ -229,16 +233,35 @@ def _applied(
     The time goes on as a number: Spark would drop late rows by a time column before they
     could be told apart."""
     key = processor.KEY
-    extra = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _fields(processor.ROW)[2:]]
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-    timed = rows.withWatermark("ts", late).select(
-        bucket, key, F.unix_micros("ts").alias("us"), ord_.cast("int").alias("ord"), *extra
-    )
+    timed = _timed(rows, key, processor.ROW, late, ord_, buckets)
     key_type = timed.schema[key].dataType.simpleString()
     out = f"{key} {key_type}, {processor.OUT}, late_us bigint"
     return timed.groupBy("bucket").transformWithState(InBuckets(processor), out, "append", "EventTime")
 
 
+def _timed(rows: DataFrame, key: str, ddl: str, late: str, ord_: Column, buckets: int) -> DataFrame:
+    """(bucket, key, columns of ``ddl``) with the watermark set."""
+    extra = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _fields(ddl)[2:]]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    return rows.withWatermark("ts", late).select(
+        bucket, key, F.unix_micros("ts").alias("us"), ord_.cast("int").alias("ord"), *extra
+    )
+
+
+def _applied_columns(
+    rows: DataFrame, rule: type[columns.Rule], by_row: InTimeOrder, late: str, ord_: Column, buckets: int = STATE_BUCKETS
+) -> DataFrame:
+    """``_applied`` with a bucket's rows as columns: results of ``by_row``, by ``rule``."""
+    key = by_row.KEY
+    made = rule(by_row, rows.schema[key].dataType.simpleString())
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _fields(by_row.ROW) if f.name in made.rows.names)
+    timed = _timed(rows, key, ddl, late, ord_, buckets).where(F.col("us").isNotNull())
+    with_bucket = (F.col("bucket") * columns.ORDS + F.col("ord")).alias("ord")
+    packs = timed.select(*[with_bucket if n == "ord" else n for n in made.rows.names]).mapInArrow(columns.packs, columns.PACK_DDL)
+    found = packs.groupBy("bucket").transformWithStateInPandas(columns.InPacks(made), columns.FOUND_DDL, "append", "EventTime")
+    return found.mapInArrow(columns.opened, made.out_ddl)
+
+
 def split_late(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What an operator found, and (key, late_us) of the rows that came too late."""
     key = results.columns[0]
@@ -394,7 +417,7 @@ def lease_expiries(
     goes with it.
     """
     processor = Leases(window_secs * US, None if lifetime_secs is None else lifetime_secs * US)
-    return _applied(events, processor, late, _rank(("issue", "extend", "complete")))
+    return _applied_columns(events, columns.LeaseColumns, processor, late, _rank(("issue", "extend", "complete")))
 
 
 class Heartbeats(InTimeOrder):
