@@ -1,6 +1,6 @@
-"""Leases by event time, a bucket's rows as columns.
+"""Leases and progress levels by event time, a bucket's rows as columns.
 
-The rules are those of ``stateful.Leases``, for tables where a Python
+The rules are those of ``stateful.Leases`` and ``stateful.Levels``, for tables where a Python
 object per row costs too much time and disk. A task gathers its rows and cuts them by bucket
 into packs (compressed Arrow), so that shuffle and state hold a few bytes a row and the engine
 moves packs, not rows. A bucket's packs are only opened by its timer, which applies all rows
@@ -223,7 +223,7 @@ def _filled(column: pa.ChunkedArray, instead: int) -> np.ndarray:
 
 
 class Rule:
-    """What rules share. ``rows`` of ``apply`` have us at or before ``now`` and come in
+    """What both rules share. ``rows`` of ``apply`` have us at or before ``now`` and come in
     any order; ``kept`` are the tables that the last call gave."""
 
     def __init__(self, key: str, key_ddl: str, row_ddl: str, out_ddl: str) -> None:
@@ -421,3 +421,171 @@ class LeaseColumns(Rule):
                 expired_us=pa.array(due[at]),
                 cause=causes.take(pa.array(ceiling[at].astype(np.int8))),
             )
+
+
+class LevelColumns(Rule):
+    """``stateful.Levels``. A job's rows between two ticks are a group; the groups up to one
+    with ``job_done`` are a span, over which counts run and starts meet their ends."""
+
+    # places in the operator's list of kinds
+    MEMBER, STARTED, RETRIED, COMPLETED, FAILED, PROPAGATED, SEAL, JOB_DONE = range(1, 9)
+    COUNTS = ("total", "done", "failed", "retries", "propagated")
+
+    def __init__(self, by_row, key_ddl: str) -> None:
+        self.every = by_row.every
+        super().__init__(by_row.KEY, key_ddl, "us bigint, ord int, step string", by_row.OUT)
+
+    def kept_schemas(self) -> tuple[pa.Schema, ...]:
+        key = (self.key, self.key_type)
+        flags = [("sealed", pa.int64()), ("over", pa.int64()), ("due", pa.int64())]
+        return pa.schema([key, *((c, pa.int64()) for c in self.COUNTS), *flags]), pa.schema([key, ("started", pa.int64()), ("step", pa.string())])
+
+    def apply(self, rows, kept, now):
+        jobs, opens = kept
+        n, m = rows.num_rows, jobs.num_rows
+        if not n + m:
+            return kept, None, iter(())
+        code, names = _coded(rows[self.key], jobs[self.key], opens[self.key])
+        step, steps = _coded(rows["step"], opens["step"])
+        step = np.concatenate([step[:n], np.zeros(m, np.int64), step[n:]])
+        mine, theirs = slice(n, n + m), slice(n + m, None)  # a row for what is kept of a job, then its open starts
+        us, kind = np.full(len(code), EVER), np.zeros(len(code), np.int8)
+        us[:n], us[theirs] = rows["us"], opens["started"]
+        kind[:n], kind[theirs] = rows["ord"], self.STARTED
+        due = np.full(len(names) + 1, EVER)
+        due[code[mine]] = _filled(jobs["due"], EVER)
+        tick = due[code]  # EVER: nothing is due
+        tick[:n] = (us[:n] // self.every + 1) * self.every
+        # counts, then whether sealed and whether over
+        add = np.zeros((7, len(code)), np.int64)
+        for i, kinds in enumerate(
+            [(self.MEMBER,), (self.COMPLETED,), (self.FAILED, self.PROPAGATED), (self.RETRIED,), (self.PROPAGATED,), (self.SEAL,), (self.JOB_DONE,)]
+        ):
+            add[i] = np.isin(kind, kinds)
+        for i, name in enumerate((*self.COUNTS, "sealed", "over")):
+            add[i, mine] = jobs[name]
+
+        order = np.lexsort((kind, us, code))
+        code, us, kind, tick, step, add = code[order], us[order], kind[order], tick[order], step[order], add[:, order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (tick[1:] != tick[:-1])])
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        tail = np.concatenate([head[1:], [len(code)]]) - 1
+        job, tick = code[head], tick[head]
+        shown = (tick != EVER) & (tick <= now)
+        over = np.add.reduceat(add[6], head) > 0
+        last = np.concatenate([job[1:] != job[:-1], [True]])
+        closes = shown & over
+        opening = np.concatenate([[True], (last | closes)[:-1]])
+        span, from_group = np.cumsum(opening) - 1, np.flatnonzero(opening)
+        to_group = np.concatenate([from_group[1:], [len(head)]])
+        run = np.cumsum(add, axis=1)
+        start = head[from_group]
+        level = run[:, tail] - (run[:, start] - add[:, start])[:, span]
+        del run, add
+
+        begun, ended, started, step = self._flights(code, us, kind, step, group, span, to_group, steps)
+        building = np.cumsum(np.bincount(begun, minlength=len(head) + 1) - np.bincount(ended, minlength=len(head) + 1))[:-1]
+
+        pending = tick > now
+        stays = last & ~closes & ((level[:6] != 0).any(axis=0) | pending | (building > 0))
+        keeps = np.flatnonzero(stays)
+        jobs = pa.table(
+            [
+                _named(job[keeps], names),
+                *(pa.array(level[i, keeps]) for i in range(6)),
+                pa.array((over & pending)[keeps].astype(np.int64)),
+                pa.array(tick[keeps], mask=~pending[keeps]),
+            ],
+            schema=self.kept_schemas()[0],
+        )
+        still = np.flatnonzero((ended == to_group[span[begun]]) & stays[ended - 1])
+        opens = pa.table([_named(job[begun[still]], names), pa.array(started[still]), _named(step[still], steps)], schema=self.kept_schemas()[1])
+        wake = tick[keeps][pending[keeps]]
+        found = self._found(job, tick, level, building, np.flatnonzero(shown), begun, ended, started, step, names, steps)
+        return (jobs, opens), int(wake.min()) if len(wake) else None, found
+
+    def _flights(self, code, us, kind, step, group, span, to_group, steps):
+        """Of every start, by (job, time, step): the group in which it is first in flight, the
+        one in which it no longer is, its time and step. An end meets the earliest open start."""
+        at = np.flatnonzero((kind >= self.STARTED) & (kind <= self.FAILED))
+        pair = span[group[at]] * (len(steps) + 1) + step[at]
+        by = np.argsort(pair, kind="stable")
+        at, pair = at[by], pair[by]
+        first = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(at)]
+        head, pair = np.flatnonzero(first), np.cumsum(first) - 1
+        starts = kind[at] == self.STARTED
+        move = np.where(starts, 1, -1)
+        depth = np.cumsum(move)
+        depth -= (depth - move)[head][pair]
+        apart = pair * (2 * len(at) + 2)  # so that a minimum does not reach into the next pair
+        least = np.concatenate([[0], (np.minimum.accumulate(depth - apart) + apart)[:-1]])[: len(at)]
+        least[head] = 0
+        meets = ~starts & (depth >= np.minimum(least, 0))
+
+        pairs = len(head)
+        ends, n_ends = at[meets], np.bincount(pair[meets], minlength=pairs)
+        first_end = np.cumsum(n_ends) - n_ends
+        of = pair[starts]
+        n_starts = np.bincount(of, minlength=pairs)
+        rank = np.arange(len(of)) - (np.cumsum(n_starts) - n_starts)[of]
+        at = at[starts]
+        begun = group[at]
+        ended = to_group[span[begun]]
+        met = rank < n_ends[of]
+        ended[met] = group[ends[first_end[of[met]] + rank[met]]]
+
+        job, started, step = code[at], us[at], step[at]
+        place = np.zeros(len(at), np.int64)
+        order = np.lexsort((started, job))
+        tied = (job[order][1:] == job[order][:-1]) & (started[order][1:] == started[order][:-1])
+        if tied.any():
+            tied = np.concatenate([[False], tied]) | np.concatenate([tied, [False]])
+            rows = order[tied]
+            some, which = np.unique(step[rows], return_inverse=True)
+            sort = pc.sort_indices(_named(some, steps)).to_numpy()
+            ranks = np.empty(len(some), np.int64)
+            ranks[sort] = np.arange(len(some))
+            place[rows] = ranks[which]
+            order = np.lexsort((place, started, job))
+        return begun[order], ended[order], started[order], step[order]
+
+    def _found(self, job, tick, level, building, shown, begun, ended, started, step, names, steps) -> Iterator[pa.RecordBatch]:
+        """Levels of the groups ``shown``, some at a time, since each lists its starts in flight."""
+        if not len(shown):
+            return
+        before = np.zeros(len(job) + 1, np.int64)  # groups shown before a group
+        before[shown + 1] = 1
+        before = np.cumsum(before)
+        low, high = before[begun], before[ended]
+        size = np.cumsum(building[shown] + 1) // FOUND_ROWS
+        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(shown)]
+        total, done, failed, retries, propagated, sealed = range(6)
+        in_flight = self.out.field("in_flight").type
+        for a, b in zip(edges, edges[1:]):
+            g = shown[a:b]
+            some = np.flatnonzero(high[: np.searchsorted(low, b)] > a)
+            lo, hi = np.maximum(low[some], a), np.minimum(high[some], b)
+            n = np.maximum(hi - lo, 0)
+            which = np.repeat(np.arange(len(some)), n)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which] - a
+            by = np.argsort(at, kind="stable")
+            starts = some[which[by]]
+            offsets = np.concatenate([[0], np.cumsum(building[g])]).astype(np.int32)
+            flights = pa.StructArray.from_arrays(
+                [pa.array(started[starts]), _named(step[starts], steps)], fields=list(in_flight.value_type)
+            )
+            yield self.found(
+                len(g),
+                **{self.key: _named(job[g], names)},
+                tick_us=pa.array(tick[g]),
+                total=pa.array(level[total, g]),
+                pending=pa.array(np.maximum(0, level[total, g] - level[done, g] - level[failed, g] - building[g])),
+                building=pa.array(building[g]),
+                done=pa.array(level[done, g]),
+                failed=pa.array(level[failed, g]),
+                retries=pa.array(level[retries, g]),
+                propagated=pa.array(level[propagated, g]),
+                sealed=pa.array(level[sealed, g] > 0),
+                in_flight=pa.ListArray.from_arrays(pa.array(offsets), flights, type=in_flight),
+            )
+

@@ -17,8 +17,9 @@ buckets, and the engine keeps one state and one timer per bucket: every call for
 message to the JVM, which cost more than the rules themselves where a key has few rows. A
 bucket's keys are held in its task one bucket at a time.
 
-Leases go through the same buckets as columns (``columns``): rows are packed before the shuffle
-and stay packed until the watermark has passed them. ``Leases`` states the rule, row by row.
+Leases and progress levels, which see every row of the largest tables, go through the same
+buckets as columns (``columns``): rows are packed before the shuffle and stay packed until the
+watermark has passed them. ``Leases`` and ``Levels`` state the rules, row by row.
 """
 
 from __future__ import annotations
@@ -586,4 +587,4 @@ def progress_levels(events: DataFrame, *, every_secs: int = P.PROGRESS_TICK_SECS
     and step, which pairs an end with the earliest open start. A level holds what happened
     before its tick; a tick without change since the one before would repeat it and is left
     out. ``job_done`` gives the last level and drops the job's state."""
-    return _applied(events, Levels(every_secs * US), late, _rank(LEVEL_KINDS))
+    return _applied_columns(events, columns.LevelColumns, Levels(every_secs * US), late, _rank(LEVEL_KINDS))

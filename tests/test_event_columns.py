@@ -110,6 +110,34 @@ def test_leases_in_columns(spark, monkeypatch, seed, few):
     assert any(r["late_us"] for r in got) and "kept" not in engine.values
 
 
+@pytest.mark.parametrize("listed", [3, 100_000])  # levels that leave a timer together
+@pytest.mark.parametrize("seed", range(8))
+def test_levels_in_columns(spark, monkeypatch, seed, listed):
+    monkeypatch.setattr(columns, "FOUND_ROWS", listed)
+    monkeypatch.setattr(columns, "PACK_ROWS", 7)
+    rng = random.Random(seed)
+    rank = {k: i + 1 for i, k in enumerate(st.LEVEL_KINDS)} | {"other": 0}
+    rows = [
+        at(j, rng.randrange(900), rank[kind], kind=kind, step=rng.choice("abcde"))
+        for j in [None, *range(8)]
+        for kind in rng.choices([*rank], [4, 9, 2, 3, 2, 1, 1, 0.4, 1], k=40)
+    ]
+    rows = list({(k, r["us"], r["ord"]): (k, r) for k, r in rows}.values())
+    batches = [*split(rows, rng, 9), [at(-1, 10_000_000, 0, kind="other", step=None)]]
+    late = rng.choice([100, 300, 700])
+    want, _, _ = simulated(st.Levels(60 * US), batches, late)
+    got, _ = in_columns(columns.LevelColumns(st.Levels(60 * US), "bigint"), batches, late)
+    same(want, got, "job_id")
+    assert any(r["late_us"] for r in got) and any(len(r["in_flight"] or ()) > 1 for r in got)
+
+
+def test_steps_of_one_instant_are_listed_by_name(spark):
+    rows = [at(1, 5, 2, kind="started", step=s) for s in "cabd"] + [at(1, 6, 4, kind="completed", step=s) for s in "ab"]
+    end = at(2, 10_000_000, 0, kind="other", step=None)
+    got, _ = in_columns(columns.LevelColumns(st.Levels(60 * US), "bigint"), [rows, [end]], 0)
+    assert [f["step"] for f in got[0]["in_flight"]] == ["c", "d"] and got[0]["done"] == 2
+
+
 def test_packs_give_their_columns_back(spark):
     rng = random.Random(1)
     table = pa.table(
@@ -138,8 +166,10 @@ def test_a_held_row_takes_few_bytes(spark):
     rng = random.Random(3)
     claims = [(f"{rng.getrandbits(128):032x}", rng.randrange(10**8)) for _ in range(400)]
     leases = [at(c, t + s, o, kind=k, window_secs=None, lifetime_secs=40) for c, t in claims for s, o, k in ((0, 1, "issue"), (15, 2, "extend"), (33, 3, "complete"))]
+    levels = [at(t % 99, t + s, o, kind=k, step=c) for c, t in claims for s, o, k in ((0, 1, "member"), (5, 2, "started"), (33, 4, "completed"))]
     for made, rows in (
         (columns.LeaseColumns(st.Leases(30 * US, None), "string"), leases),
+        (columns.LevelColumns(st.Levels(60 * US), "bigint"), levels),
     ):
         assert held(made, rows) < 16  # a digest alone is 16 bytes, and both tasks have it
 
@@ -151,6 +181,7 @@ def plan_of(stream):
 def test_live_operators_move_packs(stream_of):  # noqa: F811
     rows = [(str(c), secs(c), "issue", None, None) for c in range(50)] + [("end", secs(90_000), "complete", None, None)]
     out = st.lease_expiries(stream_of([rows], "claim_id string, ts timestamp, kind string, window_secs bigint, lifetime_secs bigint"), late="1 hour")
-    assert "packs" in plan_of(out)
+    levels = st.progress_levels(out.selectExpr("claim_id AS job_id", "timestamp_micros(expired_us) AS ts", "'member' AS kind", "cause AS step"), every_secs=60, late="1 hour")
+    assert "packs" in plan_of(out) and "packs" in plan_of(levels)
     got, late = st.split_late(drain(out))
     assert rows_of(got.select("claim_id", "expired_us")) == sorted((str(c), BASE + (c + 3600) * US) for c in range(50)) and late.count() == 0
